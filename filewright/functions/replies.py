@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,16 +55,24 @@ def strip_fence(reply: Column) -> Column:
     return X.strip(F.regexp_replace(out, r"```\z", ""))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _parse(cleaned: Column) -> Column:
     """Variant of a text that is one JSON value and nothing more, else NULL.
 
     The parser stops after the first value. Text behind it breaks either the
     array or the object it is wrapped in here.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), cleaned, F.lit("]")))
     keyed = F.try_parse_json(F.concat(F.lit('{"v":'), cleaned, F.lit("}")))
-    alone = keyed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+    def single(listed: Column) -> Column:
+        alone = keyed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+        return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+    return _let(F.try_parse_json(F.concat(F.lit("["), cleaned, F.lit("]"))), single)
 
 
 def _plain_numbers(cleaned: Column) -> Column:
@@ -90,6 +98,44 @@ def to_confidence(number: Column, text: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)).cast("int")
 
 
+def _shown(value: Column, default: str) -> Column:
+    """Text of a JSON value; a missing one is ``default``."""
+    text = F.try_variant_get(value, "$", "string")
+    kind = F.schema_of_variant(value)
+    return (
+        F.when(value.isNull(), F.lit(default))
+        .when(F.is_variant_null(value), F.lit("None"))
+        .when(kind == "BOOLEAN", F.initcap(text))
+        .otherwise(F.coalesce(text, F.to_json(value)))
+    )
+
+
+def _verdict_of(data: Column, categories: Sequence[str]) -> Column:
+    """Verdict of a JSON object."""
+    def field(name: str) -> Column:
+        return F.try_variant_get(data, f"$.{name}", "variant")
+
+    def judged(parts: Column) -> Column:
+        category, kind = parts["category"], parts["kind"]
+        number = F.when(kind == "BOOLEAN", (parts["text"] == "true").cast("double")).when(kind != "STRING", parts["number"])
+        overflow = F.coalesce((kind != "STRING") & number.isin(float("inf"), float("-inf")), F.lit(False))
+        confidence = to_confidence(number, F.when(kind == "STRING", parts["text"]))
+        return (
+            F.when(overflow, F.lit(None))
+            .when(category.isin(list(categories)), verdict(category, confidence, C.METHOD_MODEL, parts["reason"]))
+            .otherwise(unknown(
+                F.concat(F.lit("AI suggested unknown category "), quoted(category)), C.METHOD_MODEL))
+        )
+
+    return _let(F.struct(
+        _let(field("category"), lambda v: _shown(v, C.UNKNOWN)).alias("category"),
+        F.schema_of_variant(field("confidence")).alias("kind"),
+        F.try_variant_get(data, "$.confidence", "string").alias("text"),
+        F.try_variant_get(data, "$.confidence", "double").alias("number"),
+        _let(field("reason"), lambda v: _shown(v, C.REASON_DEFAULT_REPLY)).alias("reason"),
+    ), judged)
+
+
 def parse_reply(reply: Column, categories: Sequence[str]) -> Column:
     """Verdict struct of a raw scorer reply.
 
@@ -97,37 +143,15 @@ def parse_reply(reply: Column, categories: Sequence[str]) -> Column:
     is no object, or a category outside ``categories``. A number too large for
     a double declines (NULL).
     """
-    cleaned = strip_fence(reply)
-    data = F.coalesce(_parse(cleaned), _parse(_plain_numbers(cleaned)))
-    kind = F.schema_of_variant(data)
-
-    def field(name: str) -> tuple[Column, Column, Column]:
-        value = F.try_variant_get(data, f"$.{name}", "variant")
-        return value, F.schema_of_variant(value), F.try_variant_get(data, f"$.{name}", "string")
-
-    def shown(name: str, default: str) -> Column:
-        value, value_kind, value_text = field(name)
+    def parsed(data: Column) -> Column:
         return (
-            F.when(value.isNull(), F.lit(default))
-            .when(F.is_variant_null(value), F.lit("None"))
-            .when(value_kind == "BOOLEAN", F.initcap(value_text))
-            .otherwise(F.coalesce(value_text, F.to_json(value)))
+            F.when(data.isNull(), unknown(C.REASON_BAD_JSON, C.METHOD_MODEL))
+            .when(~F.startswith(F.schema_of_variant(data), F.lit("OBJECT")), unknown(C.REASON_NOT_OBJECT, C.METHOD_MODEL))
+            .otherwise(_verdict_of(data, categories))
         )
 
-    category = shown("category", C.UNKNOWN)
-    score, score_kind, score_text = field("confidence")
-    is_text = score_kind == "STRING"
-    number = F.when(score_kind == "BOOLEAN", (score_text == "true").cast("double")).when(
-        ~is_text, F.try_variant_get(data, "$.confidence", "double"))
-    overflow = ~is_text & number.isin(float("inf"), float("-inf"))
-    confidence = to_confidence(number, F.when(is_text, score_text))
-    method = C.METHOD_MODEL
-    return (
-        F.when(X.is_blank(reply), unknown(C.REASON_EMPTY_REPLY, method))
-        .when(data.isNull(), unknown(C.REASON_BAD_JSON, method))
-        .when(~F.startswith(kind, F.lit("OBJECT")), unknown(C.REASON_NOT_OBJECT, method))
-        .when(F.coalesce(overflow, F.lit(False)), F.lit(None))
-        .when(category.isin(list(categories)),
-              verdict(category, confidence, method, shown("reason", C.REASON_DEFAULT_REPLY)))
-        .otherwise(unknown(F.concat(F.lit("AI suggested unknown category "), quoted(category)), method))
-    )
+    def answered(cleaned: Column) -> Column:
+        return _let(F.coalesce(_parse(cleaned), _parse(_plain_numbers(cleaned))), parsed)
+
+    return F.when(X.is_blank(reply), unknown(C.REASON_EMPTY_REPLY, C.METHOD_MODEL)).otherwise(
+        _let(strip_fence(reply), answered))

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filewright.functions import paths
-from filewright.operators.skew import DEFAULT_GUARD, SkewGuard, levels_of, rank_in_group, running_total
-from filewright.session import cut_lineage, estimated_bytes
+from filewright.operators.skew import DEFAULT_GUARD, NO_HOT_GROUPS, SkewGuard, levels_of, rank_in_group, running_total
+from filewright.session import cut_lineage
 
 FAMILY = ["_folder", "_root", "_ext"]
 
@@ -72,7 +72,7 @@ def _lost_before(queries: DataFrame, lost: DataFrame, out: str, guard: SkewGuard
     marks = lost.select(*FAMILY, "_slot").distinct().withColumn("_mark", F.lit(1))
     both = queries.withColumn("_mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
     # At the same slot the query comes first, and its own slot is not counted.
-    summed = running_total(both, FAMILY, ["_slot", "_mark"], F.col("_mark"), out, levels_of(F.col("_slot")), guard)
+    summed = running_total(both, FAMILY, ["_slot", "_mark"], {out: F.col("_mark")}, levels_of(F.col("_slot")), guard)
     return summed.where(F.col("_mark") == 0).drop("_mark")
 
 
@@ -116,8 +116,7 @@ def _lost_slots(state: DataFrame, lost: DataFrame | None) -> DataFrame:
 
 def _skip_lost(ranked: DataFrame, lost: DataFrame, seq: str, guard: SkewGuard) -> DataFrame:
     """Slot of each row: its rank plus the lost slots it has to pass."""
-    lost = lost.distinct()
-    numbered = running_total(lost, FAMILY, ["_slot"], F.lit(1), "_nth", levels_of(F.col("_slot")), guard)
+    numbered = running_total(lost, FAMILY, ["_slot"], {"_nth": F.lit(1)}, levels_of(F.col("_slot")), guard)
     # The n-th lost slot (n from 0) has slot - n free ones before it: rows of
     # that rank and later pass it. Runs of lost slots become one weighted mark.
     marks = numbered.groupBy(*FAMILY, (F.col("_slot") - F.col("_nth") + 1).alias("_rank")).agg(
@@ -125,7 +124,7 @@ def _skip_lost(ranked: DataFrame, lost: DataFrame, seq: str, guard: SkewGuard) -
     affected = lost.select(*FAMILY).distinct()
     rows = ranked.join(affected, FAMILY, "left_semi").withColumn("_weight", F.lit(0).cast("bigint"))
     both = rows.withColumn("_row", F.lit(1)).unionByName(marks.withColumn("_row", F.lit(0)), allowMissingColumns=True)
-    passed = running_total(both, FAMILY, ["_rank", "_row"], F.col("_weight"), "_passed", levels_of(F.col("_rank")), guard)
+    passed = running_total(both, FAMILY, ["_rank", "_row"], {"_passed": F.col("_weight")}, levels_of(F.col("_rank")), guard)
     moved = passed.where(F.col("_row") == 1).withColumn("_slot", F.col("_rank") + F.col("_passed"))
     rest = ranked.join(affected, FAMILY, "left_anti").withColumn("_slot", F.col("_rank"))
     columns = [*ranked.columns, "_slot"]
@@ -139,26 +138,24 @@ def unique_names(
     """Add ``out``, a name no other row and no existing file of the folder has.
 
     ``seq`` is a unique whole number that gives the plan order. ``existing``
-    has the columns ``folder`` and ``name``. Large plans are checkpointed first,
-    since they are read several times; small ones stay one lazy plan unless
-    numbered names meet copies of their own base name.
+    has the columns ``folder`` and ``name``. The plan is checkpointed, since
+    finding out which names meet reads it more than once.
     """
-    ranked = _family(plan, folder, name)
-    size = estimated_bytes(plan)
-    if size is None or size > guard.small_bytes:
-        ranked = cut_lineage(ranked)
+    ranked = cut_lineage(_family(plan, folder, name))
+    if ranked.count() < guard.min_rows:
+        guard = NO_HOT_GROUPS
     ranked = rank_in_group(ranked, FAMILY, seq, "_rank", guard)
     families = ranked.groupBy(*FAMILY).agg(F.count("*").alias("_rows"), F.min(seq).alias("_first"))
     lost = None
     if existing is not None:
         lost = _lost_to_files(existing, folder, name, separator)
-    children = _children(families, lost, separator)
+        lost = cut_lineage(lost.join(families.select(*FAMILY), FAMILY, "left_semi").distinct())
+    children = cut_lineage(_children(families, lost, separator))
     if not children.isEmpty():
-        lost = _settle(children, ranked, lost, seq, guard)
+        lost = cut_lineage(_settle(children, ranked, lost, seq, guard).distinct())
     if lost is None:
         slotted = ranked.withColumn("_slot", F.col("_rank"))
     else:
-        lost = lost.join(families.select(*FAMILY), FAMILY, "left_semi")
         slotted = _skip_lost(ranked, lost, seq, guard)
     return slotted.withColumn(out, numbered_name(F.col("_root"), F.col("_ext"), F.col("_slot"), separator)).drop(
         *FAMILY, "_rank", "_slot")

@@ -116,8 +116,8 @@ def progress(results: DataFrame, order: str = "result_seq", guard: SkewGuard = D
     micros = F.unix_micros("done_at")
     levels = [*levels_of(micros), micros, *levels_of(F.col(order))]
     failed = F.when(is_ok(F.col("error"), F.col("classification")), 0).otherwise(1)
-    both = running_total(results, ["route"], ["done_at", order], F.lit(1), "completed_on_route", levels, guard)
-    return running_total(both, ["route"], ["done_at", order], failed, "failed_on_route", levels, guard)
+    counts = {"completed_on_route": F.lit(1), "failed_on_route": failed}
+    return running_total(results, ["route"], ["done_at", order], counts, levels, guard)
 
 
 def progress_ticks(results: DataFrame, seconds: int = C.PROGRESS_TICK_SECONDS) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filewright.session import estimated_bytes
+from filewright.session import input_bytes
 
 BITS = 16
 
@@ -22,8 +22,8 @@ BITS = 16
 class SkewGuard:
     """When to look for hot groups, and what counts as one.
 
-    Inputs Catalyst estimates at or below ``small_bytes`` cannot hold a group
-    too large for a task, and are not looked at.
+    Inputs of at most ``small_bytes`` cannot hold a group too large for a task,
+    and are not looked at.
     """
 
     small_bytes: int = 256 << 20
@@ -33,6 +33,8 @@ class SkewGuard:
 
 
 DEFAULT_GUARD = SkewGuard()
+# For data known to hold fewer rows than a hot group needs.
+NO_HOT_GROUPS = SkewGuard(max_groups=0)
 
 
 def _group_hash(keys: Sequence[str]) -> Column:
@@ -45,7 +47,9 @@ def hot_groups(df: DataFrame, keys: Sequence[str], guard: SkewGuard = DEFAULT_GU
     One scan with a frequent-items sketch of fixed size, merged from all tasks.
     The list only says where to cut; results do not depend on it.
     """
-    size = estimated_bytes(df)
+    if not guard.max_groups:
+        return []
+    size = input_bytes(df)
     if size is not None and size <= guard.small_bytes:
         return []
     found = (
@@ -63,51 +67,52 @@ def levels_of(position: Column, bits: Sequence[int] = (48, 32, 16)) -> list[Colu
     return [F.shiftright(position.cast("bigint"), b) for b in bits]
 
 
-def _offsets(totals: DataFrame, keys: list[str], levels: list[str]) -> DataFrame:
-    """Sum of all earlier buckets for each bucket of a group."""
+def _offsets(totals: DataFrame, keys: list[str], levels: list[str], sums: list[str]) -> DataFrame:
+    """Sums of all earlier buckets for each bucket of a group."""
     outer = levels[:-1]
     earlier = Window.partitionBy(*keys, *outer).orderBy(levels[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    out = totals.withColumn("_off", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    out = totals.select(
+        *keys, *levels, *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_off{s}") for s in sums])
     if not outer:
-        return out.drop("_sum")
-    above = _offsets(totals.groupBy(*keys, *outer).agg(F.sum("_sum").alias("_sum")), keys, outer)
-    above = above.withColumnRenamed("_off", "_above")
-    return out.drop("_sum").join(above, [*keys, *outer]).withColumn("_off", F.col("_off") + F.col("_above")).drop("_above")
+        return out
+    coarser = totals.groupBy(*keys, *outer).agg(*[F.sum(s).alias(s) for s in sums])
+    above = _offsets(coarser, keys, outer, sums).withColumnsRenamed({f"_off{s}": f"_above{s}" for s in sums})
+    joined = out.join(above, [*keys, *outer])
+    return joined.select(*keys, *levels, *[(F.col(f"_off{s}") + F.col(f"_above{s}")).alias(f"_off{s}") for s in sums])
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
     levels: Sequence[Column], guard: SkewGuard = DEFAULT_GUARD,
 ) -> DataFrame:
-    """Add ``out``: sum of ``value`` within ``keys`` up to and including the row.
+    """Add a column per entry of ``values``: its sum within ``keys`` up to and
+    including the row.
 
     ``order`` must be total within a group. ``levels`` are buckets from coarse
     to fine whose order, read one after the other, agrees with ``order``; they
     serve hot groups only. Group keys must not be NULL.
     """
     keys, order = list(keys), list(order)
-    df = df.withColumn("_value", value)
+    sums = {f"_sum{i}": out for i, out in enumerate(values)}
+    df = df.withColumns({s: values[out] for s, out in sums.items()})
     hot = hot_groups(df, keys, guard)
     if not hot:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum("_value").over(window)).drop("_value")
+        return df.withColumns({out: F.sum(s).over(window) for s, out in sums.items()}).drop(*sums)
     is_hot = _group_hash(keys).isin(hot)
     names = [f"_level{i}" for i in range(len(levels))]
     cut = df.withColumns({n: F.when(is_hot, level) for n, level in zip(names, levels)})
     window = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumn("_local", F.sum("_value").over(window))
-    totals = cut.where(is_hot).groupBy(*keys, *names).agg(F.sum("_value").alias("_sum"))
-    offsets = _offsets(totals, keys, names)
-    return (
-        local.join(offsets, [*keys, *names], "left")
-        .withColumn(out, F.col("_local") + F.coalesce("_off", F.lit(0)))
-        .drop("_value", "_local", "_off", *names)
-    )
+    local = cut.withColumns({out: F.sum(s).over(window) for s, out in sums.items()})
+    totals = cut.where(is_hot).groupBy(*keys, *names).agg(*[F.sum(s).alias(s) for s in sums])
+    joined = local.join(_offsets(totals, keys, names, list(sums)), [*keys, *names], "left")
+    joined = joined.withColumns({out: F.col(out) + F.coalesce(f"_off{s}", F.lit(0)) for s, out in sums.items()})
+    return joined.drop(*sums, *[f"_off{s}" for s in sums], *names)
 
 
 def rank_in_group(
     df: DataFrame, keys: Sequence[str], order: str, out: str, guard: SkewGuard = DEFAULT_GUARD,
 ) -> DataFrame:
     """Add ``out``: zero-based position by a unique whole-number column."""
-    total = running_total(df, keys, [order], F.lit(1), out, levels_of(F.col(order)), guard)
+    total = running_total(df, keys, [order], {out: F.lit(1)}, levels_of(F.col(order)), guard)
     return total.withColumn(out, (F.col(out) - 1).cast("bigint"))

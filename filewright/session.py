@@ -1,4 +1,4 @@
-"""Session settings and the two helpers that look at a plan's size and lineage."""
+"""Session settings and helpers that look at a plan's input size and lineage."""
 
 from __future__ import annotations
 
@@ -28,10 +28,14 @@ def build_session(app: str = "filewright", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Size Catalyst estimates for ``df``, or None where the plan is not at hand."""
+def input_bytes(df: DataFrame) -> int | None:
+    """Size of everything ``df`` reads, or None where that is not known.
+
+    Sizes of joins are rough products, so only the leaves of the plan count.
+    """
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
     except Exception:
         return None
 
