@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from filewright import constants as C
 from filewright.functions import text as X
+from filewright.functions.binding import let
 from filewright.functions.verdicts import unknown, verdict
 
 PROMPT = """Decide which one of these categories the file belongs to:
@@ -55,11 +56,6 @@ def strip_fence(reply: Column) -> Column:
     return X.strip(F.regexp_replace(out, r"```\z", ""))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, with the value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _parse(cleaned: Column) -> Column:
     """Variant of a text that is one JSON value and nothing more, else NULL.
 
@@ -72,7 +68,7 @@ def _parse(cleaned: Column) -> Column:
         alone = keyed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
         return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
 
-    return _let(F.try_parse_json(F.concat(F.lit("["), cleaned, F.lit("]"))), single)
+    return let(F.try_parse_json(F.concat(F.lit("["), cleaned, F.lit("]"))), single)
 
 
 def _plain_numbers(cleaned: Column) -> Column:
@@ -127,12 +123,12 @@ def _verdict_of(data: Column, categories: Sequence[str]) -> Column:
                 F.concat(F.lit("AI suggested unknown category "), quoted(category)), C.METHOD_MODEL))
         )
 
-    return _let(F.struct(
-        _let(field("category"), lambda v: _shown(v, C.UNKNOWN)).alias("category"),
+    return let(F.struct(
+        let(field("category"), lambda v: _shown(v, C.UNKNOWN)).alias("category"),
         F.schema_of_variant(field("confidence")).alias("kind"),
         F.try_variant_get(data, "$.confidence", "string").alias("text"),
         F.try_variant_get(data, "$.confidence", "double").alias("number"),
-        _let(field("reason"), lambda v: _shown(v, C.REASON_DEFAULT_REPLY)).alias("reason"),
+        let(field("reason"), lambda v: _shown(v, C.REASON_DEFAULT_REPLY)).alias("reason"),
     ), judged)
 
 
@@ -151,7 +147,7 @@ def parse_reply(reply: Column, categories: Sequence[str]) -> Column:
         )
 
     def answered(cleaned: Column) -> Column:
-        return _let(F.coalesce(_parse(cleaned), _parse(_plain_numbers(cleaned))), parsed)
+        return let(F.coalesce(_parse(cleaned), _parse(_plain_numbers(cleaned))), parsed)
 
     return F.when(X.is_blank(reply), unknown(C.REASON_EMPTY_REPLY, C.METHOD_MODEL)).otherwise(
-        _let(strip_fence(reply), answered))
+        let(strip_fence(reply), answered))

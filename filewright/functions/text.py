@@ -10,8 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from filewright import constants as C
+from filewright.functions.binding import let
 
-# Unicode white space, as a regular-expression class body.
+# Unicode white space, as characters and as a regular-expression class body.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 # What is redacted, in this order. Order decides the result, since
@@ -33,11 +38,15 @@ SPECIFIC_FIRST = ["JWT_TOKEN", "AWS_KEY", "URL", "EMAIL", "PHONE"]
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | ~F.rlike(text, F.lit(rf"[^{SPACE}]"))
+    return F.coalesce(strip(text) == "", F.lit(True))
+
+
+# Text that must be there for a pattern to match; looked up before the pattern runs.
+NEEDED = {"EMAIL": "@", "URL": "://", "JWT_TOKEN": "eyJ"}
 
 
 def _order(order: str) -> list[str]:
@@ -48,22 +57,36 @@ def _order(order: str) -> list[str]:
     raise ValueError(f"unknown redaction order: {order!r}")
 
 
+def _replace(text: Column, entity: str) -> Column:
+    def replaced(t: Column) -> Column:
+        return F.regexp_replace(t, PATTERNS[entity], f"[{entity}_REDACTED]")
+
+    if entity not in NEEDED:
+        return replaced(text)
+    return let(text, lambda t: F.when(F.contains(t, F.lit(NEEDED[entity])), replaced(t)).otherwise(t))
+
+
 def redact(text: Column, order: str = "default") -> Column:
     """Replace personal data by ``[<ENTITY>_REDACTED]``; NULL becomes ''."""
     out = F.coalesce(text, F.lit(""))
     for entity in _order(order):
-        out = F.regexp_replace(out, PATTERNS[entity], f"[{entity}_REDACTED]")
+        out = _replace(out, entity)
     return out
 
 
 def redaction_counts(text: Column, order: str = "default") -> Column:
     """Struct of hits per entity, each counted on what the earlier ones left."""
-    out = F.coalesce(text, F.lit(""))
-    counts = {}
-    for entity in _order(order):
-        counts[entity] = F.regexp_count(out, F.lit(PATTERNS[entity]))
-        out = F.regexp_replace(out, PATTERNS[entity], f"[{entity}_REDACTED]")
-    return F.struct(*[counts[e].alias(e.lower()) for e in ENTITIES])
+    def count(entities: list[str], counts: dict[str, Column], rest: Column) -> Column:
+        if not entities:
+            return F.struct(*[counts[e].alias(e.lower()) for e in ENTITIES])
+        entity, *later = entities
+        hits = F.regexp_count(rest, F.lit(PATTERNS[entity]))
+        if entity in NEEDED:
+            hits = F.when(F.contains(rest, F.lit(NEEDED[entity])), hits).otherwise(0)
+        counts = {**counts, entity: hits}
+        return let(_replace(rest, entity), lambda t: count(later, counts, t))
+
+    return let(F.coalesce(text, F.lit("")), lambda t: count(_order(order), {}, t))
 
 
 def snippet(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from filewright import constants as C
 from filewright.config import RetentionPolicy
 from filewright.functions import paths
+from filewright.functions.literals import map_of
 
 
 def disposition(category: Column, policy: RetentionPolicy) -> Column:
@@ -16,8 +17,7 @@ def disposition(category: Column, policy: RetentionPolicy) -> Column:
     The failure sits in the value itself, so no plan that uses the disposition
     can lose it.
     """
-    table = F.create_map(*[F.lit(v) for pair in policy.by_category.items() for v in pair])
-    found = F.try_element_at(table, category)
+    found = F.try_element_at(map_of(policy.by_category.items()), category)
     lost = F.concat(F.lit("category '"), F.coalesce(category, F.lit("None")),
                     F.lit("' has no disposition in the retention policy"))
     return F.when(found.isNull(), F.raise_error(lost)).otherwise(found)

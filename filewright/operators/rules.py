@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from filewright import constants as C
 from filewright.config import Taxonomy
 from filewright.functions import paths, tokens
+from filewright.functions.literals import array_of, quote
 from filewright.functions.verdicts import verdict
 
 RULE_TABLE = "ext string, rules array<struct<needle:string,category:string,keyword:string>>"
@@ -31,18 +32,17 @@ def with_markers(df: DataFrame, taxonomy: Taxonomy, out: str = "marker") -> Data
     """Verdict of the first marker pattern found in ``flat``."""
     if not taxonomy.markers:
         return df.withColumn(out, F.lit(None).cast("struct<category:string,confidence:int,method:string,reason:string>"))
-    flat = F.col("flat")
     # Most names hold no marker; one alternation settles those.
     any_marker = "|".join(f"(?:{pattern})" for pattern, _, _ in taxonomy.markers)
-    first = None
-    for position, (pattern, _, _) in enumerate(taxonomy.markers, 1):
-        found = F.rlike(flat, F.lit(pattern))
-        first = F.when(found, position) if first is None else first.when(found, position)
-    categories = F.array(*[F.lit(c) for _, c, _ in taxonomy.markers])
-    reasons = F.array(*[F.lit(r) for _, _, r in taxonomy.markers])
+    cases = " ".join(
+        f"WHEN rlike(flat, {quote(pattern)}) THEN {position}"
+        for position, (pattern, _, _) in enumerate(taxonomy.markers, 1))
+    first = F.expr(f"CASE WHEN rlike(flat, {quote(any_marker)}) THEN CASE {cases} END END")
+    categories = array_of(c for _, c, _ in taxonomy.markers)
+    reasons = array_of(r for _, _, r in taxonomy.markers)
     position = F.col("_position")
     return (
-        df.withColumn("_position", F.when(F.rlike(flat, F.lit(any_marker)), first))
+        df.withColumn("_position", first)
         .withColumn(out, F.when(position.isNotNull(), verdict(
             F.element_at(categories, position), C.CONFIDENCE_MARKER, C.METHOD_MARKER,
             F.element_at(reasons, position))))
