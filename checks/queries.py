@@ -343,12 +343,12 @@ def disposition_counts(spark, d):
 
 def _existing(spark, d):
     """Files already in the bundle: copies of names of the plan, some numbered."""
-    p = _plan(spark, d).where("seq % 7 = 0").select(
-        "category", paths.basename(F.col("path")).alias("name"), "seq")
+    p = _plan(spark, d).where("seq % 7 = 0").select("category", paths.basename(F.col("path")).alias("name"), "seq")
     root, ext = paths.root_and_extension(F.col("name"))
-    numbered = p.withColumn("name", F.concat(root, F.lit("_"), (F.col("seq") % 5 + 1).cast("string"), ext))
-    both = p.unionByName(numbered)
-    return both.select(F.concat_ws("/", F.lit("/bundle"), "category", "name").alias("path"))
+    numbered = F.concat(root, F.lit("_"), (F.col("seq") % 5 + 1).cast("string"), ext)
+    return p.select(F.explode(F.array(
+        F.concat_ws("/", F.lit("/bundle"), "category", "name"),
+        F.concat_ws("/", F.lit("/bundle"), F.col("category"), numbered))).alias("path"))
 
 
 def export_plan(spark, d):

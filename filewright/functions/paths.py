@@ -14,14 +14,22 @@ def dirname(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*\z", "")
 
 
+def _last_part(name: Column) -> Column:
+    """The last dot and what follows, if anything but dots stands before it."""
+    last = F.substring_index(name, ".", -1)
+    before = F.left(name, F.length(name) - F.length(last) - 1)
+    starts = F.contains(name, F.lit(".")) & (F.ltrim(before, F.lit(".")) != "")
+    return F.when(starts, F.concat(F.lit("."), last)).otherwise("")
+
+
 def extension(name: Column) -> Column:
     """Lower-case extension with its dot; leading dots never start one."""
-    return F.lower(F.regexp_extract(name, r"(?s)^\.*[^.].*?(\.[^.]*)\z", 1))
+    return F.lower(_last_part(name))
 
 
 def root_and_extension(name: Column) -> tuple[Column, Column]:
     """Split where ``extension`` does, case kept: ``a.tar.gz`` -> ``a.tar``, ``.gz``."""
-    ext = F.regexp_extract(name, r"(?s)^\.*[^.].*?(\.[^.]*)\z", 1)
+    ext = _last_part(name)
     return F.left(name, F.length(name) - F.length(ext)), ext
 
 

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# A lower-to-upper change, the last capital before a lower-case letter, or a run
+# of anything that is not ASCII alphanumeric.
+BREAK = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[^A-Za-z0-9]+"
+
+
 def flat_name(name: Column) -> Column:
     """Lower-case words of a file name, extension included, joined by one space.
 
@@ -13,10 +18,7 @@ def flat_name(name: Column) -> Column:
     acronym that runs into a word, and at everything that is not ASCII
     alphanumeric.
     """
-    out = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2")
-    out = F.regexp_replace(out, "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    out = F.regexp_replace(out, "[^A-Za-z0-9]+", " ")
-    return F.lower(F.trim(out))
+    return F.lower(F.trim(F.regexp_replace(name, BREAK, " ")))
 
 
 def tokens(flat: Column) -> Column:

@@ -138,8 +138,8 @@ def unique_names(
     """Add ``out``, a name no other row and no existing file of the folder has.
 
     ``seq`` is a unique whole number that gives the plan order. ``existing``
-    has the columns ``folder`` and ``name``. The plan is checkpointed, since
-    finding out which names meet reads it more than once.
+    has the columns ``folder`` and ``name``. The plan is written out first,
+    since finding out which names meet reads it more than once.
     """
     ranked = cut_lineage(_family(plan, folder, name))
     if ranked.count() < guard.min_rows:

@@ -7,6 +7,9 @@ on the extension, whose build side is as large as the taxonomy and no larger.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +31,32 @@ def with_names(files: DataFrame, path: str = "path") -> DataFrame:
     })
 
 
+def _any_of(patterns: Sequence[str]) -> str:
+    """One pattern found wherever any of the patterns is.
+
+    Those that start at a word share that test, so that the list is tried once
+    a word instead of once a character.
+    """
+    at_word = [p[2:] for p in patterns if p.startswith(r"\b") and not _has_outer_bar(p)]
+    others = [p for p in patterns if not p.startswith(r"\b") or _has_outer_bar(p)]
+    parts = [rf"\b(?:{'|'.join(at_word)})"] if at_word else []
+    return "|".join([*parts, *(f"(?:{p})" for p in others)])
+
+
+def _has_outer_bar(pattern: str) -> bool:
+    """Whether a pattern has an alternation that no group closes in."""
+    bare = re.sub(r"\\.|\[(?:\\.|[^\]])*\]", "", pattern)
+    while (inner := re.sub(r"\([^()]*\)", "", bare)) != bare:
+        bare = inner
+    return "|" in bare
+
+
 def with_markers(df: DataFrame, taxonomy: Taxonomy, out: str = "marker") -> DataFrame:
     """Verdict of the first marker pattern found in ``flat``."""
     if not taxonomy.markers:
         return df.withColumn(out, F.lit(None).cast("struct<category:string,confidence:int,method:string,reason:string>"))
     # Most names hold no marker; one alternation settles those.
-    any_marker = "|".join(f"(?:{pattern})" for pattern, _, _ in taxonomy.markers)
+    any_marker = _any_of([pattern for pattern, _, _ in taxonomy.markers])
     cases = " ".join(
         f"WHEN rlike(flat, {quote(pattern)}) THEN {position}"
         for position, (pattern, _, _) in enumerate(taxonomy.markers, 1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,13 +42,18 @@ def input_bytes(df: DataFrame) -> int | None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+    """``df`` written once to the cluster's shared folder and read back.
 
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is taken
-    only where nothing is set, as in local tests.
+    A written table is computed once, where a checkpoint computes its input a
+    second time; it also keeps column pruning and a known size. The folder comes
+    from ``spark.checkpoint.dir``; a temporary one is taken only where nothing
+    is set, as in local tests.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="filewright-checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="filewright-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/filewright-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
