@@ -218,22 +218,25 @@ def ai_pipeline_plan(spark, d):
 
 def scored_plan(spark, d):
     """The model stage with a scorer that runs in Python workers."""
-    return pipeline.classify(X.files(spark, d), TAXONOMY, scorer=sample_scorer).select(*PLAN)
+    return pipeline.classify(X.files(spark, d), TAXONOMY, scorer=sample_scorer(X.ANSWERS)).select(*PLAN)
 
 
-def sample_scorer():
-    """Answers by the length of the text in the prompt; stands in for a model."""
-    import json
+def sample_scorer(answers: list[str]):
+    """Factory of a scorer that answers by the length of the text in the prompt."""
+    def factory():
+        import json
 
-    def score(prompts: list[str], models: list[str]) -> list[str]:
-        out = []
-        for prompt in prompts:
-            size = len(prompt.split("Start of its text: ", 1)[1].split("\n\nTrust clear markers", 1)[0])
-            category = X.ANSWERS[size % len(X.ANSWERS)]
-            out.append(json.dumps({"category": category, "confidence": size % 101, "reason": f"length {size}"}))
-        return out
+        def score(prompts: list[str], models: list[str]) -> list[str]:
+            out = []
+            for prompt in prompts:
+                size = len(prompt.split("Start of its text: ", 1)[1].split("\n\nTrust clear markers", 1)[0])
+                reply = {"category": answers[size % len(answers)], "confidence": size % 101, "reason": f"length {size}"}
+                out.append(json.dumps(reply))
+            return out
 
-    return score
+        return score
+
+    return factory
 
 
 def prefilter_plan(spark, d):

@@ -22,38 +22,40 @@ Scorer = Callable[[list[str], list[str]], list[str]]
 ScorerFactory = Callable[[], Scorer]
 
 
-def _safely(score: Scorer, prompts: list, models: list) -> list[tuple]:
-    """(reply, error) per prompt; one bad prompt spoils neither batch nor task."""
-    try:
-        answers = list(score(prompts, models))
-        if len(answers) == len(prompts):
-            return [(a, None) for a in answers]
-    except Exception:
-        pass
-    out = []
-    for prompt, model in zip(prompts, models):
-        try:
-            out.append((list(score([prompt], [model]))[0], None))
-        except Exception as exc:
-            out.append((None, f"{type(exc).__name__}: {exc}"))
-    return out
+def scorer_udf(factory: ScorerFactory):
+    """UDF (prompt, model) -> struct<reply, error> around a scorer factory.
 
+    One bad prompt spoils neither its batch nor its task: when a batch fails,
+    its prompts are tried one by one.
+    """
 
-def scorer_udf(factory: ScorerFactory):
-    """UDF (prompt, model) -> struct<reply, error> around a scorer factory."""
+    def answer(score, prompts: list, models: list) -> list[tuple]:
+        try:
+            answers = list(score(prompts, models))
+            if len(answers) == len(prompts):
+                return [(a, None) for a in answers]
+        except Exception:
+            pass
+        out = []
+        for prompt, model in zip(prompts, models):
+            try:
+                out.append((list(score([prompt], [model]))[0], None))
+            except Exception as exc:
+                out.append((None, f"{type(exc).__name__}: {exc}"))
+        return out
 
     @F.pandas_udf("reply string, error string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         score = None
         for prompts, models in batches:
-            out = pd.DataFrame({"reply": [None] * len(prompts), "error": [None] * len(prompts)}, dtype=object)
+            replies, errors = [None] * len(prompts), [None] * len(prompts)
             wanted = prompts.notna().to_numpy().nonzero()[0]
             if len(wanted):
                 score = score or factory()
-                pairs = _safely(score, prompts.iloc[wanted].tolist(), models.iloc[wanted].tolist())
+                pairs = answer(score, prompts.iloc[wanted].tolist(), models.iloc[wanted].tolist())
                 for position, (reply, error) in zip(wanted, pairs):
-                    out.iat[position, 0], out.iat[position, 1] = reply, error
-            yield out
+                    replies[position], errors[position] = reply, error
+            yield pd.DataFrame({"reply": replies, "error": errors}, dtype=object)
 
     return run
 

@@ -34,8 +34,9 @@ def read_text(spark: SparkSession, folder: str, recursive: bool = False) -> Data
         spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
         .select("path", "length", "content")
     )
-    # A bad byte decodes to U+FFFD. A text that holds a real U+FFFD loses it too.
-    text = F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit(""))
+    text = F.col("content").cast("string")
+    # Bad bytes become U+FFFD; a text with both loses its real ones as well.
+    text = F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
     return raw.select(
         F.regexp_replace("path", r"\A\w+:/+", "/").alias("path"), F.col("length").alias("size_bytes"), text.alias("text"))
 

@@ -64,23 +64,30 @@ def table_preview(df: DataFrame, order: Sequence[str], columns: Sequence[str] |
     return first.agg(format_preview(F.array(*[F.lit(c) for c in columns]), lines).alias("preview"))
 
 
-def _preview(text: str | None) -> str | None:
-    if text is None:
-        return None
-    try:
-        records = list(islice(csv.reader(io.StringIO(text, newline="")), C.PREVIEW_ROWS + 1))
-    except csv.Error:
-        return ""
-    if not records:
-        return ""
-    lines = [", ".join(record) for record in records]
-    return "Columns: " + lines[0] + "\nData:\n" + "\n".join(lines[1:])
-
-
-@F.pandas_udf(T.StringType())
-def csv_preview(texts: pd.Series) -> pd.Series:
+def _csv_reader(rows: int):
+    """UDF for the preview of CSV text. It carries all it needs, so that workers
+    run it without this package."""
+
+    def preview(text):
+        try:
+            records = list(islice(csv.reader(io.StringIO(text, newline="")), rows + 1))
+        except csv.Error:
+            return ""
+        if not records:
+            return ""
+        lines = [", ".join(record) for record in records]
+        return "Columns: " + lines[0] + "\nData:\n" + "\n".join(lines[1:])
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(preview, na_action="ignore")
+
+    return run
+
+
+def csv_preview(text: Column | str, rows: int = C.PREVIEW_ROWS) -> Column:
     """Header and first rows of CSV text; quoted line breaks need a real reader."""
-    return texts.map(_preview, na_action="ignore")
+    return _csv_reader(rows)(text)
 
 
 def with_snippet(

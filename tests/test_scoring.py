@@ -113,16 +113,19 @@ def test_below_threshold_and_blank_text_fall_back_to_rules(spark):
 
 
 def failing_on_b():
-    def score(prompts, models):
-        if any("/b" in p or "b_Resume" in p for p in prompts):
-            raise RuntimeError("bad prompt")
-        return ['{"category":"Medical_Health","confidence":90}'] * len(prompts)
+    def factory():
+        def score(prompts, models):
+            if any("b_Resume" in p for p in prompts):
+                raise RuntimeError("bad prompt")
+            return ['{"category":"Medical_Health","confidence":90}'] * len(prompts)
+
+        return score
 
-    return score
+    return factory
 
 
 def test_a_failing_row_skips_the_stage_for_that_row_only(spark):
-    got = plan(spark, ["a_Resume.pdf", "b_Resume.pdf", "c_Resume.pdf"], failing_on_b)
+    got = plan(spark, ["a_Resume.pdf", "b_Resume.pdf", "c_Resume.pdf"], failing_on_b())
     assert [got[n].category for n in sorted(got)] == ["Medical_Health", "Resumes_Career_Tech", "Medical_Health"]
 
 
@@ -141,12 +144,15 @@ def test_scorer_sees_only_rows_that_need_it(spark):
 
 
 def models_used():
-    return lambda prompts, models: [json.dumps({"category": "Medical_Health", "confidence": 99, "reason": m}) for m in models]
+    def factory():
+        return lambda prompts, models: ['{"category":"Medical_Health","confidence":99,"reason":"%s"}' % m for m in models]
+
+    return factory
 
 
 def test_model_follows_the_route(spark):
     df = files(spark, ["a.pdf", "b.pdf"]).withColumn("size_bytes", F.when(F.col("seq") == 0, 10).otherwise(3 << 20).cast("bigint"))
-    got = {r.seq: r.reason for r in pipeline.classify(df, TAXONOMY, scorer=models_used).collect()}
+    got = {r.seq: r.reason for r in pipeline.classify(df, TAXONOMY, scorer=models_used()).collect()}
     assert got == {0: "qwen2.5:7b", 1: "qwen2.5:14b"}
 
 
