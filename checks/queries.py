@@ -13,7 +13,9 @@ from filewright.functions import paths, replies as R, text as T, tokens, wire
 from filewright.functions.verdicts import is_confident
 from filewright.operators import placement, policy, reconcile, routing, rules
 from filewright.plans import pipeline
+from filewright.session import cut_lineage, shared_path
 from filewright.sources import inventory, previews
+from filewright.streaming import classify_stream, progress_stream, start, worker_stats_stream, write_once
 
 TAXONOMY = Taxonomy()
 POLICY = RetentionPolicy.default()
@@ -384,7 +386,7 @@ def move_plan(spark, d):
 
 
 def _undo_input(spark, d):
-    moves = move_plan(spark, d)
+    moves = cut_lineage(move_plan(spark, d))
     log = placement.move_log(moves, "run-1", "2024-01-01 00:00:00")
     # Four moved files in five are still there; some places were taken again.
     present = moves.where("seq % 5 <> 0").select(F.col("dest").alias("path"))
@@ -404,6 +406,32 @@ def undo_counts(spark, d):
     return placement.undo_counts(placement.undo_plan(log, listing))
 
 
+# ---------------------------------------------------------------- streams
+
+
+def _run(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Everything a stream reports for the input that is there now."""
+    spark = stream.sparkSession
+    out = shared_path(spark)
+    start(stream, write_once(out), shared_path(spark), mode).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch_id=*")
+
+
+def stream_classify(spark, d):
+    files = X.files(spark, d, X.load_stream).select("seq", "path", "size_bytes")
+    return _run(classify_stream(files, TAXONOMY, pipeline.RULES_ONLY).select(*PLAN))
+
+
+def stream_progress(spark, d):
+    ticks = progress_stream(X.results(spark, d, X.load_stream))
+    return _run(ticks, "update").select("route", "tick_end", "completed", "failed")
+
+
+def stream_worker_stats(spark, d):
+    stats = worker_stats_stream(X.results(spark, d, X.load_stream))
+    return _run(stats, "update").withColumn("total_duration_ms", F.round("total_duration_ms", 2))
+
+
 QUERIES = {f.__name__: f for f in (
     inventory_filtered, inventory_top_level, path_parts, tokenize_names, tokenize_parts, hc_match, keyword_match,
     junk_and_archives, rules_plan, category_counts, confident_files, text_snippet, snippet_redacted, redact_text,
@@ -413,5 +441,6 @@ QUERIES = {f.__name__: f for f in (
     merged_plan, prefilter_hits, job_verdicts, job_verdicts_batch_deadline, stray_results, orchestration_stats,
     worker_stats, route_backlog, progress_running, progress_ticks, job_json_roundtrip, job_json_defaults,
     result_json_roundtrip, make_jobs, elapsed_times, disposition_partition, disposition_counts, export_plan,
-    export_barred, manifest, review_list, policy_drift, move_plan, undo_plan, undo_counts,
+    export_barred, manifest, review_list, policy_drift, move_plan, undo_plan, undo_counts, stream_classify,
+    stream_progress, stream_worker_stats,
 )}

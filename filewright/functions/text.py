@@ -74,17 +74,23 @@ def redact(text: Column, order: str = "default") -> Column:
     return out
 
 
+def _occurrences(text: Column, entity: str) -> Column:
+    mark = f"[{entity}_REDACTED]"
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))) / F.lit(len(mark))
+
+
 def redaction_counts(text: Column, order: str = "default") -> Column:
-    """Struct of hits per entity, each counted on what the earlier ones left."""
+    """Struct of hits per entity, each counted on what the earlier ones left.
+
+    A hit leaves its placeholder, and no pattern matches across one; so the
+    placeholders gained are the hits, and each pattern runs once.
+    """
     def count(entities: list[str], counts: dict[str, Column], rest: Column) -> Column:
         if not entities:
-            return F.struct(*[counts[e].alias(e.lower()) for e in ENTITIES])
+            return F.struct(*[counts[e].cast("int").alias(e.lower()) for e in ENTITIES])
         entity, *later = entities
-        hits = F.regexp_count(rest, F.lit(PATTERNS[entity]))
-        if entity in NEEDED:
-            hits = F.when(F.contains(rest, F.lit(NEEDED[entity])), hits).otherwise(0)
-        counts = {**counts, entity: hits}
-        return let(_replace(rest, entity), lambda t: count(later, counts, t))
+        return let(_replace(rest, entity), lambda t: count(
+            later, {**counts, entity: _occurrences(t, entity) - _occurrences(rest, entity)}, t))
 
     return let(F.coalesce(text, F.lit("")), lambda t: count(_order(order), {}, t))
 

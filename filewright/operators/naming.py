@@ -88,8 +88,8 @@ def _settle(children: DataFrame, ranked: DataFrame, lost: DataFrame | None, seq:
         ranked.join(wanted, FAMILY, "left_semi").select(*FAMILY, F.col("_rank").alias("_turn"), F.col(seq).alias("_at")))
     if lost is not None:
         # A file that exists settles its slot for both families.
-        children = children.join(lost.select(*FAMILY, "_slot").distinct(), [*FAMILY, "_slot"], "left_anti")
-    state = cut_lineage(children.withColumns({"_lost": F.lit(True), "_taken": F.lit(False)}))
+        children = cut_lineage(children.join(lost, [*FAMILY, "_slot"], "left_anti"))
+    state = children.withColumns({"_lost": F.lit(True), "_taken": F.lit(False)})
     while True:
         now_lost = _lost_slots(state, lost)
         query = state.withColumnsRenamed({"_lost": "_lost_old", "_taken": "_taken_old"})
@@ -152,7 +152,7 @@ def unique_names(
         lost = cut_lineage(lost.join(families.select(*FAMILY), FAMILY, "left_semi").distinct())
     children = cut_lineage(_children(families, lost, separator))
     if not children.isEmpty():
-        lost = cut_lineage(_settle(children, ranked, lost, seq, guard).distinct())
+        lost = _settle(children, ranked, lost, seq, guard).distinct()
     if lost is None:
         slotted = ranked.withColumn("_slot", F.col("_rank"))
     else:

@@ -56,7 +56,9 @@ def with_model(
     if where is not None:
         wanted = wanted & where
     if replies is not None:
-        df = scoring.with_reply_table(df, replies, wanted)
+        # One flag crosses the join's shuffle in place of the text it came from.
+        df = df.withColumn("_wanted", wanted).drop(*added)
+        df = scoring.with_reply_table(df, replies, F.col("_wanted"))
         df = df.withColumn("_error", F.lit(None).cast("string"))
     else:
         prompt = R.build_prompt(F.col("name"), F.col("snippet"), taxonomy.names)
@@ -68,7 +70,8 @@ def with_model(
     # No reply row at all means the stage was not asked.
     asked = F.col("reply").isNotNull() | F.col("_error").isNotNull()
     answer = scoring.model_verdict(F.col("reply"), taxonomy, threshold, F.col("_error"))
-    return df.withColumn(out, F.when(asked, answer)).drop("reply", "_error", "_prompt", "_model", *added)
+    return df.withColumn(out, F.when(asked, answer)).drop(
+        "reply", "_error", "_prompt", "_model", "_wanted", *added)
 
 
 def classify(

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call sites of single columns cost more than building the columns.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # A scorer reply may repeat a key; the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
@@ -41,19 +43,25 @@ def input_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written once to the cluster's shared folder and read back.
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share.
 
-    A written table is computed once, where a checkpoint computes its input a
-    second time; it also keeps column pruning and a known size. The folder comes
-    from ``spark.checkpoint.dir``; a temporary one is taken only where nothing
-    is set, as in local tests.
+    The folder comes from ``spark.checkpoint.dir``; a temporary one is taken
+    only where nothing is set, as in local tests.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         folder = tempfile.mkdtemp(prefix="filewright-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/filewright-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/filewright-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    A written table is computed once, where a checkpoint computes its input a
+    second time; it also keeps column pruning and a known size.
+    """
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
