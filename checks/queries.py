@@ -214,7 +214,7 @@ def build_prompts(spark, d):
     return f.where(~T.is_blank(F.col("snippet"))).select("seq", prompt.alias("prompt"))
 
 
-def ai_pipeline_plan(spark, d):
+def model_stage_plan(spark, d):
     return pipeline.classify(X.files(spark, d), TAXONOMY, replies=X.replies(spark, d)).select(*PLAN)
 
 
@@ -315,7 +315,7 @@ def result_json_roundtrip(spark, d):
     out = wire.decode_results(encoded, done_at=F.col("done_at"))
     return out.select(
         "job_id", "file_path", "route", "worker_id", "duration_ms", F.col("classification.category").alias("category"),
-        F.col("classification.confidence").alias("confidence"), "error",
+        F.coalesce("classification.confidence", F.lit(-1)).alias("confidence"), "error",
         reconcile.is_ok(F.col("error"), F.col("classification")).alias("ok"))
 
 
@@ -437,7 +437,7 @@ QUERIES = {f.__name__: f for f in (
     junk_and_archives, rules_plan, category_counts, confident_files, text_snippet, snippet_redacted, redact_text,
     redact_specific_first, redaction_counts, snippet_dispatch, html_snippet, page_snippet, paragraph_snippet,
     table_preview, csv_preview, route_files, route_counts, active_routes, capacity_plan, walltime_estimate,
-    model_for_route, parse_replies, accepted_replies, build_prompts, ai_pipeline_plan, scored_plan, prefilter_plan,
+    model_for_route, parse_replies, accepted_replies, build_prompts, model_stage_plan, scored_plan, prefilter_plan,
     merged_plan, prefilter_hits, job_verdicts, job_verdicts_batch_deadline, stray_results, orchestration_stats,
     worker_stats, route_backlog, progress_running, progress_ticks, job_json_roundtrip, job_json_defaults,
     result_json_roundtrip, make_jobs, elapsed_times, disposition_partition, disposition_counts, export_plan,

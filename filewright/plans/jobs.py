@@ -16,16 +16,17 @@ from filewright.session import cut_lineage
 from filewright.sources import inventory
 
 
-def numbered(files: DataFrame, order: str = "path") -> DataFrame:
-    """Add ``seq``, the plan order, where the inventory has none.
+def stored_plan(judged: DataFrame) -> DataFrame:
+    """The plan as a written table, without the files' contents.
 
-    Files are sorted by range, so partition and place in it give a number that
-    rises with the order; no single task sees all rows. The numbers hold for
-    one computation, hence the written table.
+    Where the inventory has no ``seq``, rows are sorted by path, by range and
+    not in one task, and numbered in that order. The numbers hold for one
+    computation only, which is why they are written down.
     """
-    if "seq" in files.columns:
-        return files
-    return cut_lineage(files.sort(order).withColumn("seq", F.monotonically_increasing_id()))
+    plan = judged.drop("text", "content")
+    if "seq" not in plan.columns:
+        plan = plan.sort("path").withColumn("seq", F.monotonically_increasing_id())
+    return cut_lineage(plan)
 
 
 @dataclass(frozen=True)
@@ -45,10 +46,10 @@ def sort(
 
     ``routed`` sends rows no scorer can read through rules alone.
     """
-    files = numbered(inventory.candidates(listing, root, taxonomy.names, recursive))
+    files = inventory.candidates(listing, root, taxonomy.names, recursive)
     judged = pipeline.routed(files, taxonomy, **model_options) if routed else pipeline.classify(
         files, taxonomy, stages, **model_options)
-    plan = cut_lineage(judged)
+    plan = stored_plan(judged)
     moves = placement.move_plan(plan, root, placement.existing_names(listing, root))
     return Sorted(plan, moves, pipeline.category_counts(plan))
 
@@ -84,8 +85,8 @@ def offboard(
     A policy that does not cover the taxonomy stops the job before any work.
     """
     policy.validate(taxonomy.names)
-    files = numbered(inventory.candidates(listing, root, taxonomy.names, recursive))
-    plan = cut_lineage(pipeline.classify(files, taxonomy, stages, **model_options))
+    files = inventory.candidates(listing, root, taxonomy.names, recursive)
+    plan = stored_plan(pipeline.classify(files, taxonomy, stages, **model_options))
     known = None if existing is None else placement.existing_names(existing, destination)
     export = placement.export_plan(plan, policy, destination, known)
     manifest = retention.manifest(plan, policy, apply)
