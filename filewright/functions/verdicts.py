@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from filewright import constants as C
+from filewright.functions.binding import let
 
 
 def verdict(category, confidence, method, reason) -> Column:
@@ -35,7 +36,7 @@ def is_confident(category: Column, confidence: Column, threshold: int = C.DEFAUL
 
 def accept(answer: Column, threshold: int = C.DEFAULT_ACCEPT) -> Column:
     """Keep a known verdict that reaches the threshold, otherwise decline."""
-    return F.when(is_confident(answer["category"], answer["confidence"], threshold), answer)
+    return let(answer, lambda a: F.when(is_confident(a["category"], a["confidence"], threshold), a))
 
 
 def first_known(*stages: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,17 +41,16 @@ def result_verdict(error: Column, classification: Column, route: Column) -> Colu
     )
 
 
-def _arrival(results: DataFrame) -> list[Column]:
-    """Order of arrival: time, then the result's own number where it has one."""
-    tie = "result_seq" if "result_seq" in results.columns else "worker_id"
-    return [F.col("done_at").alias("done_at"), F.col(tie).alias("tie")]
-
+def first_results(results: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """First result per job, with the given columns.
 
-def first_results(results: DataFrame) -> DataFrame:
-    """First result per job, by a partial aggregate: repeated results of one job
-    shrink to one row per task before the shuffle."""
-    payload = F.struct(*[F.col(c) for c in results.columns if c != "job_id"])
-    first = results.groupBy("job_id").agg(F.min_by(payload, F.struct(*_arrival(results))).alias("_first"))
+    Order of arrival is time, then the result's own number where it has one. A
+    partial aggregate shrinks repeated results of one job to one row per task
+    before the shuffle.
+    """
+    tie = "result_seq" if "result_seq" in results.columns else "worker_id"
+    payload = F.struct(*[c for c in columns or results.columns if c != "job_id"])
+    first = results.groupBy("job_id").agg(F.min_by(payload, F.struct("done_at", tie)).alias("_first"))
     return first.select("job_id", "_first.*")
 
 
@@ -60,7 +61,7 @@ def job_verdicts(jobs: DataFrame, results: DataFrame, deadline: Column | None =
     one instant for the whole batch; results at or after it count as missing.
     Results of unknown jobs drop out in the join.
     """
-    first = first_results(results).select(
+    first = first_results(results, ["done_at", "error", "classification", "route"]).select(
         "job_id", F.col("done_at").alias("_done"), F.col("error").alias("_error"),
         F.col("classification").alias("_class"), F.col("route").alias("_route"), F.lit(True).alias("_here"))
     joined = jobs.join(first, "job_id", "left")

@@ -84,4 +84,4 @@ def worker_counts(counts: DataFrame, capacity: DataFrame) -> DataFrame:
 def wall_time(workers: DataFrame, rates: DataFrame) -> DataFrame:
     """Seconds until the slowest route is done; ``rates`` holds files per second of one worker."""
     seconds = F.col("files") / (F.col("workers") * F.col("files_per_second"))
-    return workers.join(F.broadcast(rates), "route").agg(F.max(seconds).alias("seconds"))
+    return workers.join(rates, "route").agg(F.max(seconds).alias("seconds"))

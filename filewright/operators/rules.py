@@ -19,6 +19,8 @@ from filewright.functions import paths, tokens
 from filewright.functions.literals import array_of, quote
 from filewright.functions.verdicts import verdict
 
+# About a hundred bytes each. A larger table is joined the way Spark chooses.
+MAX_BROADCAST_RULES = 1_000_000
 RULE_TABLE = "ext string, rules array<struct<needle:string,category:string,keyword:string>>"
 
 
@@ -108,15 +110,29 @@ def keyword_table(spark: SparkSession, taxonomy: Taxonomy) -> DataFrame:
     return spark.createDataFrame(list(rows.items()), RULE_TABLE)
 
 
-def with_keyword(df: DataFrame, taxonomy: Taxonomy, out: str = "keyword") -> DataFrame:
-    """Verdict of the first keyword rule that fits extension and name."""
+def keyword_table_size(taxonomy: Taxonomy) -> int:
+    """Rules in the table, each counted once per extension it serves and once without."""
+    return sum(1 + len(set(taxonomy.extensions(rule[2]))) for rule in taxonomy.keyword_rules())
+
+
+def with_keyword(
+    df: DataFrame, taxonomy: Taxonomy, out: str = "keyword", where: Column | None = None,
+) -> DataFrame:
+    """Verdict of the first keyword rule that fits extension and name.
+
+    Rows for which ``where`` does not hold are not looked at.
+    """
     table = keyword_table(df.sparkSession, taxonomy).withColumnsRenamed({"ext": "_ext", "rules": "_rules"})
+    if keyword_table_size(taxonomy) <= MAX_BROADCAST_RULES:
+        table = F.broadcast(table)
     padded = F.concat(F.lit(" "), F.col("flat"), F.lit(" "))
     hit = F.get(F.filter(F.col("_rules"), lambda r: F.contains(F.col("_padded"), r["needle"])), F.lit(0))
+    if where is not None:
+        hit = F.when(where, hit)
     reason = F.concat(F.lit("Matched '"), F.col("_hit.keyword"), F.lit("' in filename"))
     return (
         df.withColumn("_padded", padded)
-        .join(F.broadcast(table), F.col("ext") == F.col("_ext"), "left")
+        .join(table, F.col("ext") == F.col("_ext"), "left")
         .withColumn("_hit", hit)
         .withColumn(out, F.when(F.col("_hit").isNotNull(), verdict(
             F.col("_hit.category"), C.CONFIDENCE_KEYWORD, C.METHOD_RULES, reason)))
@@ -124,7 +140,13 @@ def with_keyword(df: DataFrame, taxonomy: Taxonomy, out: str = "keyword") -> Dat
     )
 
 
-def with_rules(df: DataFrame, taxonomy: Taxonomy, out: str = "rules") -> DataFrame:
-    """Junk, then keyword, then archive fallback; NULL where none applies."""
-    return with_keyword(df, taxonomy, "_keyword").withColumn(
+def with_rules(
+    df: DataFrame, taxonomy: Taxonomy, out: str = "rules", settled: Column | None = None,
+) -> DataFrame:
+    """Junk, then keyword, then archive fallback; NULL where none applies.
+
+    Keywords are not looked up for rows an earlier stage has ``settled``.
+    """
+    where = None if settled is None else settled.isNull()
+    return with_keyword(df, taxonomy, "_keyword", where).withColumn(
         out, F.coalesce(junk(taxonomy), F.col("_keyword"), archive(taxonomy))).drop("_keyword")

@@ -92,12 +92,11 @@ def classify(
         if stage == MARKERS:
             df = rules.with_markers(df, taxonomy, out)
         elif stage == RULES:
-            df = rules.with_rules(df, taxonomy, out)
+            df = rules.with_rules(df, taxonomy, out, _settled(verdicts))
         elif stage == MODEL:
             if scorer is None and replies is None:
                 continue
-            settled = F.coalesce(*verdicts) if verdicts else None
-            df = with_model(df, taxonomy, scorer, replies, settled, out=out, **model_options)
+            df = with_model(df, taxonomy, scorer, replies, _settled(verdicts), out=out, **model_options)
         else:
             df, column = stage(df, taxonomy)
             df = df.withColumn(out, column)
@@ -107,13 +106,19 @@ def classify(
     return _flatten(df, files.columns)
 
 
+def _settled(verdicts: Sequence[Column]) -> Column | None:
+    """The first known verdict so far, NULL where there is none yet."""
+    return F.coalesce(*[F.when(v["category"] != C.UNKNOWN, v) for v in verdicts]) if verdicts else None
+
+
 def _flatten(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c) for c in columns], "_verdict.*")
 
 
 def prefilter(files: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """File-name rules alone, for rows no scorer can read."""
-    df = rules.with_rules(rules.with_markers(_prepare(files), taxonomy, "_marker"), taxonomy, "_rules")
+    df = rules.with_rules(
+        rules.with_markers(_prepare(files), taxonomy, "_marker"), taxonomy, "_rules", F.col("_marker"))
     verdict = F.coalesce("_marker", "_rules", unknown(C.REASON_PREFILTER, C.METHOD_PREFILTER))
     return _flatten(df.withColumn("_verdict", verdict), files.columns)
 
@@ -125,8 +130,12 @@ def routed(
     """Both branches of a routed run in one pass over the input.
 
     Rows of scoring routes go through markers, model and rules. Rows nothing
-    can read get rules alone and their own reason when none applies.
+    can read get rules alone and their own reason when none applies. A route
+    without stages is an error.
     """
+    for rule in routes or ():
+        if rule.route != C.ROUTE_NONE:
+            stages_for(rule.route)
     df = routing.with_route(_prepare(files), routes)
     df = rules.with_markers(df, taxonomy, "_marker")
     model = F.lit(None)
@@ -134,10 +143,10 @@ def routed(
         asks = F.col("route").isin([r for r, s in STAGES_BY_ROUTE.items() if MODEL in s])
         df = with_model(df, taxonomy, scorer, replies, F.col("_marker"), asks, out="_answer", **model_options)
         model = F.col("_answer")
-    df = rules.with_rules(df, taxonomy, "_rules")
+    settled = F.coalesce("_marker", model)
+    df = rules.with_rules(df, taxonomy, "_rules", settled)
     none = F.when(F.col("route") == C.ROUTE_NONE, unknown(C.REASON_PREFILTER, C.METHOD_PREFILTER)).otherwise(unknown())
-    known_model = F.when(F.col("_answer.category") != C.UNKNOWN, model) if "_answer" in df.columns else None
-    parts = [F.col("_marker"), *([known_model] if known_model is not None else []), F.col("_rules"), none]
+    parts = [settled, F.col("_rules"), none]
     columns = [*files.columns, *([] if "route" in files.columns else ["route"])]
     return _flatten(df.withColumn("_verdict", F.coalesce(*parts)), columns)
 

@@ -178,6 +178,20 @@ def test_unknown_route_has_no_stages():
         pipeline.stages_for("elsewhere")
 
 
+def test_routed_plan_refuses_unknown_routes(spark):
+    rule = routing.RouteRule("elsewhere", F.col("ext") == ".pdf")
+    with pytest.raises(ValueError, match="unknown route"):
+        pipeline.routed(files(spark, ["a.pdf"]), TAXONOMY, routes=[rule])
+
+
+def test_images_go_to_rules_even_with_their_own_route(spark):
+    df = pipeline.routed(
+        files(spark, ["image.png", "plain.png"]), TAXONOMY, scorer=answering("Medical_Health"), routes=routing.default_routes(images=True))
+    got = {r.path[4:]: r for r in df.collect()}
+    assert (got["image.png"].route, got["image.png"].category) == ("ocr", "Media_Images")
+    assert (got["plain.png"].category, got["plain.png"].reason) == ("Unknown_Unsorted", "No classifier matched")
+
+
 def test_repeated_replies_keep_one_row_per_file(spark):
     reply = '{"category":"Medical_Health","confidence":%d}'
     replies = spark.createDataFrame([("/in/a.pdf", reply % (90 - i), i) for i in range(50)], "path string, reply string, reply_seq long")
