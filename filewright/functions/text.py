@@ -74,25 +74,24 @@ def redact(text: Column, order: str = "default") -> Column:
     return out
 
 
-def _occurrences(text: Column, entity: str) -> Column:
+def _placeholders(text: Column, entity: str) -> Column:
+    """How often an entity's placeholder stands in a text."""
     mark = f"[{entity}_REDACTED]"
-    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))) / F.lit(len(mark))
+    lost = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
+    return F.when(F.contains(text, F.lit("_REDACTED]")), lost / F.lit(len(mark))).otherwise(0)
 
 
 def redaction_counts(text: Column, order: str = "default") -> Column:
     """Struct of hits per entity, each counted on what the earlier ones left.
 
-    A hit leaves its placeholder, and no pattern matches across one; so the
-    placeholders gained are the hits, and each pattern runs once.
+    A hit leaves its placeholder, and no pattern matches inside or across one:
+    so the placeholders gained are the hits, and each pattern runs once.
     """
-    def count(entities: list[str], counts: dict[str, Column], rest: Column) -> Column:
-        if not entities:
-            return F.struct(*[counts[e].cast("int").alias(e.lower()) for e in ENTITIES])
-        entity, *later = entities
-        return let(_replace(rest, entity), lambda t: count(
-            later, {**counts, entity: _occurrences(t, entity) - _occurrences(rest, entity)}, t))
-
-    return let(F.coalesce(text, F.lit("")), lambda t: count(_order(order), {}, t))
+    def counts(before: Column, after: Column) -> Column:
+        gained = {e: _placeholders(after, e) - _placeholders(before, e) for e in ENTITIES}
+        return F.struct(*[n.cast("int").alias(e.lower()) for e, n in gained.items()])
+
+    return let(F.coalesce(text, F.lit("")), lambda before: let(redact(before, order), lambda after: counts(before, after)))
 
 
 def snippet(
