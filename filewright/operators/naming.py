@@ -141,15 +141,16 @@ def unique_names(
     has the columns ``folder`` and ``name``. The plan is written out first,
     since finding out which names meet reads it more than once.
     """
-    ranked = cut_lineage(_family(plan, folder, name))
-    if ranked.count() < guard.min_rows:
-        guard = NO_HOT_GROUPS
-    ranked = rank_in_group(ranked, FAMILY, seq, "_rank", guard)
-    families = ranked.groupBy(*FAMILY).agg(F.count("*").alias("_rows"), F.min(seq).alias("_first"))
-    lost = None
+    stored = cut_lineage(_family(plan, folder, name))
+    families = stored.groupBy(*FAMILY).agg(F.count("*").alias("_rows"), F.min(seq).alias("_first"))
+    lost, size = None, stored.count()
     if existing is not None:
         lost = _lost_to_files(existing, folder, name, separator)
         lost = cut_lineage(lost.join(families.select(*FAMILY), FAMILY, "left_semi").distinct())
+        size += lost.count()
+    if size < guard.min_rows:
+        guard = NO_HOT_GROUPS
+    ranked = rank_in_group(stored, FAMILY, seq, "_rank", guard)
     children = cut_lineage(_children(families, lost, separator))
     if not children.isEmpty():
         lost = _settle(children, ranked, lost, seq, guard).distinct()
