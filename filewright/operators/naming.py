@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filewright.functions import paths
-from filewright.operators.skew import DEFAULT_GUARD, NO_HOT_GROUPS, SkewGuard, levels_of, rank_in_group, running_total
+from filewright.operators.skew import rank_in_group, running_total
 from filewright.session import cut_lineage
 
 FAMILY = ["_folder", "_root", "_ext"]
@@ -67,16 +67,16 @@ def _children(families: DataFrame, own_lost: DataFrame | None, separator: str) -
     return child.join(parent, FAMILY)
 
 
-def _lost_before(queries: DataFrame, lost: DataFrame, out: str, guard: SkewGuard) -> DataFrame:
+def _lost_before(queries: DataFrame, lost: DataFrame, out: str) -> DataFrame:
     """Add ``out`` to rows of family and slot: lost slots with a smaller number."""
     marks = lost.select(*FAMILY, "_slot").distinct().withColumn("_mark", F.lit(1))
     both = queries.withColumn("_mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
     # At the same slot the query comes first, and its own slot is not counted.
-    summed = running_total(both, FAMILY, ["_slot", "_mark"], {out: F.col("_mark")}, levels_of(F.col("_slot")), guard)
+    summed = running_total(both, FAMILY, ["_slot", "_mark"], {out: F.col("_mark")})
     return summed.where(F.col("_mark") == 0).drop("_mark")
 
 
-def _settle(children: DataFrame, ranked: DataFrame, lost: DataFrame | None, seq: str, guard: SkewGuard) -> DataFrame:
+def _settle(children: DataFrame, ranked: DataFrame, lost: DataFrame | None, seq: str) -> DataFrame:
     """Slots lost in each family once parents and children agree.
 
     Each round recomputes, for all children at once, which parent row reaches
@@ -93,7 +93,7 @@ def _settle(children: DataFrame, ranked: DataFrame, lost: DataFrame | None, seq:
     while True:
         now_lost = _lost_slots(state, lost)
         query = state.withColumnsRenamed({"_lost": "_lost_old", "_taken": "_taken_old"})
-        query = _lost_before(query, now_lost, "_before", guard)
+        query = _lost_before(query, now_lost, "_before")
         query = query.withColumn("_turn", F.col("_slot") - F.col("_before"))
         met = query.join(arrivals, [*FAMILY, "_turn"], "left")
         new = cut_lineage(met.withColumns({
@@ -114,9 +114,9 @@ def _lost_slots(state: DataFrame, lost: DataFrame | None) -> DataFrame:
     return slots if lost is None else slots.unionByName(lost.select(*FAMILY, "_slot"))
 
 
-def _skip_lost(ranked: DataFrame, lost: DataFrame, seq: str, guard: SkewGuard) -> DataFrame:
+def _skip_lost(ranked: DataFrame, lost: DataFrame, seq: str) -> DataFrame:
     """Slot of each row: its rank plus the lost slots it has to pass."""
-    numbered = running_total(lost, FAMILY, ["_slot"], {"_nth": F.lit(1)}, levels_of(F.col("_slot")), guard)
+    numbered = running_total(lost, FAMILY, ["_slot"], {"_nth": F.lit(1)})
     # The n-th lost slot (n from 0) has slot - n free ones before it: rows of
     # that rank and later pass it. Runs of lost slots become one weighted mark.
     marks = numbered.groupBy(*FAMILY, (F.col("_slot") - F.col("_nth") + 1).alias("_rank")).agg(
@@ -124,7 +124,7 @@ def _skip_lost(ranked: DataFrame, lost: DataFrame, seq: str, guard: SkewGuard) -
     affected = lost.select(*FAMILY).distinct()
     rows = ranked.join(affected, FAMILY, "left_semi").withColumn("_weight", F.lit(0).cast("bigint"))
     both = rows.withColumn("_row", F.lit(1)).unionByName(marks.withColumn("_row", F.lit(0)), allowMissingColumns=True)
-    passed = running_total(both, FAMILY, ["_rank", "_row"], {"_passed": F.col("_weight")}, levels_of(F.col("_rank")), guard)
+    passed = running_total(both, FAMILY, ["_rank", "_row"], {"_passed": F.col("_weight")})
     moved = passed.where(F.col("_row") == 1).withColumn("_slot", F.col("_rank") + F.col("_passed"))
     rest = ranked.join(affected, FAMILY, "left_anti").withColumn("_slot", F.col("_rank"))
     columns = [*ranked.columns, "_slot"]
@@ -133,7 +133,7 @@ def _skip_lost(ranked: DataFrame, lost: DataFrame, seq: str, guard: SkewGuard) -
 
 def unique_names(
     plan: DataFrame, existing: DataFrame | None = None, folder: str = "category", name: str = "name",
-    seq: str = "seq", separator: str = "_", out: str = "dest_name", guard: SkewGuard = DEFAULT_GUARD,
+    seq: str = "seq", separator: str = "_", out: str = "dest_name",
 ) -> DataFrame:
     """Add ``out``, a name no other row and no existing file of the folder has.
 
@@ -143,21 +143,18 @@ def unique_names(
     """
     stored = cut_lineage(_family(plan, folder, name))
     families = stored.groupBy(*FAMILY).agg(F.count("*").alias("_rows"), F.min(seq).alias("_first"))
-    lost, size = None, stored.count()
+    lost = None
     if existing is not None:
         lost = _lost_to_files(existing, folder, name, separator)
         lost = cut_lineage(lost.join(families.select(*FAMILY), FAMILY, "left_semi").distinct())
-        size += lost.count()
-    if size < guard.min_rows:
-        guard = NO_HOT_GROUPS
-    ranked = rank_in_group(stored, FAMILY, seq, "_rank", guard)
+    ranked = rank_in_group(stored, FAMILY, seq, "_rank")
     children = cut_lineage(_children(families, lost, separator))
     if not children.isEmpty():
-        lost = _settle(children, ranked, lost, seq, guard).distinct()
+        lost = _settle(children, ranked, lost, seq).distinct()
     if lost is None:
         slotted = ranked.withColumn("_slot", F.col("_rank"))
     else:
-        slotted = _skip_lost(ranked, lost, seq, guard)
+        slotted = _skip_lost(ranked, lost, seq)
     return slotted.withColumn(out, numbered_name(F.col("_root"), F.col("_ext"), F.col("_slot"), separator)).drop(
         *FAMILY, "_rank", "_slot")
 

@@ -10,7 +10,6 @@ from filewright.config import RetentionPolicy
 from filewright.functions import paths
 from filewright.operators.naming import unique_names
 from filewright.operators.policy import with_disposition
-from filewright.operators.skew import DEFAULT_GUARD, SkewGuard
 
 EXPORTED, SKIPPED = "exported", "skipped_never_export"
 RESTORED, MISSING = "restored", "missing"
@@ -24,11 +23,11 @@ def existing_names(listing: DataFrame, root: str) -> DataFrame:
 
 
 def move_plan(
-    plan: DataFrame, target: str, existing: DataFrame | None = None, guard: SkewGuard = DEFAULT_GUARD,
+    plan: DataFrame, target: str, existing: DataFrame | None = None,
 ) -> DataFrame:
     """Destination below ``target/<category>/`` of each known file that is no junk."""
     rows = plan.where(~F.col("category").isin(C.UNKNOWN, C.JUNK)).withColumn("name", paths.basename(F.col("path")))
-    named = unique_names(rows, existing, guard=guard)
+    named = unique_names(rows, existing)
     dest = paths.join(F.lit(target.rstrip("/")), F.col("category"), F.col("dest_name"))
     return named.withColumn("dest", dest).drop("name", "dest_name")
 
@@ -42,13 +41,12 @@ def move_log(moves: DataFrame, run_id: str, moved_at) -> DataFrame:
 
 def export_plan(
     plan: DataFrame, policy: RetentionPolicy, destination: str, existing: DataFrame | None = None,
-    guard: SkewGuard = DEFAULT_GUARD,
 ) -> DataFrame:
     """Rows to keep with their destination, and barred ones as skipped."""
     keep = with_disposition(plan, policy).where(F.col("disposition") == C.KEEP)
     keep = keep.withColumn("name", paths.basename(F.col("path")))
     barred = policy.never_export & {c for c, d in policy.by_category.items() if d == C.KEEP}
-    named = unique_names(keep.where("exportable") if barred else keep, existing, guard=guard)
+    named = unique_names(keep.where("exportable") if barred else keep, existing)
     dest = paths.join(F.lit(destination.rstrip("/")), F.col("category"), F.col("dest_name"))
     out = named.withColumns({"dest": dest, "status": F.lit(EXPORTED)})
     if barred:
@@ -58,7 +56,7 @@ def export_plan(
     return out.drop("name", "dest_name", "disposition", "never_export", "exportable")
 
 
-def undo_plan(log: DataFrame, listing: DataFrame, guard: SkewGuard = DEFAULT_GUARD) -> DataFrame:
+def undo_plan(log: DataFrame, listing: DataFrame) -> DataFrame:
     """Where each logged move goes back to, latest move first.
 
     A file no longer at its new place is missing. One whose original place is
@@ -74,7 +72,7 @@ def undo_plan(log: DataFrame, listing: DataFrame, guard: SkewGuard = DEFAULT_GUA
         "_dir": paths.dirname(F.col("original")), "_name": paths.basename(F.col("original")),
         "_turn": -F.col("seq")})
     taken = listing.select(paths.dirname(F.col("path")).alias("_dir"), paths.basename(F.col("path")).alias("_name"))
-    named = unique_names(back, taken, "_dir", "_name", "_turn", "_restored_", "_to", guard)
+    named = unique_names(back, taken, "_dir", "_name", "_turn", "_restored_", "_to")
     at_root = F.col("_dir") == ""
     to = F.when(at_root & ~F.startswith("original", F.lit("/")), F.col("_to")).otherwise(
         F.concat_ws("/", "_dir", "_to"))

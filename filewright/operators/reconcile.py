@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from filewright import constants as C
 from filewright.functions.verdicts import unknown, verdict
 from filewright.functions.wire import job_id
-from filewright.operators.skew import DEFAULT_GUARD, SkewGuard, levels_of, running_total
+from filewright.operators.skew import running_total
 
 
 def make_jobs(routed: DataFrame, run_id: str, enqueued_at, payload: Column | None = None) -> DataFrame:
@@ -108,17 +108,14 @@ def backlog(jobs: DataFrame, results: DataFrame, routes: DataFrame | None = None
     return all_routes.join(open_jobs, "route", "left").select("route", F.coalesce("outstanding", F.lit(0)).alias("outstanding"))
 
 
-def progress(results: DataFrame, order: str = "result_seq", guard: SkewGuard = DEFAULT_GUARD) -> DataFrame:
+def progress(results: DataFrame, order: str = "result_seq") -> DataFrame:
     """Add ``completed_on_route`` and ``failed_on_route`` so far, per result.
 
-    A route may hold most of the rows, so hot routes are cut by time and, where
-    many results share one instant, by their number.
+    A route may hold most of the rows; the running total is split within it.
     """
-    micros = F.unix_micros("done_at")
-    levels = [*levels_of(micros), micros, *levels_of(F.col(order))]
     failed = F.when(is_ok(F.col("error"), F.col("classification")), 0).otherwise(1)
     counts = {"completed_on_route": F.lit(1), "failed_on_route": failed}
-    return running_total(results, ["route"], ["done_at", order], counts, levels, guard)
+    return running_total(results, ["route"], ["done_at", order], counts)
 
 
 def progress_ticks(results: DataFrame, seconds: int = C.PROGRESS_TICK_SECONDS) -> DataFrame:
@@ -128,8 +125,5 @@ def progress_ticks(results: DataFrame, seconds: int = C.PROGRESS_TICK_SECONDS) -
     """
     tick = F.window("done_at", f"{seconds} seconds")
     counts = results.groupBy("route", tick.alias("_w")).agg(F.count("*").alias("completed"))
-    so_far = Window.partitionBy("route").orderBy("tick_end").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        counts.select("route", F.col("_w.end").alias("tick_end"), "completed")
-        .withColumn("completed_total", F.sum("completed").over(so_far))
-    )
+    ends = counts.select("route", F.col("_w.end").alias("tick_end"), "completed")
+    return running_total(ends, ["route"], ["tick_end"], {"completed_total": F.col("completed")})

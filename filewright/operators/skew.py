@@ -1,118 +1,42 @@
 """Running totals and ranks within groups of any size.
 
-A window over a group runs in one task. For groups that may hold a large share
-of all rows the order is cut into buckets instead: each bucket is summed on its
-own, the bucket totals are summed level by level, and the two are added up.
+A window over a group runs in one task. Here the rows are dealt out by ranges of group and order instead, so that a
+large group lies in several neighbouring parts; each part is summed on its own, and every row adds the totals of
+its group's earlier parts. A group then costs at most one row per part where it is gathered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filewright.session import input_bytes
+from filewright.session import cut_lineage
 
-BITS = 16
 
-
-@dataclass(frozen=True)
-class SkewGuard:
-    """When to look for hot groups, and what counts as one.
-
-    Inputs of at most ``small_bytes`` cannot hold a group too large for a task,
-    and are not looked at.
-    """
-
-    small_bytes: int = 256 << 20
-    min_rows: int = 1_000_000
-    max_groups: int = 1_000
-    tracked: int = 100_000
-
-
-DEFAULT_GUARD = SkewGuard()
-# For data known to hold fewer rows than a hot group needs.
-NO_HOT_GROUPS = SkewGuard(max_groups=0)
-
-
-def _group_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(k) for k in keys])
-
-
-def hot_groups(df: DataFrame, keys: Sequence[str], guard: SkewGuard = DEFAULT_GUARD) -> list[int]:
-    """Hashes of groups with at least ``min_rows`` rows, at most ``max_groups``.
-
-    One scan with a frequent-items sketch of fixed size, merged from all tasks.
-    The list only says where to cut; results do not depend on it.
-    """
-    if not guard.max_groups:
-        return []
-    size = input_bytes(df)
-    if size is not None and size <= guard.small_bytes:
-        return []
-    found = (
-        df.select(_group_hash(keys).alias("h"))
-        .agg(F.expr(f"approx_top_k(h, {guard.max_groups}, {guard.tracked})").alias("top"))
-        .select(F.explode("top").alias("t"))
-        .where(F.col("t.count") >= guard.min_rows)
-        .select("t.item")
-    )
-    return sorted(row.item for row in found.collect())
-
-
-def levels_of(position: Column, bits: Sequence[int] = (48, 32, 16)) -> list[Column]:
-    """Buckets of a whole-number position, from coarse to fine."""
-    return [F.shiftright(position.cast("bigint"), b) for b in bits]
-
-
-def _offsets(totals: DataFrame, keys: list[str], levels: list[str], sums: list[str]) -> DataFrame:
-    """Sums of all earlier buckets for each bucket of a group."""
-    outer = levels[:-1]
-    earlier = Window.partitionBy(*keys, *outer).orderBy(levels[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    out = totals.select(
-        *keys, *levels, *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_off{s}") for s in sums])
-    if not outer:
-        return out
-    coarser = totals.groupBy(*keys, *outer).agg(*[F.sum(s).alias(s) for s in sums])
-    above = _offsets(coarser, keys, outer, sums).withColumnsRenamed({f"_off{s}": f"_above{s}" for s in sums})
-    joined = out.join(above, [*keys, *outer])
-    return joined.select(*keys, *levels, *[(F.col(f"_off{s}") + F.col(f"_above{s}")).alias(f"_off{s}") for s in sums])
-
-
-def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
-    levels: Sequence[Column], guard: SkewGuard = DEFAULT_GUARD,
-) -> DataFrame:
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column]) -> DataFrame:
     """Add a column per entry of ``values``: its sum within ``keys`` up to and
     including the row.
 
-    ``order`` must be total within a group. ``levels`` are buckets from coarse
-    to fine whose order, read one after the other, agrees with ``order``; they
-    serve hot groups only. Group keys must not be NULL.
+    ``order`` must be total within a group, group keys must not be NULL. The rows are written once, because parts of
+    a range partitioning computed twice need not agree.
     """
     keys, order = list(keys), list(order)
     sums = {f"_sum{i}": out for i, out in enumerate(values)}
-    df = df.withColumns({s: values[out] for s, out in sums.items()})
-    hot = hot_groups(df, keys, guard)
-    if not hot:
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({out: F.sum(s).over(window) for s, out in sums.items()}).drop(*sums)
-    is_hot = _group_hash(keys).isin(hot)
-    names = [f"_level{i}" for i in range(len(levels))]
-    cut = df.withColumns({n: F.when(is_hot, level) for n, level in zip(names, levels)})
-    window = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumns({out: F.sum(s).over(window) for s, out in sums.items()})
-    totals = cut.where(is_hot).groupBy(*keys, *names).agg(*[F.sum(s).alias(s) for s in sums])
-    joined = local.join(_offsets(totals, keys, names, list(sums)), [*keys, *names], "left")
-    joined = joined.withColumns({out: F.col(out) + F.coalesce(f"_off{s}", F.lit(0)) for s, out in sums.items()})
-    return joined.drop(*sums, *[f"_off{s}" for s in sums], *names)
-
-
-def rank_in_group(
-    df: DataFrame, keys: Sequence[str], order: str, out: str, guard: SkewGuard = DEFAULT_GUARD,
-) -> DataFrame:
+    ranged = df.withColumns({s: values[out] for s, out in sums.items()}).repartitionByRange(*keys, *order)
+    dealt = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
+    within = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumns({out: F.sum(s).over(within) for s, out in sums.items()})
+    totals = dealt.groupBy("_part", *keys).agg(*[F.sum(s).alias(s) for s in sums])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", *keys, *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_off{s}") for s in sums])
+    joined = local.join(offsets, ["_part", *keys])
+    joined = joined.withColumns({out: F.col(out) + F.col(f"_off{s}") for s, out in sums.items()})
+    return joined.drop(*sums, *[f"_off{s}" for s in sums], "_part")
+
+
+def rank_in_group(df: DataFrame, keys: Sequence[str], order: str, out: str) -> DataFrame:
     """Add ``out``: zero-based position by a unique whole-number column."""
-    total = running_total(df, keys, [order], {out: F.lit(1)}, levels_of(F.col(order)), guard)
+    total = running_total(df, keys, [order], {out: F.lit(1)})
     return total.withColumn(out, (F.col(out) - 1).cast("bigint"))

@@ -1,4 +1,4 @@
-"""Session settings and helpers that look at a plan's input size and lineage."""
+"""Session settings, the shared folder, and tables that cut a plan's lineage."""
 
 from __future__ import annotations
 
@@ -31,26 +31,15 @@ def build_session(app: str = "filewright", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Size of everything ``df`` reads, or None where that is not known.
-
-    Sizes of joins are rough products, so only the leaves of the plan count.
-    """
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
-    except Exception:
-        return None
-
-
 def shared_path(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share.
+    """A new path in the folder that all executors share, ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is taken
-    only where nothing is set, as in local tests.
+    Only a session in one process may do without: a temporary folder then serves.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="filewright-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/filewright-{uuid.uuid4().hex}"

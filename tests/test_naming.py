@@ -4,9 +4,7 @@ import random
 import pytest
 
 from filewright.operators.naming import unique_names
-from filewright.operators.skew import SkewGuard
 
-CUT_EVERYTHING = SkewGuard(small_bytes=0, min_rows=2)
 
 
 def greedy(rows, existing, sep="_"):
@@ -42,8 +40,7 @@ def test_golden_names(spark, names, existing, want):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("guard", [SkewGuard(), CUT_EVERYTHING])
-def test_random_plans_equal_one_by_one(spark, seed, guard):
+def test_random_plans_equal_one_by_one(spark, seed):
     # Many independent folders make one run a few hundred small cases.
     rng = random.Random(seed)
     pool = ["a.p", "a_1.p", "a_2.p", "a_3.p", "a_1_1.p", "a_1_2.p", "a_2_1.p", "a_01.p", "a", "a_1", "_1.p", "b.p", ".a", ".a_1"]
@@ -55,7 +52,7 @@ def test_random_plans_equal_one_by_one(spark, seed, guard):
             rows.append((seq.pop(), f"c{folder}", rng.choice(some)))
         if rng.random() < 0.5:
             existing.update((f"c{folder}", rng.choice(some)) for _ in range(rng.randint(1, 3)))
-    got = named(spark, rows, existing if seed % 2 else None, guard=guard)
+    got = named(spark, rows, existing if seed % 2 else None)
     assert got == greedy(rows, existing if seed % 2 else [])
 
 
@@ -63,4 +60,4 @@ def test_one_name_holds_most_rows(spark):
     # Positions far apart use every bucket level.
     rows = [(i * 7919 * 100003 - 10**9, "C", "index.html") for i in range(1500)]
     rows += [(i * 31 + 10**13, "C", f"index_{i}.html") for i in range(1, 300)]
-    assert named(spark, rows, guard=CUT_EVERYTHING) == greedy(rows, [])
+    assert named(spark, rows) == greedy(rows, [])

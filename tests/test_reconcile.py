@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from filewright import schemas as S
 from filewright.functions import wire
 from filewright.operators import reconcile
-from filewright.operators.skew import SkewGuard
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -69,11 +68,10 @@ def test_stats_and_backlog(spark):
     assert {x.route: x.outstanding for x in b.collect()} == {"ai-small": 1, "ai-large": 0}
 
 
-@pytest.mark.parametrize("guard", [SkewGuard(), SkewGuard(small_bytes=0, min_rows=2)])
-def test_progress_counts_on_one_hot_route(spark, guard):
+def test_progress_counts_on_one_hot_route(spark):
     rows = [(str(i), GOOD if i % 3 else None, None, (i * 13) % 50) for i in range(400)]
     df = results(spark, rows).withColumn("result_seq", F.col("job_id").cast("bigint") * 70000)
-    got = {int(r.job_id): (r.completed_on_route, r.failed_on_route) for r in reconcile.progress(df, guard=guard).collect()}
+    got = {int(r.job_id): (r.completed_on_route, r.failed_on_route) for r in reconcile.progress(df).collect()}
     order = sorted(range(400), key=lambda i: ((i * 13) % 50, i))
     failed = 0
     for n, i in enumerate(order, 1):
