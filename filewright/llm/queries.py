@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm import bpe, decontaminate, extract, hmm, perspectives, pii, simhash, topk, toxicity
+from filewright.llm import bpe, decontaminate, extract, hmm, passages, perspectives, pii, simhash, topk, toxicity
 from filewright.llm.common import id_bucket
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -44,6 +44,10 @@ def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"), id_bucket("doc_id", 7) != 2)
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -55,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (id_bucket("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_extract, op2_simhash, op3_pii, op4_bpe, op5_perspectives, op6_topk, op7_hmm, op9_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_extract, op2_simhash, op3_pii, op4_bpe, op5_perspectives, op6_topk, op7_hmm, op8_passages, op9_decontamination, op10_toxicity)}
 ORACLES = {
     "op5_perspectives": perspectives.ROTATE_SQL,
     "op6_topk": """
