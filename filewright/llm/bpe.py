@@ -224,19 +224,24 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id`` and the ``ids`` of each text, an empty list for NULL."""
+    """``doc_id n_tokens ids lossless``: the ids of each text (none for NULL), and whether decoding them gives the text again."""
     codec_in_task = codec_of(docs.sparkSession, path, pattern)
 
     def make():
         codec = codec_in_task()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [codec.encode(t or "") for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids, same = [], []
+            for text in batch.column(1).to_pylist():
+                ids.append(codec.encode(text or ""))
+                same.append(codec.decode(ids[-1]) == (text or "").encode())
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
+                ["doc_id", "n_tokens", "ids", "lossless"])
 
         return work
 
-    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), "text", "doc_id long, ids array<int>", make)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), "text", "doc_id long, n_tokens long, ids array<int>, lossless boolean", make)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filewright.llm.common import LOWER, map_texts
@@ -55,16 +55,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed number of 64 bits."""
+    """(doc_id, text_key, fp): a hash of the text, and the fingerprint as a signed number of 64 bits."""
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            found = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["doc_id", "text_key", "fp"])
 
         return work
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", "doc_id long, fp long", make)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return map_texts(rows, "text", "doc_id long, text_key long, fp long", make)
 
 
 def route_masks(blocks: int, radius: int) -> list[int]:
@@ -233,48 +234,56 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Da
     return spread.mapInArrow(compare, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rank: DataFrame) -> DataFrame:
-    """(fp, component): for each fingerprint of an edge, the smallest ``low`` that links reach.
+def components(edges: DataFrame) -> DataFrame:
+    """(fp, root): each fingerprint of an edge with the smallest fingerprint that links reach.
 
-    ``rank`` gives each fingerprint's own ``low``. Vertices take the smallest root among their neighbours, and roots
-    the roots' roots, until a round changes nothing.
+    Rounds of two steps, until one changes nothing: every vertex sends its larger neighbours to the smallest of its
+    neighbours and itself, then its smaller neighbours and itself likewise.
     """
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    ranked = rank.select(F.col("fp").alias("a"), "low")
-    ends = both.join(ranked, "a").select("a", "low", "b")
-    # Vertices by their rank from here on: edges between numbers.
-    other = rank.select(F.col("fp").alias("b"), F.col("low").alias("low_b"))
-    pairs = cut_lineage(ends.join(other, "b").select(F.col("low").alias("u"), F.col("low_b").alias("v")))
-    vertices = pairs.select("u").distinct()
-    star = cut_lineage(pairs.where("u > v").distinct())
+    star = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
-        # Larger neighbours of each vertex go to its smallest neighbour or itself, then smaller ones likewise.
         large = _hook(star.select("u", "v").unionAll(star.select(F.col("v").alias("u"), F.col("u").alias("v"))), larger=True)
         small = cut_lineage(_hook(large, larger=False).where("u > v").distinct())
         same = small.join(star, ["u", "v"], "left_anti").isEmpty() and star.join(small, ["u", "v"], "left_anti").isEmpty()
         star = small
         if same:
-            break
-    roots = vertices.join(star, "u", "left").select(F.col("u").alias("low"), F.coalesce("v", "u").alias("component"))
-    return ranked.withColumnRenamed("a", "fp").join(roots, "low").select("fp", "component")
+            return star.select(F.col("u").alias("fp"), F.col("v").alias("root"))
 
 
 def _hook(pairs: DataFrame, larger: bool) -> DataFrame:
-    """Each vertex u sends its neighbours v (the larger ones, or the smaller ones and itself) to the smallest of u and all v."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
     joined = pairs.join(least, "u")
     if larger:
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u != v")
+    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+
+
+def classes(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(fp, root) of all fingerprints; those without links are their own roots."""
+    distinct = cut_lineage(prints.select("fp").distinct())
+    found = components(cut_lineage(links(distinct, radius, blocks)))
+    return distinct.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``."""
     prints = cut_lineage(fingerprints(docs, shingle))
-    # NULL ids count as larger than all others.
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    numbered = distinct.withColumn("low", F.coalesce("low", F.lit((1 << 63) - 1)))
-    found = components(cut_lineage(links(distinct.select("fp"), radius, blocks)), numbered)
-    lows = distinct.join(found, "fp", "left").select("fp", F.nullif(F.coalesce("component", "low"), F.lit((1 << 63) - 1)).alias("component_id"))
-    return prints.join(lows, "fp").select(
+    lows = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    rooted = cut_lineage(lows.join(classes(prints, radius, blocks), "fp"))
+    ids = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return prints.join(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id, of rows that repeat it one of them."""
+    prints = cut_lineage(fingerprints(docs, shingle))
+    # NULL ids come last.
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("text_key"))
+    best = prints.groupBy("fp").agg(F.min(row).alias("row"))
+    kept = best.join(classes(prints, radius, blocks), "fp").groupBy("root").agg(F.min("row").alias("row")).select(
+        F.col("row.doc_id").alias("_doc_id"), F.col("row.text_key").alias("_text_key"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(docs["text"]) == F.col("_text_key"))
+    found = docs.join(kept, same)
+    turn = Window.partitionBy("_text_key", "_doc_id").orderBy("_text_key")
+    return found.withColumn("_turn", F.row_number().over(turn)).where("_turn = 1").select(*[found[c] for c in docs.columns])
