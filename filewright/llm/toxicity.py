@@ -1,10 +1,12 @@
 """Toxic passages by maximum-scoring segments.
 
-Words get log-odds between toxic and other documents under a Dirichlet prior that follows the overall frequencies; words
-whose log-odds may be chance, and words never seen, get a small negative score. One linear scan finds all maximal
+Words, and beginnings of words, get log-odds between toxic and other documents under a Dirichlet prior that follows their
+overall frequencies; each counts once a document, so that a text that repeats itself weighs no more than others. A word
+scores as itself, or as its longest beginning, whose log-odds are unlikely to be chance, less a margin that keeps
+the scores of ordinary text negative; all other words get a small negative score. One linear scan finds all maximal
 scoring segments of a text. Scores of segments under ordinary text follow an extreme-value law, which gives each segment
-the number of such segments expected by chance; a logistic curve turns the evidence of a document's significant
-segments into a score from 0 to 1.
+the number of such segments expected by chance; a logistic curve turns the evidence of a document's best
+segment into a score from 0 to 1. All significant segments are reported.
 
 The model is fitted on at most ``SAMPLE`` labelled rows, those with the smallest hashed ids. Labels that are NULL or neither
 0 nor 1 are left out; of repeated labels the larger counts. NULL or empty texts hold no segment and are scored as such.
@@ -26,8 +28,10 @@ from filewright.llm.decontaminate import words_of
 
 SAMPLE = 20_000
 WORDS_KEPT = 50_000
-PRIOR_WORDS = 2_000.0  # weight of the prior in words
-Z = 3.0
+BEGINNINGS = (6, 5, 4)  # bytes
+PRIOR = 100.0  # weight of the prior in documents
+Z = 2.5
+MARGIN = 1.5
 DRIFT = 0.05  # what a word without evidence costs a segment
 CHANCE = 0.01  # segments expected by chance, below which one is significant
 THRESHOLD = 0.7
@@ -76,19 +80,36 @@ def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, i
     return [(first, end, after - before) for first, end, before, after, _ in open_]
 
 
-def scan(text: str | None, words: dict[bytes, float], drift: float) -> tuple[int, list[tuple[int, int, float]]]:
+class Scores(dict):
+    """Scores of words by the model; None where there is none. Remembers a bounded number of words."""
+
+    def __init__(self, words: dict[bytes, float]) -> None:
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, word: bytes) -> float | None:
+        if len(self) >= 300_000:
+            self.clear()
+        found = self[word] = next((s for form in forms(word) if (s := self.words.get(form)) is not None), None)
+        return found
+
+
+def forms(word: bytes) -> list[bytes]:
+    """A word and its beginnings, longest first; beginnings are marked by a star, which no word holds."""
+    return [word, *[word[:n] + b"*" for n in BEGINNINGS if len(word) > n]]
+
+
+def scan(text: str | None, scores: Scores, drift: float) -> tuple[int, list[tuple[int, int, float]]]:
     tokens = words_of(text)
-    get = words.get
-    return len(tokens), segments([(i, s) for i, w in enumerate(tokens) if (s := get(w)) is not None], drift)
+    return len(tokens), segments([(i, s) for i, s in enumerate(map(scores.__getitem__, tokens)) if s is not None], drift)
 
 
 def evidence(n: int, found: list[tuple[int, int, float]], lam: float, log_k: float) -> tuple[float, float]:
-    """Evidence (minus the logarithm of the expected number by chance) of the best segment and of all significant ones."""
+    """Of the best segment: its evidence (minus the logarithm of the number expected by chance), and its score, both damped."""
     if not found:
         return 0.0, 0.0
-    each = [lam * s - log_k - float(np.log(n)) for _, _, s in found]
-    floor = -float(np.log(CHANCE))
-    return max(0.0, max(each)) ** 0.5, sum(e for e in each if e >= floor) ** 0.5
+    best = max(s for _, _, s in found)
+    return float(np.log1p(max(0.0, lam * best - log_k - np.log(n)))), float(np.log1p(best))
 
 
 def sampled_labels(labels: DataFrame, learn: Column, sample: int) -> DataFrame:
@@ -99,15 +120,17 @@ def sampled_labels(labels: DataFrame, learn: Column, sample: int) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n0, n1) over (toxic, text); counted in each task before the shuffle, which the sample bounds."""
+    """(word, n0, n1): documents of either kind in (toxic, text) with the word or beginning, and the number of all
+    documents under the empty word. Counted in each task before the shuffle, which the sample bounds."""
 
     def run(batches):
         counts: list[dict] = [{}, {}]
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = counts[toxic]
-                for w in words_of(text):
-                    own[w] = own.get(w, 0) + 1
+                own[b""] = own.get(b"", 0) + 1
+                for form in {f for w in set(words_of(text)) for f in forms(w)}:
+                    own[form] = own.get(form, 0) + 1
         words = sorted(counts[0].keys() | counts[1].keys())
         for i in range(0, len(words), 50_000):
             part = words[i:i + 50_000]
@@ -118,19 +141,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
         F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def log_odds(counts: DataFrame, kept: int) -> tuple[dict[bytes, float], np.ndarray]:
-    """Scores of the ``kept`` words with the clearest log-odds, and the words of toxic and other documents in all."""
-    totals = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
-    n0, n1 = float(totals.n0 or 0), float(totals.n1 or 0)
+def log_odds(counts: DataFrame, kept: int) -> dict[bytes, float]:
+    """Scores of the ``kept`` words and beginnings with the clearest log-odds."""
+    all_ = counts.where(F.length("word") == 0).first()
+    n0, n1 = (float(all_.n0), float(all_.n1)) if all_ else (0.0, 0.0)
     if not n0 or not n1:
-        return {}, np.array([n0, n1])
-    prior = F.lit(PRIOR_WORDS) * (F.col("n0") + F.col("n1")) / (n0 + n1)
-    odds = lambda n, all_: F.log((n + prior) / (all_ + PRIOR_WORDS - n - prior))
+        return {}
+    prior = F.lit(PRIOR) * (F.col("n0") + F.col("n1")) / (n0 + n1)
+    odds = lambda n, total: F.log((n + prior) / (total + PRIOR + 1 - n - prior))
     delta = odds(F.col("n1"), n1) - odds(F.col("n0"), n0)
     spread = F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
-    rows = (counts.select("word", delta.alias("delta"), (delta / spread).alias("z"))
+    rows = (counts.where(F.length("word") > 0).select("word", delta.alias("delta"), (delta / spread).alias("z"))
             .where(F.abs("z") >= Z).orderBy(F.desc(F.abs("z")), "word").limit(kept).collect())
-    return {bytes(r.word): float(r.delta) for r in rows}, np.array([n0, n1])
+    return {bytes(r.word): float(r.delta) - MARGIN for r in rows}
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, kept: int = WORDS_KEPT) -> Model:
@@ -139,16 +162,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labelled, "doc_id").select("doc_id", "toxic", "text")
     held = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0
     counts = word_counts(texts.where(~held))
-    words, totals = log_odds(counts, kept)
+    words = log_odds(counts, kept)
     rows = []
     if words:
         shared = docs.sparkSession.sparkContext.broadcast(words)
 
         def make():
+            scores = Scores(shared.value)
+
             def work(batch: pa.RecordBatch) -> pa.RecordBatch:
                 out = []
                 for text in batch.column(2).to_pylist():
-                    n, found = scan(text, shared.value, DRIFT)
+                    n, found = scan(text, scores, DRIFT)
                     out.append((n, [s for _, _, s in found]))
                 return pa.RecordBatch.from_arrays(
                     [batch.column(1).cast(pa.int32()), pa.array([n for n, _ in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.float64()))],
@@ -189,10 +214,12 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def _work(shared, at: int):
+    model = shared.value
+    scores = Scores(model.words)
+
     def scored(batch: pa.RecordBatch):
-        model = shared.value
         for text in batch.column(at).to_pylist():
-            n, found = scan(text, model.words, DRIFT)
+            n, found = scan(text, scores, DRIFT)
             yield model.score(evidence(n, found, model.lam, model.log_k)), n, found, model
 
     return scored
