@@ -10,7 +10,7 @@ from filewright import constants as C
 from filewright import profile
 from filewright.config import RetentionPolicy, Taxonomy, drift
 from filewright.functions import paths, replies as R, text as T, tokens, wire
-from filewright.functions.verdicts import is_confident
+from filewright.functions.verdicts import accept, is_confident
 from filewright.operators import placement, policy, reconcile, routing, rules
 from filewright.plans import pipeline
 from filewright.session import cut_lineage, shared_path
@@ -19,7 +19,7 @@ from filewright.streaming import classify_stream, progress_stream, start, worker
 
 TAXONOMY = Taxonomy()
 POLICY = RetentionPolicy.default()
-CHARS = 300
+CHARS = TAXONOMY.max_chars
 PLAN = ["seq", "path", "category", "confidence", "method", "reason"]
 
 
@@ -137,7 +137,7 @@ def page_snippet(spark, d):
 def paragraph_snippet(spark, d):
     # Every fourth paragraph is blank.
     c = X.load(spark, d, "conversations").withColumn("text", F.when(F.col("turn") % 4 == 1, " \n").otherwise(F.col("text")))
-    found = previews.paragraph_text(c, "conv_id", "turn", "text", max_paragraphs=5, max_chars=CHARS)
+    found = previews.paragraph_text(c, "conv_id", "turn", "text", max_chars=CHARS)
     return found.select("conv_id", "text", T.snippet(F.col("text"), CHARS).alias("snippet"))
 
 
@@ -202,12 +202,15 @@ def parse_replies(spark, d):
 
 
 def accepted_replies(spark, d):
-    return parse_replies(spark, d).where(is_confident(F.col("category"), F.col("confidence"), TAXONOMY.threshold))
+    # Through an array, so that no filter is pushed below the parser and repeats it.
+    kept = accept(R.parse_reply(F.col("reply"), TAXONOMY.names), TAXONOMY.threshold)
+    found = F.filter(F.array(kept), lambda v: v.isNotNull())
+    return X.replies(spark, d).select("reply_seq", F.explode(found).alias("v")).select("reply_seq", "v.*")
 
 
 def build_prompts(spark, d):
     f = rules.with_names(X.files(spark, d).select("seq", "path", "text"))
-    f = previews.with_snippet(f, CHARS, csv_files=False)
+    f = previews.with_snippet(f, CHARS)
     prompt = R.build_prompt(
         F.col("name"), F.col("snippet"), TAXONOMY.names, "Pick one of {categories} for {filename}: {snippet}",
         redact_filename=True)
@@ -267,7 +270,7 @@ def job_verdicts_batch_deadline(spark, d):
 
 
 def stray_results(spark, d):
-    return reconcile.stray_results(X.results(spark, d), X.jobs(spark, d)).select("job_id", "file_path", "result_seq")
+    return reconcile.stray_results(X.results(spark, d, gaps=False), X.jobs(spark, d)).select("job_id", "file_path", "result_seq")
 
 
 def orchestration_stats(spark, d):
@@ -277,7 +280,7 @@ def orchestration_stats(spark, d):
 
 
 def worker_stats(spark, d):
-    return reconcile.worker_stats(X.results(spark, d)).withColumn("total_duration_ms", F.round("total_duration_ms", 2))
+    return reconcile.worker_stats(X.results(spark, d, gaps=False)).withColumn("total_duration_ms", F.round("total_duration_ms", 2))
 
 
 def route_backlog(spark, d):
@@ -285,11 +288,11 @@ def route_backlog(spark, d):
 
 
 def progress_running(spark, d):
-    return reconcile.progress(X.results(spark, d)).select("result_seq", "route", "completed_on_route", "failed_on_route")
+    return reconcile.progress(X.results(spark, d, gaps=False)).select("result_seq", "route", "completed_on_route", "failed_on_route")
 
 
 def progress_ticks(spark, d):
-    return reconcile.progress_ticks(X.results(spark, d))
+    return reconcile.progress_ticks(X.results(spark, d, gaps=False))
 
 
 def job_json_roundtrip(spark, d):
@@ -310,7 +313,7 @@ def job_json_defaults(spark, d):
 
 
 def result_json_roundtrip(spark, d):
-    r = X.results(spark, d)
+    r = X.results(spark, d, gaps=False)
     encoded = r.select(wire.encode_result(r).alias("result"), "done_at")
     out = wire.decode_results(encoded, done_at=F.col("done_at"))
     return out.select(
@@ -326,7 +329,7 @@ def make_jobs(spark, d):
 
 def elapsed_times(spark, d):
     """Times of a result: epoch, ISO text and time since its job was queued."""
-    r = X.results(spark, d).select("job_id", "result_seq", "done_at").join(
+    r = X.results(spark, d, gaps=False).select("job_id", "result_seq", "done_at").join(
         X.jobs(spark, d).select("job_id", "enqueued_at"), "job_id")
     return r.select(
         "result_seq", wire.iso(F.col("done_at")).alias("done_iso"),
@@ -364,7 +367,7 @@ def export_plan(spark, d):
 def export_barred(spark, d):
     """A policy that keeps secrets by mistake still exports none of them."""
     kept = {**profile.DISPOSITIONS, "keep": [*profile.DISPOSITIONS["keep"], "Credentials_Secrets"], "review": [C.UNKNOWN]}
-    wrong = RetentionPolicy.build(kept, profile.NEVER_EXPORT)
+    wrong = RetentionPolicy.of(kept, profile.NEVER_EXPORT)
     out = placement.export_plan(_plan(spark, d), wrong, "/bundle")
     return out.groupBy("status", "category").agg(F.count("*").alias("files"), F.count("dest").alias("placed"))
 
@@ -423,12 +426,12 @@ def stream_classify(spark, d):
 
 
 def stream_progress(spark, d):
-    ticks = progress_stream(X.results(spark, d, X.load_stream))
+    ticks = progress_stream(X.results(spark, d, X.load_stream, gaps=False))
     return _run(ticks, "update").select("route", "tick_end", "completed", "failed")
 
 
 def stream_worker_stats(spark, d):
-    stats = worker_stats_stream(X.results(spark, d, X.load_stream))
+    stats = worker_stats_stream(X.results(spark, d, X.load_stream, gaps=False))
     return _run(stats, "update").withColumn("total_duration_ms", F.round("total_duration_ms", 2))
 
 

@@ -35,6 +35,16 @@ def _needed(value: Column, name: str) -> Column:
     return F.when(value.isNotNull(), value).otherwise(F.raise_error(f"required field is missing: {name}"))
 
 
+def whole_number(value: Column) -> Column:
+    """Confidence from its JSON text: numbers lose their fraction, true and false are 1 and 0, texts must be whole
+    numbers; anything else, and what no integer can hold, is NULL."""
+    text = F.trim(F.regexp_replace(value, '^"|"$', ""))
+    number = F.when(~F.startswith(value, F.lit('"')), text.try_cast("double"))
+    whole = F.when(F.rlike(text, F.lit(r"\A[+-]?[0-9]+\z")), text.try_cast("double"))
+    flag = F.when(text == "true", 1.0).when(text == "false", 0.0)
+    return F.coalesce(F.when(~F.startswith(value, F.lit('"')), flag), number, whole).try_cast("int")
+
+
 def encode_job(df: DataFrame) -> Column:
     return F.to_json(F.struct(
         df["job_id"].alias("id"), "file_path", "route", "payload", "attempts", "max_attempts",
@@ -81,7 +91,7 @@ def decode_results(df: DataFrame, column: str = "result", done_at: Column | None
         _needed(F.col("_r.duration_ms"), "duration_ms").alias("duration_ms"),
         F.when(c.isNotNull(), F.struct(
             c["category"].alias("category"),
-            c["confidence"].try_cast("double").cast("int").alias("confidence"),
+            whole_number(F.to_json(c["confidence"])).alias("confidence"),
             c["method"].alias("method"),
             c["reason"].alias("reason"),
         )).alias("classification"),

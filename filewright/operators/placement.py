@@ -45,7 +45,7 @@ def export_plan(
     """Rows to keep with their destination, and barred ones as skipped."""
     keep = with_disposition(plan, policy).where(F.col("disposition") == C.KEEP)
     keep = keep.withColumn("name", paths.basename(F.col("path")))
-    barred = policy.never_export & {c for c, d in policy.by_category.items() if d == C.KEEP}
+    barred = policy.barred & {c for c, d in policy.assigned if d == C.KEEP}
     named = unique_names(keep.where("exportable") if barred else keep, existing)
     dest = paths.join(F.lit(destination.rstrip("/")), F.col("category"), F.col("dest_name"))
     out = named.withColumns({"dest": dest, "status": F.lit(EXPORTED)})

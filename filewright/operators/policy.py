@@ -24,7 +24,7 @@ def disposition(category: Column, policy: RetentionPolicy) -> Column:
 
 
 def is_barred(category: Column, policy: RetentionPolicy) -> Column:
-    return category.isin(sorted(policy.never_export)) if policy.never_export else F.lit(False)
+    return category.isin(sorted(policy.barred)) if policy.barred else F.lit(False)
 
 
 def with_disposition(plan: DataFrame, policy: RetentionPolicy) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Each operator adds one nullable verdict column. Nothing here shuffles: markers
 are literal patterns, keyword rules reach the rows through one broadcast join
-on the extension, whose build side is as large as the taxonomy and no larger.
+on the extension for every half a million rules.
 """
 
 from __future__ import annotations
@@ -19,8 +19,11 @@ from filewright.functions import paths, tokens
 from filewright.functions.literals import array_of, quote
 from filewright.functions.verdicts import verdict
 
-# About a hundred bytes each. A larger table is joined the way Spark chooses.
-MAX_BROADCAST_RULES = 1_000_000
+# Rules of about a hundred bytes in a table that is broadcast; more rules make more tables.
+RULES_AT_ONCE = 500_000
+# Patterns in one expression.
+MARKERS_AT_ONCE = 200
+REFERS = re.compile(r"\\[1-9]|\\k<|\(\?P?<[A-Za-z]")
 RULE_TABLE = "ext string, rules array<struct<needle:string,category:string,keyword:string>>"
 
 
@@ -53,16 +56,28 @@ def _has_outer_bar(pattern: str) -> bool:
     return "|" in bare
 
 
+def _first_of(markers: Sequence[tuple[str, str, str]]) -> list[str]:
+    """Expressions of which each gives the position of the first pattern found among some of the markers.
+
+    Most names hold no marker; one alternation settles those. A pattern that refers back to a group, or names one, means
+    something else inside a larger pattern, so those are tried one by one.
+    """
+    numbered = list(enumerate((pattern for pattern, _, _ in markers), 1))
+    alone = [(i, p) for i, p in numbered if REFERS.search(p)]
+    joined = [(i, p) for i, p in numbered if not REFERS.search(p)]
+    out = [f"CASE WHEN rlike(flat, {quote(p)}) THEN {i} END" for i, p in alone]
+    for start in range(0, len(joined), MARKERS_AT_ONCE):
+        part = joined[start:start + MARKERS_AT_ONCE]
+        cases = " ".join(f"WHEN rlike(flat, {quote(p)}) THEN {i}" for i, p in part)
+        out.append(f"CASE WHEN rlike(flat, {quote(_any_of([p for _, p in part]))}) THEN CASE {cases} END END")
+    return out
+
+
 def with_markers(df: DataFrame, taxonomy: Taxonomy, out: str = "marker") -> DataFrame:
     """Verdict of the first marker pattern found in ``flat``."""
     if not taxonomy.markers:
         return df.withColumn(out, F.lit(None).cast("struct<category:string,confidence:int,method:string,reason:string>"))
-    # Most names hold no marker; one alternation settles those.
-    any_marker = _any_of([pattern for pattern, _, _ in taxonomy.markers])
-    cases = " ".join(
-        f"WHEN rlike(flat, {quote(pattern)}) THEN {position}"
-        for position, (pattern, _, _) in enumerate(taxonomy.markers, 1))
-    first = F.expr(f"CASE WHEN rlike(flat, {quote(any_marker)}) THEN CASE {cases} END END")
+    first = F.expr(f"least({', '.join([*_first_of(taxonomy.markers), 'CAST(NULL AS INT)'])}, CAST(NULL AS INT))")
     categories = array_of(c for _, c, _ in taxonomy.markers)
     reasons = array_of(r for _, _, r in taxonomy.markers)
     position = F.col("_position")
@@ -95,49 +110,44 @@ def _needle(cleaned: str, is_phrase: bool) -> str:
     return f" {cleaned}" if len(cleaned) >= C.PREFIX_KEYWORD_LEN else f" {cleaned} "
 
 
-def keyword_table(spark: SparkSession, taxonomy: Taxonomy) -> DataFrame:
-    """One row per extension with its rules, phrases first, then in taxonomy order.
+def keyword_tables(spark: SparkSession, taxonomy: Taxonomy, at_once: int = RULES_AT_ONCE) -> list[DataFrame]:
+    """Tables of one row per extension with its rules, phrases first, then in taxonomy order.
 
-    The row of the empty extension holds every category's rules.
+    The row of the empty extension holds every category's rules. All rules of a table come before those of the next;
+    none holds more than ``at_once`` rules, counted once per extension.
     """
-    ordered = sorted(taxonomy.keyword_rules(), key=lambda r: (not r[5], r[0], r[1]))
-    rows: dict[str, list] = {"": []}
-    for _, _, category, keyword, cleaned, phrase in ordered:
-        rule = (_needle(cleaned, phrase), category, keyword)
-        rows[""].append(rule)
-        for ext in dict.fromkeys(taxonomy.extensions(category)):
-            rows.setdefault(ext, []).append(rule)
-    return spark.createDataFrame(list(rows.items()), RULE_TABLE)
-
-
-def keyword_table_size(taxonomy: Taxonomy) -> int:
-    """Rules in the table, each counted once per extension it serves and once without."""
-    return sum(1 + len(set(taxonomy.extensions(rule[2]))) for rule in taxonomy.keyword_rules())
+    tables: list[dict[str, list]] = []
+    size = at_once
+    for _, _, category, keyword, cleaned, phrase in sorted(taxonomy.keyword_rules(), key=lambda r: (not r[5], r[0], r[1])):
+        exts = ["", *dict.fromkeys(taxonomy.extensions(category))]
+        if size + len(exts) > at_once:
+            tables.append({})
+            size = 0
+        size += len(exts)
+        for ext in exts:
+            tables[-1].setdefault(ext, []).append((_needle(cleaned, phrase), category, keyword))
+    return [spark.createDataFrame(list(rows.items()), RULE_TABLE) for rows in tables]
 
 
 def with_keyword(
-    df: DataFrame, taxonomy: Taxonomy, out: str = "keyword", where: Column | None = None,
+    df: DataFrame, taxonomy: Taxonomy, out: str = "keyword", where: Column | None = None, at_once: int = RULES_AT_ONCE,
 ) -> DataFrame:
     """Verdict of the first keyword rule that fits extension and name.
 
     Rows for which ``where`` does not hold are not looked at.
     """
-    table = keyword_table(df.sparkSession, taxonomy).withColumnsRenamed({"ext": "_ext", "rules": "_rules"})
-    if keyword_table_size(taxonomy) <= MAX_BROADCAST_RULES:
-        table = F.broadcast(table)
     padded = F.concat(F.lit(" "), F.col("flat"), F.lit(" "))
-    hit = F.get(F.filter(F.col("_rules"), lambda r: F.contains(F.col("_padded"), r["needle"])), F.lit(0))
-    if where is not None:
-        hit = F.when(where, hit)
+    found = df.withColumn("_padded", padded).withColumn("_hit", F.lit(None).cast("struct<needle:string,category:string,keyword:string>"))
+    for table in keyword_tables(df.sparkSession, taxonomy, at_once):
+        # The size of a table has been bounded where it was made.
+        table = F.broadcast(table.withColumnsRenamed({"ext": "_ext", "rules": "_rules"}))
+        hit = F.get(F.filter(F.col("_rules"), lambda r: F.contains(F.col("_padded"), r["needle"])), F.lit(0))
+        hit = F.coalesce(F.col("_hit"), hit)
+        found = found.join(table, F.col("ext") == F.col("_ext"), "left").withColumn(
+            "_hit", hit if where is None else F.when(where, hit)).drop("_ext", "_rules")
     reason = F.concat(F.lit("Matched '"), F.col("_hit.keyword"), F.lit("' in filename"))
-    return (
-        df.withColumn("_padded", padded)
-        .join(table, F.col("ext") == F.col("_ext"), "left")
-        .withColumn("_hit", hit)
-        .withColumn(out, F.when(F.col("_hit").isNotNull(), verdict(
-            F.col("_hit.category"), C.CONFIDENCE_KEYWORD, C.METHOD_RULES, reason)))
-        .drop("_padded", "_ext", "_rules", "_hit")
-    )
+    return found.withColumn(out, F.when(F.col("_hit").isNotNull(), verdict(
+        F.col("_hit.category"), C.CONFIDENCE_KEYWORD, C.METHOD_RULES, reason))).drop("_padded", "_hit")
 
 
 def with_rules(

@@ -21,12 +21,13 @@ def stored_plan(judged: DataFrame) -> DataFrame:
 
     Where the inventory has no ``seq``, rows are sorted by path, by range and
     not in one task, and numbered in that order. The numbers hold for one
-    computation only, which is why they are written down.
+    computation only, which is why they are written down. A sort looks at its
+    input twice, so the verdicts are written before it: each file is scored once.
     """
-    plan = judged.drop("text", "content")
-    if "seq" not in plan.columns:
-        plan = plan.sort("path").withColumn("seq", F.monotonically_increasing_id())
-    return cut_lineage(plan)
+    plan = cut_lineage(judged.drop("text", "content"))
+    if "seq" in plan.columns:
+        return plan
+    return cut_lineage(plan.sort("path").withColumn("seq", F.monotonically_increasing_id()))
 
 
 @dataclass(frozen=True)
@@ -84,7 +85,7 @@ def offboard(
 
     A policy that does not cover the taxonomy stops the job before any work.
     """
-    policy.validate(taxonomy.names)
+    policy.must_fit(taxonomy.names)
     files = inventory.candidates(listing, root, taxonomy.names, recursive)
     plan = stored_plan(pipeline.classify(files, taxonomy, stages, **model_options))
     known = None if existing is None else placement.existing_names(existing, destination)

@@ -35,7 +35,7 @@ RESULT_JSON = T.StructType([
     T.StructField("duration_ms", T.DoubleType()),
     T.StructField("classification", T.StructType([
         T.StructField("category", T.StringType()),
-        T.StructField("confidence", T.StringType()),
+        T.StructField("confidence", T.VariantType()),
         T.StructField("method", T.StringType()),
         T.StructField("reason", T.StringType()),
     ])),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from filewright.schemas import MOVE_LOG
 
@@ -19,8 +18,9 @@ def write_by_category(plan: DataFrame, folder: str, mode: str = "error") -> None
 
 
 def write_manifest(manifest: DataFrame, folder: str, mode: str = "error") -> None:
-    """CSV parts with a header, in manifest order from part to part."""
-    manifest.write.option("header", True).option("escape", '"').mode(mode).csv(folder)
+    """CSV parts with a header, in manifest order from part to part. Blanks at the ends of values stay."""
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    manifest.write.options(**options).mode(mode).csv(folder)
 
 
 def append_move_log(log: DataFrame, folder: str) -> None:
@@ -30,8 +30,6 @@ def append_move_log(log: DataFrame, folder: str) -> None:
 
 
 def read_move_log(spark: SparkSession, folder: str) -> DataFrame:
-    """All runs of a log. Lines that cannot be read are left out."""
-    corrupt = "_corrupt"
-    schema = T.StructType([*MOVE_LOG.fields, T.StructField(corrupt, T.StringType())])
-    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", corrupt).json(folder)
-    return raw.where(F.col(corrupt).isNull()).select(*MOVE_LOG.names)
+    """All runs of a log. A line that cannot be read fails the job that reads it: to take back only some of the moves
+    is worse than none."""
+    return spark.read.schema(MOVE_LOG).option("mode", "FAILFAST").json(folder)

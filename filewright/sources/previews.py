@@ -16,9 +16,9 @@ from filewright.functions import text as X
 
 def page_text(
     pages: DataFrame, doc: str = "doc", page_no: str = "page_no", text: str = "text",
-    max_pages: int = C.PAGES_PER_DOC, max_chars: int = C.SNIPPET_CHARS,
+    max_pages: int = C.PAGES_PER_DOC, *, max_chars: int,
 ) -> DataFrame:
-    """Text of each document's first pages, up to the page that fills ``max_chars``.
+    """Text of each document's first pages, up to the page that fills ``max_chars`` (a taxonomy's ``max_chars``, for snippets).
 
     Each task keeps a document's first pages before the shuffle (a row-number
     limit Spark pushes below it), cut to the characters that can matter. So a
@@ -36,7 +36,7 @@ def page_text(
 
 def paragraph_text(
     paragraphs: DataFrame, doc: str = "doc", position: str = "position", text: str = "text",
-    max_paragraphs: int = C.PARAGRAPHS_PER_DOC, max_chars: int = C.SNIPPET_CHARS,
+    max_paragraphs: int = C.PARAGRAPHS_PER_DOC, *, max_chars: int,
 ) -> DataFrame:
     """Text of each document's first paragraphs, blank ones dropped after counting."""
     short = paragraphs.select(
@@ -97,8 +97,8 @@ def with_snippet(
     """Add ``snippet`` by extension; '' for what has no reader or no text.
 
     Paged and word-processor files carry their extracted text in the text
-    column (see ``page_text`` and ``paragraph_text``). Only CSV rows visit a
-    Python worker; ``csv_files=False`` keeps the plan free of one.
+    column (see ``page_text`` and ``paragraph_text``). CSV texts are read in a
+    Python worker, past which all rows go; ``csv_files=False`` keeps the plan free of it.
     """
     plain = F.col("ext").isin([*C.TEXT_EXTS, ".pdf", ".docx"])
     raw = F.when(plain, F.col(text))

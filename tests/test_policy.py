@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filewright import profile, sinks
-from filewright.config import PolicyError, RetentionPolicy, Taxonomy, drift
+from filewright.config import InconsistentPolicy, RetentionPolicy, Taxonomy, drift
 from filewright.operators import placement, policy
 from filewright.plans import jobs, pipeline
 from filewright.sources import inventory
@@ -24,13 +24,13 @@ def listing(spark, paths):
 
 
 def test_policy_covers_the_taxonomy():
-    POLICY.validate(TAXONOMY.names)
-    with pytest.raises(PolicyError, match="no disposition.*New"):
-        POLICY.validate([*TAXONOMY.names, "New"])
-    with pytest.raises(PolicyError, match="no longer exist: Travel_Transit"):
-        POLICY.validate([n for n in TAXONOMY.names if n != "Travel_Transit"])
-    with pytest.raises(PolicyError, match="more than one"):
-        RetentionPolicy.build({"keep": ["a"], "leave": ["a"]})
+    POLICY.must_fit(TAXONOMY.names)
+    with pytest.raises(InconsistentPolicy, match="Extra: not in the policy"):
+        POLICY.must_fit([*TAXONOMY.names, "Extra"])
+    with pytest.raises(InconsistentPolicy, match="Travel_Transit: in the policy only"):
+        POLICY.must_fit([n for n in TAXONOMY.names if n != "Travel_Transit"])
+    with pytest.raises(InconsistentPolicy, match="more than once: a, b"):
+        RetentionPolicy.of({"keep": ["a", "b", "b"], "leave": ["a"]})
 
 
 def test_drift_table(spark):
@@ -51,7 +51,7 @@ def test_load_files(spark, tmp_path):
     yaml = pytest.importorskip("yaml")
     (tmp_path / "p.yaml").write_text(yaml.safe_dump({"dispositions": {"keep": ["A"], "review": None}, "never_export": ["A"]}))
     p = RetentionPolicy.load(tmp_path / "p.yaml")
-    assert p.by_category == {"A": "keep"} and p.never_export == {"A"}
+    assert p.by_category == {"A": "keep"} and p.barred == {"A"}
     assert [tuple(r) for r in p.report(spark).collect()] == [("keep", ["A"], ["A"])]
 
 
@@ -65,7 +65,7 @@ def test_unknown_category_fails_closed(spark):
 
 
 def test_export_takes_keep_only_and_never_secrets(spark):
-    wrong = RetentionPolicy.build({**profile.DISPOSITIONS, "keep": ["Credentials_Secrets", "Financial_Taxes"], "review": []}, ["Credentials_Secrets"])
+    wrong = RetentionPolicy.of({**profile.DISPOSITIONS, "keep": ["Credentials_Secrets", "Financial_Taxes"], "review": []}, ["Credentials_Secrets"])
     df = plan(spark, [("/a/x.pdf", "Financial_Taxes"), ("/b/x.pdf", "Financial_Taxes"), ("/a/k.txt", "Credentials_Secrets"),
                       ("/a/w.txt", "Customer_Data")])
     got = {r.path: (r.dest, r.status) for r in placement.export_plan(df, wrong, "/out").collect()}
@@ -110,15 +110,22 @@ def test_sort_then_undo(spark, tmp_path):
     assert tuple(placement.undo_counts(undone).first()) == (1, 1)
 
 
-def test_log_grows_and_skips_broken_lines(spark, tmp_path):
+def test_log_grows_and_refuses_broken_lines(spark, tmp_path):
     log = tmp_path / "log"
     moves = plan(spark, [("/a", "Financial_Taxes")]).withColumn("dest", F.lit("/b"))
     jobs.apply_moves(moves.limit(0), str(log), "r0", "2024-01-01 00:00:00")
     assert not log.exists()
     for run in ("r1", "r2"):
         jobs.apply_moves(moves, str(log), run, "2024-01-01 00:00:00")
-    (log / "broken.json").write_text("{not json\n")
     assert sorted(r.run_id for r in sinks.read_move_log(spark, str(log)).collect()) == ["r1", "r2"]
+    (log / "broken.json").write_text("{not json\n")
+    with pytest.raises(Exception, match="broken.json"):
+        sinks.read_move_log(spark, str(log)).collect()
+
+
+def test_manifest_keeps_blanks(spark, tmp_path):
+    sinks.write_manifest(spark.createDataFrame([(" a.pdf", "b ")], "filename string, reason string"), str(tmp_path / "m"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "m")).collect()] == [(" a.pdf", "b ")]
 
 
 def test_offboard_writes_only_when_applied(spark, tmp_path):
@@ -131,5 +138,5 @@ def test_offboard_writes_only_when_applied(spark, tmp_path):
     kept = spark.read.parquet(dest + "/export")
     assert [(r.path, r.category) for r in kept.collect()] == [("/r/J Doe Resume.pdf", "Resumes_Career_Tech")]
     assert spark.read.option("header", True).csv(dest + "/manifest").count() == 3
-    with pytest.raises(PolicyError):
-        jobs.offboard(src, "/r", TAXONOMY, RetentionPolicy.build({"keep": []}), dest)
+    with pytest.raises(InconsistentPolicy):
+        jobs.offboard(src, "/r", TAXONOMY, RetentionPolicy.of({"keep": []}), dest)

@@ -110,3 +110,11 @@ def test_job_ids_repeat_with_the_run(spark):
     df = spark.createDataFrame([("/a",), ("/b",)], "p string").select(wire.job_id(F.lit("run"), F.col("p")).alias("i"))
     first, again = [r.i for r in df.collect()], [r.i for r in df.collect()]
     assert first == again and len(set(first)) == 2
+
+
+def test_odd_results_are_malformed_and_stop_nothing(spark):
+    given = {"95": 95, "95.7": 95, "true": 1, "3000000000": None, '"NaN"': None, '"95.5"': None, '"88"': 88, "null": None, "[1]": None, '"x"': None}
+    text = '{"job_id":"j","file_path":"/f","route":"r","worker_id":"w","duration_ms":1,"classification":{"category":"A","confidence":%s}}'
+    df = spark.createDataFrame([(text % c,) for c in given], "result string")
+    got = [r.classification.confidence for r in wire.decode_results(df).collect()]
+    assert dict(zip(given, got)) == given
