@@ -193,10 +193,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
 
 def extreme_value(best: list[tuple[int, float]]) -> tuple[float, float]:
     """lambda and log K of the law P(best < s) = exp(-K n exp(-lambda s)) that ordinary texts of n words follow, by moments."""
-    n, s = np.array([b[0] for b in best], float), np.array([b[1] for b in best])
-    if len(s) < 10 or s.std() < 1e-6:
+    if not best:
         return 1.0, 0.0
-    lam = float(np.pi / (s.std() * 6 ** 0.5))
+    n, s = np.array([b[0] for b in best], float), np.array([b[1] for b in best])
+    # Ordinary texts that hardly vary leave the scale of the scores themselves, which are logarithms.
+    lam = float(np.pi / (s.std() * 6 ** 0.5)) if s.std() > 1e-6 else 1.0
     return lam, float(np.mean(lam * s - np.log(n)) - 0.5772156649)
 
 
