@@ -33,7 +33,7 @@ PRIOR = 100.0  # weight of the prior in documents
 Z = 2.5
 MARGIN = 1.5
 DRIFT = 0.05  # what a word without evidence costs a segment
-CHANCE = 0.01  # segments expected by chance, below which one is significant
+CHANCE = 0.05  # segments expected by chance, below which one is significant
 THRESHOLD = 0.7
 
 
