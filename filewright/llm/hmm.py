@@ -90,9 +90,27 @@ class Words:
         return OWN + 1 + ENDINGS
 
 
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """Rows of the words of the highest counts, in their order, and not more than ``most``.
+
+    A histogram over powers of the count, of a few thousand rows at most, says from which count on; so tasks send no
+    words but those.
+    """
+    power = F.floor(F.log2("n") * 64)
+    cut, total = None, 0
+    for r in sorted(counts.groupBy(power.alias("power")).count().collect(), key=lambda r: -r.power):
+        total += r["count"]
+        if total > most:
+            break
+        cut = r.power
+    if cut is None:
+        return []
+    return sorted(counts.where(power >= cut).collect(), key=lambda r: (-r.n, bytes(r.word)))
+
+
 def learn_words(counts: DataFrame) -> Words:
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top = counts.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(SHARED).collect()  # a fixed number of words
+    top = most_frequent(counts.where(F.length("word") > 0), SHARED)
     own = {bytes(r.word): i + 1 for i, r in enumerate(top[:OWN])} | {END: 0}
 
     def classed(batches):
