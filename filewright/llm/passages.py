@@ -29,7 +29,7 @@ from filewright.session import cut_lineage
 
 WINDOW = 50
 GRAM = 8
-CROWD = 20_000  # different segments of one hash, beyond which they are dealt out by windows
+CROWD = 2_000  # different segments of one hash, beyond which they are dealt out by windows
 SHARD_WORDS = 1_000_000  # of segments indexed at once, where segments of one hash allow
 NUMBERS = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
@@ -117,13 +117,16 @@ def place_segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return map_texts(docs, "text", PLACED, make)
 
 
+def shared_segments(placed: DataFrame) -> DataFrame:
+    """The placed segments whose hash stands in several documents; all others hold no repeated window."""
+    shared = placed.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    return cut_lineage(placed.join(shared.select("h"), "h", "left_semi"))
+
+
 def distinct_segments(placed: DataFrame) -> DataFrame:
-    """Different segments of hashes that stand in several documents, with the smallest id and a place that holds them."""
-    distinct = placed.groupBy("h", "c").agg(
-        F.min(F.struct("doc_id", "text_key", "first", "windows")).alias("at"), F.max("doc_id").alias("last"))
-    distinct = distinct.select("h", "c", F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key"), F.col("at.first").alias("first"), F.col("at.windows").alias("windows"), "last")
-    shared = distinct.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("last").alias("high"), F.count("*").alias("crowd")).where("low < high")
-    return distinct.join(shared.select("h", "crowd"), "h")
+    """Different segments, with the smallest id and a place that holds them."""
+    distinct = placed.groupBy("h", "c").agg(F.min(F.struct("doc_id", "text_key", "first", "windows")).alias("at"))
+    return distinct.select("h", "c", "at.*")
 
 
 def contents(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
@@ -247,17 +250,15 @@ def covered(placed: DataFrame, found: DataFrame, window: int) -> DataFrame:
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(doc_id, text_key, first, last): repeated stretches of words in the rows of ``keyed(docs)``."""
     known = keyed(docs).where(F.col("doc_id").isNotNull())
-    placed = cut_lineage(place_segments(known, window, gram))
+    placed = shared_segments(cut_lineage(place_segments(known, window, gram)))
     distinct = cut_lineage(distinct_segments(placed))
-    crowded = distinct.where(F.col("crowd") > crowd).select("h").distinct()
-    few = distinct.where(F.col("crowd") <= crowd)
-    found = search(contents(known, few, window), window)
-    out = covered(placed, found, window)
-    if not crowded.isEmpty():
-        windows = cut_lineage(split_windows(known, placed.join(crowded, "h", "left_semi"), window))
-        alone = distinct_segments(windows)
-        out = out.unionAll(covered(windows, search(contents(known, alone, window), window), window))
-    return out
+    crowded = cut_lineage(distinct.groupBy("h").count().where(F.col("count") > crowd).select("h"))
+    found = contents(known, distinct.join(crowded, "h", "left_anti"), window)
+    if crowded.isEmpty():
+        return covered(placed, search(found, window), window)
+    windows = shared_segments(cut_lineage(split_windows(known, placed.join(crowded, "h", "left_semi"), window)))
+    found = found.unionAll(contents(known, distinct_segments(windows), window))
+    return covered(placed.unionAll(windows), search(found, window), window)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
