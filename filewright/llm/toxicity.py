@@ -8,7 +8,7 @@ scoring segments of a text. Scores of segments under ordinary text follow an ext
 the number of such segments expected by chance; a logistic curve turns the evidence of a document's best
 segment into a score from 0 to 1. All significant segments are reported.
 
-The model is fitted on at most ``SAMPLE`` labelled rows, those with the smallest hashed ids. Labels that are NULL or neither
+The model is fitted on about ``SAMPLE`` labelled rows, chosen by a hash of their ids. Labels that are NULL or neither
 0 nor 1 are left out; of repeated labels the larger counts. NULL or empty texts hold no segment and are scored as such.
 Without labels of both kinds every document gets the share of toxic labels (0.5 if there is none). Repeated rows give
 repeated results.
@@ -113,10 +113,14 @@ def evidence(n: int, found: list[tuple[int, int, float]], lam: float, log_k: flo
 
 
 def sampled_labels(labels: DataFrame, learn: Column, sample: int) -> DataFrame:
-    """(doc_id, toxic) of at most ``sample`` labelled documents for which ``learn`` holds."""
+    """(doc_id, toxic) of about ``sample`` labelled documents for which ``learn`` holds, or of all if there are fewer.
+
+    A hash of the id decides, so the number strays from ``sample`` by a few square roots of it at most.
+    """
     usable = labels.where(learn & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     one = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    share = (1 << 30) * sample // max(1, usable.count())
+    return one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -158,7 +162,7 @@ def log_odds(counts: DataFrame, kept: int) -> dict[bytes, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, kept: int = WORDS_KEPT) -> Model:
     """Model from the texts of ``docs`` with a label; log-odds from three quarters of the sample, calibration from the rest."""
-    labelled = F.broadcast(sampled_labels(labels, learn, sample))  # at most ``sample`` rows of twelve bytes
+    labelled = F.broadcast(sampled_labels(labels, learn, sample))  # about ``sample`` rows of twelve bytes
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labelled, "doc_id").select("doc_id", "toxic", "text")
     held = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0
     counts = word_counts(texts.where(~held))
