@@ -15,7 +15,7 @@ from filewright.operators import placement, policy, reconcile, routing, rules
 from filewright.plans import pipeline
 from filewright.session import cut_lineage, shared_path
 from filewright.sources import inventory, previews
-from filewright.streaming import classify_stream, progress_stream, start, worker_stats_stream, write_once
+from filewright.streaming import classify_stream, latest, progress_stream, start, worker_stats_stream, write_once
 
 TAXONOMY = Taxonomy()
 POLICY = RetentionPolicy.default()
@@ -412,12 +412,20 @@ def undo_counts(spark, d):
 # ---------------------------------------------------------------- streams
 
 
-def _run(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything a stream reports for the input that is there now."""
+def _run(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Everything a stream reports for the input that is there now; with ``keys``, the last state of each."""
     spark = stream.sparkSession
     out = shared_path(spark)
-    start(stream, write_once(out), shared_path(spark), mode).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/batch_id=*")
+    start(stream, write_once(out), shared_path(spark), "update" if keys else "append").awaitTermination()
+    written = spark.read.parquet(out).select(*stream.columns, "batch_id")
+    return latest(written, keys) if keys else written.drop("batch_id")
+
+
+def _in_batches(df: DataFrame, batches: int = 3) -> DataFrame:
+    """A stream over ``df`` as files that arrive one after the other."""
+    path = shared_path(df.sparkSession)
+    df.repartition(batches).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def stream_classify(spark, d):
@@ -426,13 +434,14 @@ def stream_classify(spark, d):
 
 
 def stream_progress(spark, d):
-    ticks = progress_stream(X.results(spark, d, X.load_stream, gaps=False))
-    return _run(ticks, "update").select("route", "tick_end", "completed", "failed")
+    # Batches come in no order of time here, so nothing may count as late.
+    ticks = progress_stream(_in_batches(X.results(spark, d, gaps=False)), late="3650 days")
+    return _run(ticks, ["route", "tick_end"]).select("route", "tick_end", "completed", "failed")
 
 
 def stream_worker_stats(spark, d):
-    stats = worker_stats_stream(X.results(spark, d, X.load_stream, gaps=False))
-    return _run(stats, "update").withColumn("total_duration_ms", F.round("total_duration_ms", 2))
+    stats = worker_stats_stream(_in_batches(X.results(spark, d, gaps=False)))
+    return _run(stats, ["worker_id"]).withColumn("total_duration_ms", F.round("total_duration_ms", 2))
 
 
 QUERIES = {f.__name__: f for f in (

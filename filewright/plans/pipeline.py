@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from filewright import constants as C
 from filewright.config import Taxonomy
 from filewright.functions import replies as R
+from filewright.functions import text as X
 from filewright.functions.verdicts import first_known, unknown
 from filewright.operators import routing, rules, scoring
-from filewright.sources.previews import with_snippet
+from filewright.sources.previews import has_text, with_snippet
 
 # A stage of one's own: adds what it needs and returns (frame, verdict column).
 Stage = Callable[[DataFrame, Taxonomy], tuple[DataFrame, Column]]
@@ -49,18 +50,20 @@ def with_model(
     if (scorer is None) == (replies is None):
         raise ValueError("the model stage needs either a scorer or a table of replies")
     settled = F.lit(None) if settled is None else settled
-    added = [c for c in ("snippet", "route") if c not in df.columns]
-    df = df if "snippet" in df.columns else with_snippet(df, taxonomy.max_chars)
-    df = df if "route" in df.columns else routing.with_route(df)
-    wanted = scoring.needs_score(settled, F.col("snippet"))
+    readable = ~X.is_blank(F.col("snippet")) if "snippet" in df.columns else has_text(taxonomy.max_chars)
+    wanted = settled.isNull() & readable
     if where is not None:
         wanted = wanted & where
+    added: list[str] = []
     if replies is not None:
-        # One flag crosses the join's shuffle in place of the text it came from.
-        df = df.withColumn("_wanted", wanted).drop(*added)
+        # One flag crosses the join's shuffle in place of the text it came from; no snippet is made.
+        df = df.withColumn("_wanted", wanted)
         df = scoring.with_reply_table(df, replies, F.col("_wanted"))
         df = df.withColumn("_error", F.lit(None).cast("string"))
     else:
+        added = [c for c in ("snippet", "route") if c not in df.columns]
+        df = df if "snippet" in df.columns else with_snippet(df, taxonomy.max_chars)
+        df = df if "route" in df.columns else routing.with_route(df)
         prompt = R.build_prompt(F.col("name"), F.col("snippet"), taxonomy.names)
         df = df.withColumns({
             "_prompt": F.when(wanted, prompt),

@@ -90,6 +90,13 @@ def csv_preview(text: Column | str, rows: int = C.PREVIEW_ROWS) -> Column:
     return _csv_reader(rows)(text)
 
 
+def has_text(max_chars: int, text: str = "text") -> Column:
+    """Whether the snippet of a file will not be blank, from its raw text: redaction never makes a text blank, and any
+    record of a CSV text shows in its preview."""
+    plain = F.col("ext").isin([*C.TEXT_EXTS, ".pdf", ".docx"]) & ~X.is_blank(F.substring(text, 1, max_chars))
+    return F.coalesce(plain | ((F.col("ext") == ".csv") & (F.length(text) > 0)), F.lit(False))
+
+
 def with_snippet(
     files: DataFrame, max_chars: int = C.SNIPPET_CHARS, text: str = "text", csv_files: bool = True,
     order: str = "default", redact_first: bool = False,

@@ -2,6 +2,7 @@
 
 from filewright.streaming.jobs import (
     classify_stream,
+    latest,
     progress_stream,
     reconcile_stream,
     start,
@@ -9,4 +10,4 @@ from filewright.streaming.jobs import (
     write_once,
 )
 
-__all__ = ["classify_stream", "progress_stream", "reconcile_stream", "start", "worker_stats_stream", "write_once"]
+__all__ = ["classify_stream", "latest", "progress_stream", "reconcile_stream", "start", "worker_stats_stream", "write_once"]

@@ -84,6 +84,14 @@ def write_once(folder: str, on_batch: Callable[[DataFrame, int], None] | None =
     return write
 
 
+def latest(written: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last row of each key in what ``write_once`` wrote: results of a stream in update mode, which reports a key
+    again whenever it changes."""
+    others = [c for c in written.columns if c not in (*keys, "batch_id")]
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("_last"))
+    return last.select(*keys, "_last.*")
+
+
 def start(
     stream: DataFrame, writer: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append",
     every: str | None = None,

@@ -205,6 +205,14 @@ def test_model_settings(spark):
     assert model("ai-large", {**base, "models": {"ai-large": ""}}) == "l"
 
 
+def test_no_python_without_a_scorer(spark):
+    replies = spark.createDataFrame([("/in/a.pdf", "{}", 1)], "path string, reply string, reply_seq long")
+    df = files(spark, ["a.pdf", "b.csv"])
+    text = lambda plan: plan._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text(pipeline.classify(df, TAXONOMY, replies=replies))
+    assert "Python" in text(pipeline.classify(df, TAXONOMY, scorer=answering("Medical_Health")))
+
+
 def test_each_file_is_scored_once(spark, tmp_path):
     scored = spark.sparkContext.accumulator(0)
 

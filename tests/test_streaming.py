@@ -8,7 +8,7 @@ from filewright.config import Taxonomy
 from filewright.operators import reconcile
 from filewright.plans import pipeline
 from filewright.streaming import (
-    classify_stream, progress_stream, reconcile_stream, start, worker_stats_stream, write_once,
+    classify_stream, latest, progress_stream, reconcile_stream, start, worker_stats_stream, write_once,
 )
 from tests.conftest import DATA
 
@@ -64,6 +64,16 @@ def test_progress_and_worker_stats_equal_batch(spark, tmp_path):
     assert rows(stats) == rows(reconcile.worker_stats(results).select("worker_id", "processed", "failed"))
 
 
+def test_latest_state_over_several_batches(spark, tmp_path):
+    results = X.results(spark, DATA)
+    results.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    written = run(worker_stats_stream(stream), tmp_path, "update")
+    assert written.select("batch_id").distinct().count() == 3
+    got = latest(written, ["worker_id"]).select("worker_id", "processed", "failed")
+    assert rows(got) == rows(reconcile.worker_stats(results).select("worker_id", "processed", "failed"))
+
+
 def test_a_replayed_batch_leaves_the_same_rows(spark, tmp_path):
     calls = []
 
