@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as X
 from filewright import constants as C
-from filewright import profile
+from filewright import profile, sinks
 from filewright.config import RetentionPolicy, Taxonomy, drift
 from filewright.functions import paths, replies as R, text as T, tokens, wire
 from filewright.functions.verdicts import accept, is_confident
@@ -15,7 +15,7 @@ from filewright.operators import placement, policy, reconcile, routing, rules
 from filewright.plans import pipeline
 from filewright.session import cut_lineage, shared_path
 from filewright.sources import inventory, previews
-from filewright.streaming import classify_stream, latest, progress_stream, start, worker_stats_stream, write_once
+from filewright.streaming import classify_stream, latest, progress_stream, reconcile_stream, start, worker_stats_stream, write_once
 
 TAXONOMY = Taxonomy()
 POLICY = RetentionPolicy.default()
@@ -388,6 +388,14 @@ def move_plan(spark, d):
     return placement.move_plan(_plan(spark, d), "/sorted").select("seq", "path", "category", "dest")
 
 
+def move_log(spark, d):
+    """The moves of two runs, appended to a log one after the other and read back."""
+    moves, folder = cut_lineage(move_plan(spark, d)), shared_path(spark)
+    for run, part in (("even", "seq % 2 = 0"), ("odd", "seq % 2 <> 0"), ("none", "seq < 0")):
+        sinks.append_move_log(placement.move_log(moves.where(part), run, "2024-01-01 00:00:00"), folder)
+    return sinks.read_move_log(spark, folder).select("run_id", "seq", "original", "new", "category")
+
+
 def _undo_input(spark, d):
     moves = cut_lineage(move_plan(spark, d))
     log = placement.move_log(moves, "run-1", "2024-01-01 00:00:00")
@@ -444,6 +452,15 @@ def stream_worker_stats(spark, d):
     return _run(stats, ["worker_id"]).withColumn("total_duration_ms", F.round("total_duration_ms", 2))
 
 
+def stream_reconcile(spark, d):
+    """First results of jobs, and timeouts of those without; a pair from the far future passes every deadline."""
+    jobs, results = X.jobs(spark, d), X.results(spark, d).where("result_seq % 4 = 0").drop("result_seq")
+    late = F.lit("2100-01-01 00:00:00").cast("timestamp")
+    ends = [df.limit(1).withColumn("job_id", F.lit("end")).withColumn(time, late) for df, time in ((jobs, "enqueued_at"), (results, "done_at"))]
+    streams = [_in_batches(df.unionByName(end), 1) for df, end in zip((jobs, results), ends)]
+    return _run(reconcile_stream(*streams, C.RUN_TIMEOUT_SECONDS)).where("job_id <> 'end'")
+
+
 QUERIES = {f.__name__: f for f in (
     inventory_filtered, inventory_top_level, path_parts, tokenize_names, tokenize_parts, hc_match, keyword_match,
     junk_and_archives, rules_plan, category_counts, confident_files, text_snippet, snippet_redacted, redact_text,
@@ -453,6 +470,6 @@ QUERIES = {f.__name__: f for f in (
     merged_plan, prefilter_hits, job_verdicts, job_verdicts_batch_deadline, stray_results, orchestration_stats,
     worker_stats, route_backlog, progress_running, progress_ticks, job_json_roundtrip, job_json_defaults,
     result_json_roundtrip, make_jobs, elapsed_times, disposition_partition, disposition_counts, export_plan,
-    export_barred, manifest, review_list, policy_drift, move_plan, undo_plan, undo_counts, stream_classify,
+    export_barred, manifest, review_list, policy_drift, move_plan, move_log, undo_plan, undo_counts, stream_classify, stream_reconcile,
     stream_progress, stream_worker_stats,
 )}
