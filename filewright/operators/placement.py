@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filewright import constants as C
@@ -10,6 +10,7 @@ from filewright.config import RetentionPolicy
 from filewright.functions import paths
 from filewright.operators.naming import unique_names
 from filewright.operators.policy import with_disposition
+from filewright.session import cut_lineage
 
 EXPORTED, SKIPPED = "exported", "skipped_never_export"
 RESTORED, MISSING = "restored", "missing"
@@ -56,29 +57,65 @@ def export_plan(
     return out.drop("name", "dest_name", "disposition", "never_export", "exportable")
 
 
+def _steps(entries: DataFrame, listing: DataFrame) -> DataFrame:
+    """Entries with ``_found``, whether a file is at their new place when their turn comes, ``_free``, whether
+    nothing is at the original place then, and ``_passing``, whether a later turn takes the file on from there.
+
+    Taking a file empties a place; putting one back fills it. Which moves are found depends on earlier turns alone, so
+    rounds over all entries at once settle at least one more link of every chain of moves, and stop when none changes.
+    """
+    present = listing.select(F.col("path").alias("_place")).distinct().withColumn("_listed", F.lit(1))
+    state = cut_lineage(entries.withColumns({"_turn": -F.col("seq"), "_found": F.lit(True)}))
+    while True:
+        takes = state.select("_turn", F.col("new").alias("_place"), F.lit(0).alias("_put"), F.lit(0).alias("_leaves"))
+        puts = state.select(
+            "_turn", F.col("original").alias("_place"), F.lit(1).alias("_put"), F.when(F.col("_found"), 1).alias("_leaves"))
+        by_place = Window.partitionBy("_place").orderBy("_turn", "_put")
+        before = by_place.rowsBetween(Window.unboundedPreceding, -1)
+        # The next file to leave, if none is put there in between.
+        after = F.first(F.when(F.col("_leaves").isNotNull(), 1 - F.col("_put")), ignorenulls=True).over(
+            by_place.rowsBetween(1, Window.unboundedFollowing))
+        there = F.coalesce(F.last("_leaves", ignorenulls=True).over(before), F.col("_listed"), F.lit(0))
+        seen = takes.unionByName(puts).join(present, "_place", "left").select(
+            "_turn", "_put", there.alias("_there"), F.coalesce(after, F.lit(0)).alias("_onward"))
+        told = seen.groupBy("_turn").agg(
+            F.max(F.when(F.col("_put") == 0, F.col("_there"))).alias("_at_new"),
+            F.max(F.when(F.col("_put") == 1, F.col("_there"))).alias("_at_original"),
+            F.max(F.when(F.col("_put") == 1, F.col("_onward"))).alias("_onward"))
+        now = cut_lineage(state.withColumnRenamed("_found", "_before").drop("_free", "_passing").join(told, "_turn").withColumns({
+            "_found": F.col("_at_new") == 1, "_free": F.col("_at_original") == 0,
+            "_passing": (F.col("_at_original") == 0) & (F.col("_onward") == 1)}).drop("_at_new", "_at_original", "_onward"))
+        state = now.drop("_before")
+        if now.where(F.col("_found") != F.col("_before")).isEmpty():
+            return state
+
+
 def undo_plan(log: DataFrame, listing: DataFrame) -> DataFrame:
     """Where each logged move goes back to, latest move first.
 
-    A file no longer at its new place is missing. One whose original place is
-    taken, by a file or by a move undone before it, gets a numbered name.
+    Moves are undone one after the other: a file taken back leaves its place free, one put back can be taken on by
+    an earlier move. A file that is not at its new place by then is missing. One whose original place is taken, by a
+    file or by a move undone before it, gets a numbered name; a place that becomes free between two moves that want
+    it counts as taken for both.
     """
-    entries = log.where(
-        F.coalesce(F.col("new") != "", F.lit(False)) & F.coalesce(F.col("original") != "", F.lit(False)))
-    present = listing.select(F.col("path").alias("new")).distinct().withColumn("_here", F.lit(True))
-    found = entries.join(present, "new", "left")
-    gone = found.where(F.col("_here").isNull()).withColumns(
+    steps = _steps(log.where(
+        F.coalesce(F.col("new") != "", F.lit(False)) & F.coalesce(F.col("original") != "", F.lit(False))), listing)
+    gone = steps.where(~F.col("_found")).withColumns(
         {"restored_to": F.lit(None).cast("string"), "status": F.lit(MISSING)})
-    back = found.where(F.col("_here").isNotNull()).withColumns({
-        "_dir": paths.dirname(F.col("original")), "_name": paths.basename(F.col("original")),
-        "_turn": -F.col("seq")})
-    taken = listing.select(paths.dirname(F.col("path")).alias("_dir"), paths.basename(F.col("path")).alias("_name"))
+    passing = steps.where("_found AND _passing").withColumns({"restored_to": F.col("original"), "status": F.lit(RESTORED)})
+    back = steps.where("_found AND NOT _passing").withColumns({
+        "_dir": paths.dirname(F.col("original")), "_name": paths.basename(F.col("original"))})
+    # Of the places that hold a file now, those are free that the first to come back finds free.
+    first = back.groupBy(F.col("original").alias("path")).agg(F.min_by("_free", "_turn").alias("_free")).where("_free")
+    held = listing.select("path").distinct().join(first, "path", "left_anti")
+    taken = held.select(paths.dirname(F.col("path")).alias("_dir"), paths.basename(F.col("path")).alias("_name"))
     named = unique_names(back, taken, "_dir", "_name", "_turn", "_restored_", "_to")
     at_root = F.col("_dir") == ""
     to = F.when(at_root & ~F.startswith("original", F.lit("/")), F.col("_to")).otherwise(
         F.concat_ws("/", "_dir", "_to"))
     restored = named.withColumns({"restored_to": to, "status": F.lit(RESTORED)})
     columns = [*log.columns, "restored_to", "status"]
-    return restored.select(*columns).unionByName(gone.select(*columns))
+    return restored.select(*columns).unionByName(gone.select(*columns)).unionByName(passing.select(*columns))
 
 
 def undo_counts(undone: DataFrame) -> DataFrame:

@@ -140,3 +140,35 @@ def test_offboard_writes_only_when_applied(spark, tmp_path):
     assert spark.read.option("header", True).csv(dest + "/manifest").count() == 3
     with pytest.raises(InconsistentPolicy):
         jobs.offboard(src, "/r", TAXONOMY, RetentionPolicy.of({"keep": []}), dest)
+
+
+def one_by_one(log, present):
+    """Undo as a person would: latest move first, looking at what is there each time."""
+    there, out = set(present), {}
+    for seq, original, new in sorted(log, reverse=True):
+        if new not in there:
+            out[seq] = (None, "missing")
+            continue
+        there.discard(new)
+        stem, dot, ext = original.rpartition(".")
+        place = next(p for k in range(99) if (p := f"{stem}_restored_{k}{dot}{ext}" if k else original) not in there)
+        there.add(place)
+        out[seq] = (place, "restored")
+    return out
+
+
+def undone(spark, log, present):
+    df = spark.createDataFrame([("r", i, o, n, "c") for i, o, n in log], "run_id string, seq long, original string, new string, category string")
+    return {r.seq: (r.restored_to, r.status) for r in placement.undo_plan(df, listing(spark, present)).collect()}
+
+
+@pytest.mark.parametrize("log, present", [
+    ([(1, "/a.x", "/C/a.x"), (2, "/b.x", "/C/a.x")], ["/C/a.x"]),  # a place used twice
+    ([(1, "/a.x", "/C/a.x"), (2, "/C/a.x", "/D/a.x"), (3, "/D/a.x", "/E/a.x")], ["/E/a.x"]),  # a chain
+    ([(1, "/a.x", "/C/a.x"), (2, "/b.x", "/a.x")], ["/C/a.x", "/a.x"]),  # a place that is freed first
+    ([(1, "/A.x", "/Z.x"), (2, "/q.x", "/A.x"), (3, "/A.x", "/B.x")], ["/B.x", "/Z.x"]),  # passed through, then wanted
+    ([(1, "/a.x", "/C/a.x"), (2, "/a.x", "/C/b.x")], ["/C/a.x", "/C/b.x", "/a.x"]),  # taken, for two
+    ([(1, "/a.x", "/C/a.x"), (2, "/C/a.x", "/D/a.x")], ["/D/a.x", "/C/a.x"]),  # a chain whose middle is taken
+])
+def test_undo_equals_one_by_one(spark, log, present):
+    assert undone(spark, log, present) == one_by_one(log, present)
