@@ -3,6 +3,7 @@
 A page is read once into flat blocks: the text between block-level tags. Each block is described by its words and the
 share of them in links, the same of the block before and after it, whether its element is one for running text or a heading,
 and the innermost container that says what it is for (an article, or a menu, advert, form and so on by element, role, class or id).
+Where a page marks its main text, what lies outside counts as set apart.
 A decision tree decides which blocks are content. It is grown from ``LABELLED``, a small table of such descriptions.
 
 NULL or empty pages give an empty text; unclosed and stray tags are tolerated; scripts, styles and comments that never
@@ -47,6 +48,7 @@ APART_WORDS = frozenset(
     "reply replies respond related recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager widget login search "
     "masthead toolbar copyright disclaimer alert toast skip teaser tags byline".split())
 HEADER_WORDS = frozenset("header head topbar top".split())
+BESIDES = frozenset("has with no without is".split())  # what is named after these is not the element itself
 OWN_WORDS = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related teaser".split())
 
 FEATURES = ("main", "apart", "running", "heading", "words", "density", "words_before", "density_before", "words_after", "density_after")
@@ -88,6 +90,7 @@ class Block:
     apart: int
     running: int
     heading: int
+    element: int = 0  # 1 inside an element, not just a class, for the main text
 
 
 def grow(rows: np.ndarray, labels: np.ndarray, least: int = 1):
@@ -123,7 +126,7 @@ def decide(tree, row) -> int:
 
 
 def purpose(tag: str, attributes: str, inside_main: bool) -> str:
-    """What an element says its content is: ``main``, ``apart``, or nothing."""
+    """What an element says its content is: ``article``, ``main`` (by its class), ``apart``, or nothing."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
     role = found.get("role", "").lower()
     style = found.get("style", "").replace(" ", "").lower()
@@ -133,7 +136,9 @@ def purpose(tag: str, attributes: str, inside_main: bool) -> str:
         return ""
     named = {t.lower() for t in TOKENS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
     if tag in MAIN or role in MAIN_ROLES:
-        return "apart" if named & OWN_WORDS else "main"
+        return "apart" if named & OWN_WORDS else "article"
+    if named & BESIDES:
+        named = set()
     if tag in APART or role in APART_ROLES or named & APART_WORDS:
         return "apart"
     if (tag == "header" or named & HEADER_WORDS) and not inside_main:
@@ -158,8 +163,8 @@ def blocks(page: str) -> list[Block]:
             tag, why = stack[-1] if stack else ("", "")
             inner = next((t for t, _ in reversed(stack) if t in RUNNING), "")
             out.append(Block(
-                " ".join(words), len(words), min(1.0, len("".join(linked).split()) / len(words)), int(why == "main"), int(why == "apart"),
-                int(bool(inner)), int(inner in HEADINGS)))
+                " ".join(words), len(words), min(1.0, len("".join(linked).split()) / len(words)), int(why in ("main", "article")), int(why == "apart"),
+                int(bool(inner)), int(inner in HEADINGS), int(why == "article")))
         parts, linked = [], []
 
     def say(text: str) -> None:
@@ -207,9 +212,9 @@ def blocks(page: str) -> list[Block]:
             while stack and stack[-1][0] in (RUNNING - {"blockquote", "dd", "figcaption"} | INLINE):
                 stack.pop()
         outer = stack[-1][1] if stack else ""
-        own = purpose(tag, m[4] or m[7] or "", outer == "main")
+        own = purpose(tag, m[4] or m[7] or "", outer in ("main", "article"))
         # A part set apart stays so, but an article in it counts: its container may never have been closed.
-        why = own if own == "apart" or own == "main" and (outer != "apart" or tag in MAIN) else outer
+        why = own if own in ("apart", "article") or own == "main" and not outer else outer
         stack.append((tag, why))
     if at < len(page):
         say(page[at:])
@@ -219,6 +224,11 @@ def blocks(page: str) -> list[Block]:
 
 def main_text(page: str | None, tree) -> str:
     found = blocks(page or "")
+    # Where a page says what its main text is, by an element or for most of its words, the rest stands apart.
+    inside, outside = (sum(b.words for b in found if not b.apart and b.main == k) for k in (1, 0))
+    if any(b.element for b in found) or inside > outside:
+        for b in found:
+            b.apart = b.apart or 1 - b.main
     edge = Block("", 0, 0.0, 0, 0, 0, 0)
     kept = []
     for before, b, after in zip([edge, *found], found, [*found[1:], edge]):
