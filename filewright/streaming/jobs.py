@@ -26,26 +26,30 @@ def reconcile_stream(
     jobs: DataFrame, results: DataFrame, timeout_seconds: int = C.RUN_TIMEOUT_SECONDS,
     jobs_late: str = "1 minute", results_late: str = "1 minute",
 ) -> DataFrame:
-    """One verdict per job, filled in when its own timeout has passed.
+    """One verdict per job, once its own timeout has passed.
 
-    Time is that of the events. The first result to arrive counts; repeats, and
-    results of unknown jobs, drop out. A job without result is reported once the
-    watermark has passed its deadline, so a silent stream holds it back.
+    Time is that of the events. The first result by ``done_at`` (then by its own
+    number where it has one) counts, in whatever order they arrive; repeats, and
+    results of unknown jobs, drop out. A job is reported once the watermark has
+    passed its deadline, so a silent stream holds it back.
     """
-    first = (
-        results.withWatermark("done_at", results_late).dropDuplicatesWithinWatermark(["job_id"])
-        .select(F.col("job_id").alias("_job"), F.col("done_at").alias("_done"), F.col("error").alias("_error"),
-                F.col("classification").alias("_class"), F.col("route").alias("_route"))
-    )
+    tie = "result_seq" if "result_seq" in results.columns else "worker_id"
+    answers = results.withWatermark("done_at", results_late).select(
+        F.col("job_id").alias("_job"), F.col("done_at").alias("_done"), F.col(tie).alias("_tie"),
+        F.struct("error", "classification", "route").alias("_answer"))
     in_time = (F.col("_done") >= F.col("enqueued_at")) & (
         F.col("_done") < F.col("enqueued_at") + F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS"))
     joined = jobs.withWatermark("enqueued_at", jobs_late).join(
-        first, (F.col("job_id") == F.col("_job")) & in_time, "leftOuter")
-    here = F.col("_job").isNotNull()
+        answers, (F.col("job_id") == F.col("_job")) & in_time, "leftOuter")
+    # A job's results meet in keyed state, which gives out the first when no other can come.
+    order = F.when(F.col("_job").isNotNull(), F.struct("_done", "_tie"))
+    first = joined.select("job_id", "file_path", "route", "enqueued_at", "_answer", order.alias("_order")).groupBy(
+        "job_id", "file_path", "route", "enqueued_at").agg(F.min_by("_answer", "_order").alias("_first"))
+    here, error, classified = F.col("_first").isNotNull(), F.col("_first.error"), F.col("_first.classification")
     timed_out = unknown(C.REASON_TIMEOUT, F.concat(F.lit(C.METHOD_QUEUE_PREFIX), F.col("route")))
-    verdict = F.when(here, result_verdict(F.col("_error"), F.col("_class"), F.col("_route"))).otherwise(timed_out)
-    outcome = F.when(~here, "timeout").when(is_ok(F.col("_error"), F.col("_class")), "completed").otherwise("failed")
-    return joined.select("job_id", "file_path", "route", verdict.alias("_v"), outcome.alias("outcome")).select(
+    verdict = F.when(here, result_verdict(error, classified, F.col("_first.route"))).otherwise(timed_out)
+    outcome = F.when(~here, "timeout").when(is_ok(error, classified), "completed").otherwise("failed")
+    return first.select("job_id", "file_path", "route", verdict.alias("_v"), outcome.alias("outcome")).select(
         "job_id", "file_path", "route", "_v.*", "outcome")
 
 

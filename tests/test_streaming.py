@@ -1,8 +1,11 @@
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks import fixtures as X
+from checks import queries
+from filewright import constants as C
 from filewright import schemas as S
 from filewright.config import Taxonomy
 from filewright.operators import reconcile
@@ -54,6 +57,41 @@ def test_reconcile_fills_timeouts_and_drops_repeats(spark, tmp_path):
     assert rows(got.join(single, "job_id", "left_anti")) == rows(want.join(single, "job_id", "left_anti"))
 
 
+def test_reconcile_takes_the_first_of_repeats_in_any_order(spark, tmp_path):
+    at = lambda second: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=second)
+    end = dt.datetime(2100, 1, 1)
+    job = lambda name, time: (name, f"/{name}", "r", {}, 0, 3, time)
+    result = lambda name, reason, time, seq: (name, f"/{name}", "r", "w", 1.0, ("Medical_Health", 90, "m", reason), None, time, seq)
+    numbered = T.StructType([*S.RESULTS.fields, T.StructField("result_seq", T.LongType())])
+    # The later result arrives first in the same batch (a, c by number) or a batch earlier (b); d is too late, e has none.
+    batches = [
+        [result("a", "second", at(20), 1), result("a", "first", at(10), 2), result("b", "second", at(20), 1), result("stray", "x", at(5), 9)],
+        [result("b", "first", at(10), 2), result("c", "second", at(10), 8), result("c", "first", at(10), 7), result("d", "late", at(950), 1)],
+        [result("a", "third", at(30), 3), result("end", "x", end, 1)]]
+    jobs = [[job(name, at(0)) for name in "abcde"], [job("end", end)]]
+    for rows_, schema, folder in ((batches, numbered, "results"), (jobs, S.JOBS, "jobs")):
+        for batch in rows_:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / folder))
+    stream = lambda folder, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / folder))
+    found = reconcile_stream(stream("jobs", S.JOBS), stream("results", numbered), 900, "3650 days", "3650 days")
+    got = run(found, tmp_path).where("job_id <> 'end'").select("job_id", "reason", "outcome")
+    timeout = lambda name: (name, C.REASON_TIMEOUT, "timeout")
+    assert rows(got) == [("a", "first", "completed"), ("b", "first", "completed"), ("c", "first", "completed"), timeout("d"), timeout("e")]
+
+
+def test_reconcile_query_streams_repeats_and_strays(spark, monkeypatch):
+    fed = {}
+    whole = queries._in_batches
+
+    def watch(df, *args, **kwargs):
+        fed["result_seq" if "result_seq" in df.columns else "job"] = df.count()
+        return whole(df, *args, **kwargs)
+
+    monkeypatch.setattr(queries, "_in_batches", watch)
+    queries.stream_reconcile(spark, DATA)
+    assert fed == {"result_seq": X.results(spark, DATA).count(), "job": X.jobs(spark, DATA).count()}
+
+
 def test_progress_and_worker_stats_equal_batch(spark, tmp_path):
     results = X.results(spark, DATA)
     stream = as_stream(spark, results, str(tmp_path / "in"))
