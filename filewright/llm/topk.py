@@ -9,7 +9,8 @@ a shard are matrix products over components clipped at the depth read.
 
 Components are x -> floor(64 x); scores are integers and ties go to the smaller id. Vectors that are NULL, hold NULL or
 non-finite components, or differ in length from the queries take no part, nor do rows with a NULL id. Rows that repeat an
-id are rows of their own, and none of them is a candidate of its id's queries.
+id are rows of their own, and none of them is a candidate of its id's queries. Finite components of any size take part; one
+of which floor(64 x) does not fit a long is an error, and so is a score among the best of a shard that does not fit one.
 """
 
 from __future__ import annotations
@@ -28,17 +29,26 @@ BLOCK = 512
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, x): whole-number components of the vectors that take part."""
-    x = F.transform("embedding", lambda v: F.floor(F.lit(float(SCALE)) * v.cast("double")).cast("int"))
-    sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(2.0 ** 24)))
+    def whole(v: Column) -> Column:
+        scaled = F.lit(float(SCALE)) * v.cast("double")
+        fits = (scaled >= F.lit(-2.0 ** 63)) & (scaled < F.lit(2.0 ** 63))
+        return F.when(fits, F.floor(scaled).cast("long")).otherwise(F.raise_error(F.lit("a component times 64 does not fit a long")))
+
+    x = F.transform("embedding", whole)
+    sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound & (F.size("embedding") > 0)).select(
         F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
 
 
+def largest_size(x: np.ndarray) -> float:
+    return max(-float(x.min()), float(x.max())) if x.size else 0.0
+
+
 def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate row, score) of the k best candidates of each query in a shard, and all that tie with the last."""
-    exact = np.float32 if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1] < 2 ** 24 else np.float64
-    # Above this even doubles would round; whole numbers then do all the work.
-    kind = exact if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1] < 2 ** 52 else np.int64
+    largest = largest_size(x) * largest_size(q) * x.shape[1]
+    # Above 2 ** 52 even doubles would round, and above 2 ** 62 longs might wrap; integers of any size then do all the work.
+    kind = next((k for k, bits in ((np.float32, 24), (np.float64, 52), (np.int64, 62)) if largest < 2 ** bits), object)
     x, q = x.astype(kind), q.astype(kind)
     n = len(x)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
@@ -115,6 +125,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
                 continue
             r, c, s = search_shard(ids[mine], take(mine), ids[theirs], take(theirs), k)
             for held, found in zip(out, (ids[theirs][r], ids[mine][c], s)):
+                if found.dtype == object and any(not -2 ** 63 <= f < 2 ** 63 for f in found):
+                    raise OverflowError("a score does not fit a long")
                 held.append(found.astype(np.int64))
         columns = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))

@@ -38,6 +38,34 @@ def test_search_with_ties_and_unusable_vectors(spark, monkeypatch):
     assert topk.top_k(df.limit(0), df.vec_id % 20 == 0, 7).collect() == []
 
 
+@pytest.mark.parametrize("largest", [2.0 ** 24, 2.0 ** 26, 2.0 ** 50])
+def test_search_with_large_components(spark, largest):
+    rng = np.random.default_rng(2)
+    vectors = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 16]) for i in range(1, 200)]
+    # The two large ones meet in a score only where it fits.
+    vectors += [(0, [largest, 0.5, -0.25, 0.0]), (500, [0.0, largest, 0.25, 0.5] if abs(largest) < 2.0 ** 50 else [0.0, 0.25, 0.5, 0.25])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk.top_k(df, df.vec_id % 20 == 0, 7).collect()))
+    used = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors]
+    want = []
+    for q, x in used:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in used if i != q)[:7]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+def test_search_says_what_does_not_fit(spark):
+    def found(*large):
+        df = spark.createDataFrame([(i, [x, 0.5]) for i, x in enumerate(large)], "vec_id long, embedding array<float>")
+        return topk.top_k(df, df.vec_id % 20 == 0, 7).collect()
+
+    with pytest.raises(Exception, match="a component times 64 does not fit a long"):
+        found(2.0 ** 57, 0.25)
+    with pytest.raises(Exception, match="a score does not fit a long"):
+        found(2.0 ** 40, 2.0 ** 40)
+
+
 def test_perspectives(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "é😀"), (2, 0, None, "x"), (None, 0, "ann", "x"), (3, None, "ann", "x"),
              (4, 0, "system", "alone"), (5, 0, "ann", "same"), (5, 0, "ann", "same")]
