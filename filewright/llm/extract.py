@@ -3,7 +3,8 @@
 A page is read once into flat blocks: the text between block-level tags. Each block is described by its words and the
 share of them in links, the same of the block before and after it, whether its element is one for running text or a heading,
 and the innermost container that says what it is for (an article, or a menu, advert, form and so on by element, role, class or id).
-Where a page marks its main text, what lies outside counts as set apart.
+Where a page marks its main text, what lies outside counts as set apart. A name that only holds such a word (``side-by-side``)
+decides nothing: it is one more feature, weighed with words and density.
 A decision tree decides which blocks are content. It is grown from ``LABELLED``, a small table of such descriptions.
 
 NULL or empty pages give an empty text; unclosed and stray tags are tolerated; scripts, styles and comments that never
@@ -52,6 +53,32 @@ BESIDES = frozenset("has with no without is".split())  # what is named after the
 OWN_WORDS = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related teaser".split())
 
 FEATURES = ("main", "apart", "running", "heading", "words", "density", "words_before", "density_before", "words_after", "density_after")
+# The same for blocks inside an element with a word for a part set apart somewhere in its names, unless something sets them apart.
+NAMED = [
+    # inside an article: its text, and lists of links with what heads them
+    (1, 0, 1, 0, 45, 0.0, 6, 0.0, 60, 0.1, 1), (1, 0, 1, 1, 2, 0.0, 60, 0.0, 30, 0.0, 1), (1, 0, 1, 0, 3, 0.0, 20, 0.0, 0, 0.0, 1),
+    (1, 0, 0, 0, 40, 0.05, 5, 0.0, 70, 0.0, 1), (1, 0, 0, 0, 3, 0.0, 4, 0.0, 5, 0.0, 1), (1, 0, 1, 0, 50, 0.2, 30, 0.0, 40, 0.0, 1),
+    (1, 0, 1, 0, 40, 0.0, 30, 0.0, 5, 1.0, 1), (1, 0, 0, 0, 25, 0.1, 30, 0.2, 6, 1.0, 1), (1, 0, 1, 1, 4, 0.0, 40, 0.0, 45, 0.0, 1),
+    (1, 0, 1, 0, 10, 0.5, 30, 0.0, 12, 0.5, 0), (1, 0, 0, 0, 4, 1.0, 40, 0.0, 5, 1.0, 0), (1, 0, 0, 0, 30, 0.5, 3, 0.0, 20, 0.6, 0),
+    (1, 0, 1, 1, 2, 0.0, 40, 0.0, 8, 1.0, 0), (1, 0, 1, 0, 3, 0.0, 60, 0.0, 6, 1.0, 0), (1, 0, 0, 0, 2, 0.0, 50, 0.0, 4, 1.0, 0),
+    (1, 0, 1, 0, 60, 0.9, 30, 0.0, 30, 0.0, 0), (1, 0, 0, 0, 8, 1.0, 8, 1.0, 40, 0.0, 0),
+    (1, 0, 1, 1, 1, 0.0, 18, 0.0, 4, 1.0, 0), (1, 0, 0, 0, 3, 0.0, 12, 0.0, 3, 1.0, 0), (1, 0, 1, 1, 4, 0.0, 6, 0.5, 5, 1.0, 0),
+    (1, 0, 1, 0, 8, 0.0, 12, 0.0, 30, 0.0, 1), (1, 0, 0, 0, 1, 0.0, 18, 0.0, 18, 0.0, 1), (1, 0, 1, 0, 18, 0.0, 1, 0.0, 18, 0.0, 1),
+    (1, 0, 0, 0, 3, 0.0, 3, 0.0, 3, 0.0, 1), (1, 0, 0, 0, 2, 0.0, 40, 0.0, 2, 0.0, 1), (1, 0, 1, 0, 6, 0.0, 50, 0.0, 0, 0.0, 1),
+    (1, 0, 1, 1, 3, 0.0, 30, 0.0, 6, 0.0, 1), (1, 0, 0, 0, 12, 0.1, 20, 0.0, 10, 0.1, 1), (1, 0, 1, 0, 14, 0.0, 60, 0.0, 4, 0.2, 1),
+    (1, 0, 1, 0, 5, 0.2, 8, 0.0, 1, 0.0, 1), (1, 0, 0, 0, 1, 0.0, 6, 1.0, 12, 0.0, 1),
+    # no container says: long text with few links and what heads it; short notices are not content
+    (0, 0, 1, 0, 60, 0.0, 35, 0.0, 50, 0.0, 1), (0, 0, 1, 0, 45, 0.1, 3, 0.0, 40, 0.0, 1), (0, 0, 0, 0, 60, 0.05, 4, 1.0, 45, 0.0, 1),
+    (0, 0, 1, 0, 50, 0.2, 40, 0.0, 3, 1.0, 1), (0, 0, 1, 1, 4, 0.0, 3, 1.0, 60, 0.0, 1), (0, 0, 1, 1, 5, 0.0, 45, 0.0, 50, 0.0, 1),
+    (0, 0, 1, 0, 20, 0.0, 5, 1.0, 3, 1.0, 0), (0, 0, 1, 0, 12, 0.0, 40, 0.0, 10, 0.0, 0), (0, 0, 0, 0, 20, 0.0, 40, 0.0, 0, 0.0, 0),
+    (0, 0, 0, 0, 4, 1.0, 3, 1.0, 5, 1.0, 0), (0, 0, 1, 0, 40, 0.6, 30, 0.0, 20, 0.5, 0), (0, 0, 1, 1, 2, 0.0, 40, 0.0, 6, 1.0, 0),
+    (0, 0, 1, 1, 3, 0.0, 50, 0.0, 12, 0.0, 0), (0, 0, 0, 0, 60, 0.8, 30, 0.0, 30, 0.0, 0), (0, 0, 1, 0, 3, 0.0, 60, 0.0, 60, 0.0, 0),
+    (0, 0, 1, 0, 15, 0.0, 10, 0.0, 8, 0.0, 0), (0, 0, 0, 0, 6, 0.0, 4, 0.0, 0, 0.0, 0), (0, 0, 0, 0, 12, 0.0, 20, 0.0, 5, 0.0, 0),
+    (0, 0, 1, 0, 9, 0.0, 0, 0.0, 0, 0.0, 0), (0, 0, 1, 0, 22, 0.0, 30, 0.0, 20, 0.0, 0), (0, 0, 1, 1, 3, 0.0, 4, 0.0, 2, 0.0, 0),
+    (0, 0, 0, 0, 5, 0.0, 0, 0.0, 40, 0.0, 0), (0, 0, 0, 0, 8, 0.0, 3, 1.0, 60, 0.0, 0), (0, 0, 1, 0, 8, 0.0, 12, 0.0, 50, 0.0, 0),
+    (0, 0, 0, 0, 15, 0.0, 20, 0.0, 55, 0.0, 0), (0, 0, 1, 0, 50, 0.0, 12, 0.0, 55, 0.0, 1),
+    (0, 0, 1, 0, 55, 0.0, 60, 0.0, 8, 0.0, 1), (0, 0, 0, 0, 70, 0.0, 50, 0.0, 0, 0.0, 1), (0, 0, 1, 1, 4, 0.0, 12, 0.0, 60, 0.0, 1),
+]
 # Descriptions of blocks in the order of FEATURES, and whether the block is content.
 LABELLED = [
     # inside an article: running text of any length, lists and tables; rows of links are not content
@@ -91,6 +118,7 @@ class Block:
     running: int
     heading: int
     element: int = 0  # 1 inside an element, not just a class, for the main text
+    named: int = 0  # 1 inside an element whose names hold a word for a part set apart
 
 
 def grow(rows: np.ndarray, labels: np.ndarray, least: int = 1):
@@ -113,9 +141,9 @@ def grow(rows: np.ndarray, labels: np.ndarray, least: int = 1):
     return best[1], best[2], grow(rows[low], labels[low], least), grow(rows[~low], labels[~low], least)
 
 
-def train(table=LABELLED):
-    data = np.array(table, float)
-    return grow(data[:, :-1], data[:, -1])
+def train(table=LABELLED, named=NAMED):
+    """The trees of blocks outside and inside elements with such names."""
+    return tuple(grow(data[:, :-1], data[:, -1]) for data in (np.array(table, float), np.array(named, float)))
 
 
 def decide(tree, row) -> int:
@@ -125,33 +153,44 @@ def decide(tree, row) -> int:
     return tree
 
 
-def purpose(tag: str, attributes: str, inside_main: bool) -> str:
-    """What an element says its content is: ``article``, ``main`` (by its class), ``apart``, or nothing."""
+def purpose(tag: str, attributes: str, inside_main: bool) -> tuple[str, int]:
+    """What an element says its content is: ``article``, ``main`` (by its class), ``apart``, or nothing; and whether
+    a word for a part set apart is just in a name of it."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
     role = found.get("role", "").lower()
     style = found.get("style", "").replace(" ", "").lower()
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
-        return "apart"
+        return "apart", 0
     if tag in ("html", "body"):
-        return ""
-    named = {t.lower() for t in TOKENS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+        return "", 0
+    # Ids of headings and running text name a place in it. Inside the main text, so may those of sections.
+    ids = [] if tag in RUNNING else found.get("id", "").split()
+    whole, words = set(), []
+    for k, name in enumerate([*found.get("class", "").split(), *ids]):
+        parts = {t.lower() for t in TOKENS.findall(name)}
+        if not parts & BESIDES:
+            words.append(parts)
+            if not inside_main or k < len(found.get("class", "").split()):
+                whole.add(name.lower())
     if tag in MAIN or role in MAIN_ROLES:
-        return "apart" if named & OWN_WORDS else "article"
-    if named & BESIDES:
-        named = set()
-    if tag in APART or role in APART_ROLES or named & APART_WORDS:
-        return "apart"
-    if (tag == "header" or named & HEADER_WORDS) and not inside_main:
-        return "apart"
-    if tag in ("div", "section", "td") and named & MAIN_WORDS:
-        return "main"
-    return ""
+        if whole & OWN_WORDS:
+            return "apart", 0
+        return ("main", 1) if any(w & OWN_WORDS for w in words) else ("article", 0)
+    if tag in APART or role in APART_ROLES or whole & APART_WORDS:
+        return "apart", 0
+    if (tag == "header" or whole & HEADER_WORDS) and not inside_main:
+        return "apart", 0
+    doubtful = APART_WORDS if inside_main else APART_WORDS | HEADER_WORDS
+    named = int(any(w & doubtful for w in words))
+    if tag in ("div", "section", "td") and any(w & MAIN_WORDS and not w & doubtful for w in words):
+        return "main", named
+    return "", named
 
 
 def blocks(page: str) -> list[Block]:
     """Flat text blocks of a page in their order."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # open block-level elements with the purpose that holds inside
+    stack: list[tuple[str, str, int]] = []  # open block-level elements with the purpose that holds inside
     parts: list[str] = []
     linked: list[str] = []
     links = 0
@@ -160,11 +199,11 @@ def blocks(page: str) -> list[Block]:
         nonlocal parts, linked
         words = "".join(parts).split()
         if words:
-            tag, why = stack[-1] if stack else ("", "")
-            inner = next((t for t, _ in reversed(stack) if t in RUNNING), "")
+            _, why, named = stack[-1] if stack else ("", "", 0)
+            inner = next((t for t, *_ in reversed(stack) if t in RUNNING), "")
             out.append(Block(
                 " ".join(words), len(words), min(1.0, len("".join(linked).split()) / len(words)), int(why in ("main", "article")), int(why == "apart"),
-                int(bool(inner)), int(inner in HEADINGS), int(why == "article")))
+                int(bool(inner)), int(inner in HEADINGS), int(why == "article"), named))
         parts, linked = [], []
 
     def say(text: str) -> None:
@@ -191,10 +230,10 @@ def blocks(page: str) -> list[Block]:
         if tag in INLINE:
             if tag == "br":
                 say(" ")
-            elif not closing and purpose(tag, m[4] or m[7] or "", True) == "apart":
+            elif not closing and purpose(tag, m[4] or m[7] or "", True)[0] == "apart":
                 close()
-                stack.append((tag, "apart"))
-            elif closing and any(t == tag for t, _ in stack):
+                stack.append((tag, "apart", 0))
+            elif closing and any(t == tag for t, *_ in stack):
                 close()
                 while stack.pop()[0] != tag:
                     pass
@@ -203,7 +242,7 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if closing:
-            if any(t == tag for t, _ in stack):
+            if any(t == tag for t, *_ in stack):
                 while stack.pop()[0] != tag:
                     pass
             continue
@@ -211,11 +250,11 @@ def blocks(page: str) -> list[Block]:
             # These end an open paragraph or heading.
             while stack and stack[-1][0] in (RUNNING - {"blockquote", "dd", "figcaption"} | INLINE):
                 stack.pop()
-        outer = stack[-1][1] if stack else ""
-        own = purpose(tag, m[4] or m[7] or "", outer in ("main", "article"))
+        _, outer, outer_named = stack[-1] if stack else ("", "", 0)
+        own, named = purpose(tag, m[4] or m[7] or "", outer in ("main", "article"))
         # A part set apart stays so, but an article in it counts: its container may never have been closed.
         why = own if own in ("apart", "article") or own == "main" and not outer else outer
-        stack.append((tag, why))
+        stack.append((tag, why, 0 if own == "article" else named or outer_named))
     if at < len(page):
         say(page[at:])
     close()
@@ -233,7 +272,7 @@ def main_text(page: str | None, tree) -> str:
     kept = []
     for before, b, after in zip([edge, *found], found, [*found[1:], edge]):
         row = (b.main, b.apart, b.running, b.heading, b.words, b.density, before.words, before.density, after.words, after.density)
-        if decide(tree, row):
+        if decide(tree[b.named and not b.apart], row):
             kept.append(b.text)
     return "\n".join(kept)
 

@@ -140,3 +140,21 @@ def test_menus_without_tags_that_say_so():
     run = "plain running text of a page without any article element around it, " * 4
     page = f"<div><a>One</a> <a>Two</a></div><div><a>Three</a></div><h2>Title</h2><p>{run}</p><p>short one</p><p>{run}</p><div><a>Next</a> <a>More</a></div>"
     assert extract.main_text(page, extract.train()).split("\n") == ["Title", run.strip(), "short one", run.strip()]
+
+
+def test_names_that_only_hold_a_word_are_weighed():
+    run = "words of running text that go on and on until the block is long enough to count as such"
+    inside = lambda part: extract.main_text(f"<article><h1>Head</h1><p>{run}</p>{part}<p>{run}</p></article>", extract.train()).split("\n")[2:-1]
+    assert inside(f'<h2 id="related-work">Related work</h2><p id="notice">{run}</p>') == ["Related work", run]
+    assert inside(f'<section id="search-methods"><h2>Search methods</h2><p>{run}</p></section>') == ["Search methods", run]
+    assert inside(f'<section id="search"><h2>Search</h2><p>{run}</p></section>') == ["Search", run]
+    assert inside(f'<div class="side-by-side"><div>left</div><div>{run}</div></div>') == ["left", run]
+    assert inside('<div class="side-notes"><ul><li>first item</li><li>second item</li></ul></div>') == ["first item", "second item"]
+    assert inside(f'<div class="ad is-visible">{run}</div><div class="has-icon comments"><p>{run}</p></div>') == []
+    links = '<li><a href="/a">one more page</a></li>' * 3
+    assert inside(f'<div class="related-posts"><h3>Related</h3><ul>{links}</ul></div>') == []
+    assert inside(f'<aside><div class="side-by-side"><p>{run} {run}</p><p>short</p></div></aside>') == []
+    page = f'<div class="site-footer">Some company, all rights reserved</div><article class="post comments-open"><p>{run}</p></article>'
+    assert extract.main_text(page, extract.train()) == run
+    plain = f'<div class="site-top">Five words of a notice</div><p>{run} {run}</p><div class="main-footer-bar">Some company, all rights reserved</div>'
+    assert extract.main_text(plain, extract.train()) == f"{run} {run}"
