@@ -5,8 +5,8 @@ benchmark words as long as the shortest window can match, so only those are sort
 Every benchmark suffix is then looked for by binary search; the range it finds holds all places where it occurs
 verbatim, and matches that continue are followed to their full length.
 
-The benchmark goes to the tasks in chunks of bounded size, one after the other; what chunks find in a document is
-merged. Words are lower-cased runs of letters and digits and non-ASCII characters. An item of fewer words than a window is
+A benchmark beyond ``CHUNK_WORDS`` goes to the tasks in chunks, one after the other: what a chunk finds is written to the
+shared folder before the one after the next is read, and merged at the end. Words are lower-cased runs of letters and digits and non-ASCII characters. An item of fewer words than a window is
 one window; an item without words is none. NULL texts have no words, NULL item ids count as the empty string, items that
 share an id count once, NULL document ids are kept, and repeated documents give repeated results.
 """
@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filewright.llm.common import map_texts
+from filewright.session import cut_lineage
 
 WINDOW = 13
 CHUNK_WORDS = 1_000_000  # of the benchmark sent to the tasks at once: about 100 MB
@@ -184,60 +185,88 @@ def _found(docs: DataFrame, bench) -> DataFrame:
     return map_texts(docs, "text", f"doc_id {id_type}, text_key string, {FOUND}", make)
 
 
+def _frames(docs: DataFrame, benchmark: DataFrame, window: int, chunk_words: int) -> list[DataFrame]:
+    """What each chunk finds. With several, each is done with, and its broadcast released, before the one after the next is read."""
+    context, parts = docs.sparkSession.sparkContext, chunks(benchmark, window, chunk_words)
+    part, later = next(parts, None) or Benchmark([("", [b""])], window), next(parts, None)
+    part.many = later is not None
+    if not part.many:
+        return [_found(docs, context.broadcast(part))]
+    frames = []
+    while part is not None:
+        part.many = True
+        shared = context.broadcast(part)
+        frames.append(cut_lineage(_found(docs, shared)))
+        shared.destroy()
+        part = later
+        later = next(parts, None)
+    return frames
+
+
+def _merged(frames: list[DataFrame], *keys: str) -> DataFrame:
+    """Frames of several chunks as one: ``rows`` of all frames, ``hits``, ``items`` and ``longest`` per key."""
+    found = frames[0]
+    for frame in frames[1:]:
+        found = found.unionAll(frame)
+    # Equal rows of a repeated document stand once in each frame for each repeat.
+    merged = found.groupBy(*keys, "text_key", "n_words").agg(
+        F.count("*").alias("rows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("runs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
+    joined = F.aggregate(
+        "runs", F.expr("cast(array() as array<struct<first:long,last:long>>)"),
+        lambda done, run: F.when(
+            (F.size(done) > 0) & (run["first"] <= F.element_at(done, -1)["last"]),
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
+                F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], run["last"]).alias("last")))),
+        ).otherwise(F.concat(done, F.array(run))))
+    return merged.withColumn("hits", joined)
+
+
+def _hit_words() -> Column:
+    return F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
+
+
+def _contaminated(n_hit: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= F.col("n_words"))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """One row per document: ``doc_id n_words n_hit n_items items_sha256 contaminated items hits longest``.
 
     ``hits`` are runs of hit words (end exclusive), ``longest`` is the longest verbatim match that begins such a run.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    parts = list(chunks(benchmark, window, chunk_words)) or [Benchmark([("", [b""])], window)]
-    for part in parts:
-        part.many = len(parts) > 1
-    frames = [_found(docs, spark.sparkContext.broadcast(part)) for part in parts]
+    frames = _frames(docs.select("doc_id", "text"), benchmark, window, chunk_words)
     found = frames[0]
     if len(frames) > 1:
-        for frame in frames[1:]:
-            found = found.unionAll(frame)
-        # Equal rows of a repeated document stand once in each frame for each repeat.
-        merged = found.groupBy("doc_id", "text_key", "n_words").agg(
-            F.count("*").alias("rows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("runs"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
-        joined = F.aggregate(
-            "runs", F.expr("cast(array() as array<struct<first:long,last:long>>)"),
-            lambda done, run: F.when(
-                (F.size(done) > 0) & (run["first"] <= F.element_at(done, -1)["last"]),
-                F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
-                    F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], run["last"]).alias("last")))),
-            ).otherwise(F.concat(done, F.array(run))))
-        found = merged.withColumn("hits", joined).withColumn("copy", F.explode(F.sequence(F.lit(1), F.floor(F.col("rows") / len(frames)))))
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
+        found = _merged(frames, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.floor(F.col("rows") / len(frames)))))
+    n_hit = _hit_words()
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "hits", "longest").select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "items", "hits", "longest")
+        _contaminated(F.col("n_hit")).alias("contaminated"), "items", "hits", "longest")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """``docs`` without contaminated documents; the judgement is made beside each row, without a join, where one chunk holds the benchmark."""
-    spark = docs.sparkSession
-    parts = list(chunks(benchmark, window, chunk_words))
-    for part in parts:
-        part.many = False
-    shared = [spark.sparkContext.broadcast(part) for part in parts]
+    parts = chunks(benchmark, window, chunk_words)
+    part = next(parts, None)
+    if part is None:
+        return docs
+    if next(parts, None) is not None:
+        del part, parts
+        # The verdict follows from the text alone.
+        frames = _frames(docs.select("doc_id", "text"), benchmark, window, chunk_words)
+        bad = _merged(frames).where(_contaminated(_hit_words())).select("text_key")
+        return docs.join(bad, F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == bad["text_key"], "left_anti")
+    part.many = False
+    shared = docs.sparkSession.sparkContext.broadcast(part)
     at = docs.columns.index("text")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(at).to_pylist()
-            hits = [set() for _ in texts]
-            counts = [0] * len(texts)
-            for own in shared:
-                for i, (n, runs, _, _) in enumerate(matches(texts, own.value)):
-                    counts[i] = n
-                    for a, b in runs:
-                        hits[i].update(range(a, b))
-            return batch.filter(pa.array([not (h and 20 * len(h) >= n) for h, n in zip(hits, counts)], pa.bool_()))
+            found = [(n, sum(b - a for a, b in runs)) for n, runs, _, _ in matches(texts, shared.value)]
+            return batch.filter(pa.array([not (h and 20 * h >= n) for n, h in found], pa.bool_()))
 
         return work
 

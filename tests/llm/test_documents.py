@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import weakref
 
 import public_tokenizers
 import pytest
@@ -242,3 +243,22 @@ def test_index_finds_what_a_scan_finds():
             want = min(k for other, k in zip(texts, numbers.tolist()) for j in range(len(other) - 4) if (other[j:j + 5] == text[i:i + 5]).all())
             assert n == want
         assert len(found) == max(0, len(text) - 4)
+
+
+def test_benchmark_is_held_two_chunks_at_a_time(spark, monkeypatch):
+    alive, most, whole = weakref.WeakSet(), [], decontaminate.Benchmark.__init__
+
+    def watch(self, *args):
+        whole(self, *args)
+        alive.add(self)
+        most.append(len(alive))
+
+    monkeypatch.setattr(decontaminate.Benchmark, "__init__", watch)
+    bench = spark.createDataFrame([(str(i), " ".join(f"b{i}w{j}" for j in range(20))) for i in range(5)], "item_id string, text string")
+    docs = documents(spark, [(i, " ".join(f"b{i}w{j}" for j in range(20)) if i < 5 else "clean") for i in range(6)])
+    found = decontaminate.find(docs, bench, chunk_words=20)
+    assert len(most) >= 5 and max(most) <= 2
+    assert sorted((r.doc_id, r.contaminated) for r in found.collect()) == [(i, i < 5) for i in range(6)]
+    most.clear()
+    assert [r.doc_id for r in decontaminate.keep_clean(docs, bench, chunk_words=20).collect()] == [5]
+    assert max(most) <= 2
