@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm import bpe, decontaminate, extract, hmm, passages, perspectives, pii, simhash, topk, toxicity
+from filewright.llm import bpe, decontaminate, extract, hmm, passages, perspectives, pii, simhash, topk, toxicity, whitening
 from filewright.llm.common import id_bucket
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -59,7 +59,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (id_bucket("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_extract, op2_simhash, op3_pii, op4_bpe, op5_perspectives, op6_topk, op7_hmm, op8_passages, op9_decontamination, op10_toxicity)}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_extract, op2_simhash, op3_pii, op4_bpe, op5_perspectives, op6_topk, op7_hmm, op8_passages, op9_decontamination, op10_toxicity,
+    op13_whitening)}
 ORACLES = {
     "op5_perspectives": perspectives.ROTATE_SQL,
     "op6_topk": """
