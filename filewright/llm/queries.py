@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm import bpe, decontaminate, extract, hmm, passages, perspectives, pii, prefixes, simhash, topk, toxicity, whitening
+from filewright.llm import bpe, decontaminate, extract, hmm, jaccard, passages, perspectives, pii, prefixes, simhash, topk, toxicity, whitening
 from filewright.llm.common import id_bucket
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -63,16 +63,21 @@ def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_extract, op2_simhash, op3_pii, op4_bpe, op5_perspectives, op6_topk, op7_hmm, op8_passages, op9_decontamination, op10_toxicity,
-    op11_prefixes, op13_whitening)}
+    op11_prefixes, op12_jaccard, op13_whitening)}
 ORACLES = {
     "op5_perspectives": perspectives.ROTATE_SQL,
     "op11_prefixes": prefixes.TRIE_SQL,
+    "op12_jaccard": jaccard.JOIN_SQL,
     "op6_topk": """
 WITH parts AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
