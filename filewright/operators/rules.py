@@ -1,8 +1,8 @@
 """File-name rules: markers, junk, keywords, archive fallback.
 
 Each operator adds one nullable verdict column. Nothing here shuffles: markers
-are literal patterns, keyword rules reach the rows through one broadcast join
-on the extension for every half a million rules.
+are literal patterns, keyword rules an index (``keyword_index``); both are
+constants of the plan.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filewright import constants as C
@@ -18,13 +18,13 @@ from filewright.config import Taxonomy
 from filewright.functions import paths, tokens
 from filewright.functions.literals import array_of, quote
 from filewright.functions.verdicts import verdict
+from filewright.operators.keyword_index import indexes
 
-# Rules of about a hundred bytes in a table that is broadcast; more rules make more tables.
-RULES_AT_ONCE = 500_000
+# Rules of about fifty bytes in an index that travels with the plan; more rules make more indexes.
+RULES_AT_ONCE = 200_000
 # Patterns in one expression.
 MARKERS_AT_ONCE = 200
 REFERS = re.compile(r"\\[1-9]|\\k<|\(\?P?<[A-Za-z]")
-RULE_TABLE = "ext string, rules array<struct<needle:string,category:string,keyword:string>>"
 
 
 def with_names(files: DataFrame, path: str = "path") -> DataFrame:
@@ -103,32 +103,6 @@ def archive(taxonomy: Taxonomy) -> Column:
                   verdict(C.ARCHIVES, C.CONFIDENCE_ARCHIVE, C.METHOD_RULES, reason))
 
 
-def _needle(cleaned: str, is_phrase: bool) -> str:
-    """What to look for in the flat name padded with one space on both sides."""
-    if is_phrase:
-        return cleaned
-    return f" {cleaned}" if len(cleaned) >= C.PREFIX_KEYWORD_LEN else f" {cleaned} "
-
-
-def keyword_tables(spark: SparkSession, taxonomy: Taxonomy, at_once: int = RULES_AT_ONCE) -> list[DataFrame]:
-    """Tables of one row per extension with its rules, phrases first, then in taxonomy order.
-
-    The row of the empty extension holds every category's rules. All rules of a table come before those of the next;
-    none holds more than ``at_once`` rules, counted once per extension.
-    """
-    tables: list[dict[str, list]] = []
-    size = at_once
-    for _, _, category, keyword, cleaned, phrase in sorted(taxonomy.keyword_rules(), key=lambda r: (not r[5], r[0], r[1])):
-        exts = ["", *dict.fromkeys(taxonomy.extensions(category))]
-        if size + len(exts) > at_once:
-            tables.append({})
-            size = 0
-        size += len(exts)
-        for ext in exts:
-            tables[-1].setdefault(ext, []).append((_needle(cleaned, phrase), category, keyword))
-    return [spark.createDataFrame(list(rows.items()), RULE_TABLE) for rows in tables]
-
-
 def with_keyword(
     df: DataFrame, taxonomy: Taxonomy, out: str = "keyword", where: Column | None = None, at_once: int = RULES_AT_ONCE,
 ) -> DataFrame:
@@ -136,18 +110,12 @@ def with_keyword(
 
     Rows for which ``where`` does not hold are not looked at.
     """
-    padded = F.concat(F.lit(" "), F.col("flat"), F.lit(" "))
-    found = df.withColumn("_padded", padded).withColumn("_hit", F.lit(None).cast("struct<needle:string,category:string,keyword:string>"))
-    for table in keyword_tables(df.sparkSession, taxonomy, at_once):
-        # The size of a table has been bounded where it was made.
-        table = F.broadcast(table.withColumnsRenamed({"ext": "_ext", "rules": "_rules"}))
-        hit = F.get(F.filter(F.col("_rules"), lambda r: F.contains(F.col("_padded"), r["needle"])), F.lit(0))
-        hit = F.coalesce(F.col("_hit"), hit)
-        found = found.join(table, F.col("ext") == F.col("_ext"), "left").withColumn(
-            "_hit", hit if where is None else F.when(where, hit)).drop("_ext", "_rules")
+    hits = [index.first_hit(F.col("flat"), F.col("ext")) for index in indexes(taxonomy, at_once)]
+    hit = F.coalesce(*hits) if hits else F.lit(None).cast("struct<category:string,keyword:string>")
+    found = df.withColumn("_hit", hit if where is None else F.when(where, hit))
     reason = F.concat(F.lit("Matched '"), F.col("_hit.keyword"), F.lit("' in filename"))
     return found.withColumn(out, F.when(F.col("_hit").isNotNull(), verdict(
-        F.col("_hit.category"), C.CONFIDENCE_KEYWORD, C.METHOD_RULES, reason))).drop("_padded", "_hit")
+        F.col("_hit.category"), C.CONFIDENCE_KEYWORD, C.METHOD_RULES, reason))).drop("_hit")
 
 
 def with_rules(

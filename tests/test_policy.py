@@ -97,15 +97,15 @@ def test_candidates(spark):
 
 
 def test_sort_then_undo(spark, tmp_path):
-    before = ["/r/J Doe Resume.pdf", "/r/Doe_T4.pdf", "/r/opaque.bin", "/r/.DS_Store", "/r/Canadian_PR_Docs/Doe_T4.pdf"]
+    before = ["/r/my resume 7.pdf", "/r/lettersT4.pdf", "/r/blob 12.bin", "/r/.DS_Store", "/r/Canadian_PR_Docs/lettersT4.pdf"]
     out = jobs.sort(listing(spark, before), "/r", TAXONOMY, stages=pipeline.RULES_ONLY)
     moves = {r.path: r.dest for r in out.moves.collect()}
-    assert moves == {"/r/J Doe Resume.pdf": "/r/Resumes_Career_Tech/J Doe Resume.pdf", "/r/Doe_T4.pdf": "/r/Canadian_PR_Docs/Doe_T4_1.pdf"}
+    assert moves == {"/r/my resume 7.pdf": "/r/Resumes_Career_Tech/my resume 7.pdf", "/r/lettersT4.pdf": "/r/Canadian_PR_Docs/lettersT4_1.pdf"}
     log = str(tmp_path / "log")
     jobs.apply_moves(out.moves, log, "run-1", "2024-01-01 00:00:00")
-    after = ["/r/Resumes_Career_Tech/J Doe Resume.pdf", "/r/Canadian_PR_Docs/Doe_T4_1.pdf", "/r/J Doe Resume.pdf"]
+    after = ["/r/Resumes_Career_Tech/my resume 7.pdf", "/r/Canadian_PR_Docs/lettersT4_1.pdf", "/r/my resume 7.pdf"]
     undone = {r.original: (r.restored_to, r.status) for r in jobs.undo(spark, log, listing(spark, after)).collect()}
-    assert undone == {"/r/J Doe Resume.pdf": ("/r/J Doe Resume_restored_1.pdf", "restored"), "/r/Doe_T4.pdf": ("/r/Doe_T4.pdf", "restored")}
+    assert undone == {"/r/my resume 7.pdf": ("/r/my resume 7_restored_1.pdf", "restored"), "/r/lettersT4.pdf": ("/r/lettersT4.pdf", "restored")}
     undone = jobs.undo(spark, log, listing(spark, after[:1]))
     assert tuple(placement.undo_counts(undone).first()) == (1, 1)
 
@@ -129,14 +129,14 @@ def test_manifest_keeps_blanks(spark, tmp_path):
 
 
 def test_offboard_writes_only_when_applied(spark, tmp_path):
-    src = listing(spark, ["/r/J Doe Resume.pdf", "/r/id_rsa", "/r/server.log"])
+    src = listing(spark, ["/r/my resume 7.pdf", "/r/id_rsa", "/r/server.log"])
     dest = str(tmp_path / "out")
     dry = jobs.offboard(src, "/r", TAXONOMY, POLICY, dest, stages=pipeline.RULES_ONLY)
     assert dry.export.count() == 1 and not (tmp_path / "out").exists()
     assert [r.exported for r in dry.manifest.collect()] == ["no"] * 3
     jobs.offboard(src, "/r", TAXONOMY, POLICY, dest, stages=pipeline.RULES_ONLY, apply=True)
     kept = spark.read.parquet(dest + "/export")
-    assert [(r.path, r.category) for r in kept.collect()] == [("/r/J Doe Resume.pdf", "Resumes_Career_Tech")]
+    assert [(r.path, r.category) for r in kept.collect()] == [("/r/my resume 7.pdf", "Resumes_Career_Tech")]
     assert spark.read.option("header", True).csv(dest + "/manifest").count() == 3
     with pytest.raises(InconsistentPolicy):
         jobs.offboard(src, "/r", TAXONOMY, RetentionPolicy.of({"keep": []}), dest)

@@ -73,18 +73,18 @@ def plan(spark, names, scorer, run=pipeline.classify, **options):
 
 
 def test_stage_order_markers_model_rules(spark):
-    got = plan(spark, ["xlb.csv", "Doe_T4.pdf", "J Doe Resume.pdf", "Tool.dmg", "plain.pdf"], answering("Medical_Health"))
-    assert (got["xlb.csv"].category, got["xlb.csv"].method) == ("AstroQuant_Sidereal", "Rules (HC)")
-    assert got["Doe_T4.pdf"].category == "Canadian_PR_Docs"
-    assert (got["J Doe Resume.pdf"].category, got["J Doe Resume.pdf"].method) == ("Medical_Health", "Local AI")
-    assert got["Tool.dmg"].category == "Archives_and_Apps"
+    got = plan(spark, ["xlq.csv", "lettersT4.pdf", "my resume 7.pdf", "viewer.dmg", "plain.pdf"], answering("Medical_Health"))
+    assert (got["xlq.csv"].category, got["xlq.csv"].method) == ("AstroQuant_Sidereal", "Rules (HC)")
+    assert got["lettersT4.pdf"].category == "Canadian_PR_Docs"
+    assert (got["my resume 7.pdf"].category, got["my resume 7.pdf"].method) == ("Medical_Health", "Local AI")
+    assert got["viewer.dmg"].category == "Archives_and_Apps"
     assert got["plain.pdf"].category == "Medical_Health"
 
 
 def test_below_threshold_and_blank_text_fall_back_to_rules(spark):
-    assert plan(spark, ["J Doe Resume.pdf"], answering("Medical_Health", 59))["J Doe Resume.pdf"].category == "Resumes_Career_Tech"
-    assert plan(spark, ["J Doe Resume.pdf"], answering("Medical_Health", 60))["J Doe Resume.pdf"].category == "Medical_Health"
-    assert plan(spark, ["J Doe Resume.pdf"], answering("Medical_Health"), text=" \n")["J Doe Resume.pdf"].category == "Resumes_Career_Tech"
+    assert plan(spark, ["my resume 7.pdf"], answering("Medical_Health", 59))["my resume 7.pdf"].category == "Resumes_Career_Tech"
+    assert plan(spark, ["my resume 7.pdf"], answering("Medical_Health", 60))["my resume 7.pdf"].category == "Medical_Health"
+    assert plan(spark, ["my resume 7.pdf"], answering("Medical_Health"), text=" \n")["my resume 7.pdf"].category == "Resumes_Career_Tech"
 
 
 def failing_on_b():
@@ -113,7 +113,7 @@ def test_scorer_sees_only_rows_that_need_it(spark):
             return [""] * len(prompts)
         return score
 
-    names = [f"Doe_T4_{i}.pdf" for i in range(90)] + [f"plain_{i}.pdf" for i in range(10)]
+    names = [f"lettersT4_{i}.pdf" for i in range(90)] + [f"plain_{i}.pdf" for i in range(10)]
     plan(spark, names, factory)
     assert seen.value == 10
 
