@@ -6,9 +6,14 @@ name; its candidates are numbered slots, slot 0 being the name itself. A slot is
 lost to a family when a file exists there, or when a *child* family, whose own
 name is that slot (``a_1.pdf`` for ``a.pdf``), came first. Only a child's first
 row matters for that: from then on the slot is taken, by whichever of the two.
-So the j-th row of a family gets the j-th slot not lost when its turn comes, and
-families need no row-by-row loop: ranks, prefix sums and joins do it, with no
-group ever gathered in one task.
+So the j-th row of a family gets the j-th slot not lost when its turn comes.
+
+A family of one row whose name meets no file and no other family has its name as
+it is, and goes no further. For the others ranks, prefix sums and joins do the work, on
+family and order alone; no group is ever gathered in one task. Which children come first is
+read off each family's slots in ascending order, with one number carried from slot to slot. A child's loss of
+its own name is known once its parent is done, so this takes one round for each
+level of numbers in names (``a_1_1.pdf`` is of the second), however many rows and children there are.
 """
 
 from __future__ import annotations
@@ -67,51 +72,68 @@ def _children(families: DataFrame, own_lost: DataFrame | None, separator: str) -
     return child.join(parent, FAMILY)
 
 
-def _lost_before(queries: DataFrame, lost: DataFrame, out: str) -> DataFrame:
-    """Add ``out`` to rows of family and slot: lost slots with a smaller number."""
-    marks = lost.select(*FAMILY, "_slot").distinct().withColumn("_mark", F.lit(1))
-    both = queries.withColumn("_mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-    # At the same slot the query comes first, and its own slot is not counted.
-    summed = running_total(both, FAMILY, ["_slot", "_mark"], {out: F.col("_mark")})
-    return summed.where(F.col("_mark") == 0).drop("_mark")
+def _level(root: Column, separator: str) -> Column:
+    """How many numbers stand one after the other at the end of a name."""
+    numbers = F.regexp_extract(root, rf"(?s)((?:{separator}[1-9][0-9]{{0,17}})*)\z", 1)
+    return F.regexp_count(numbers, F.lit(separator)) if separator else F.lit(0)
 
 
-def _settle(children: DataFrame, ranked: DataFrame, lost: DataFrame | None, seq: str) -> DataFrame:
-    """Slots lost in each family once parents and children agree.
+def _walk(events: DataFrame) -> DataFrame:
+    """(family, _slot, _child, _lost, _taken) of the children of families, from all their slots that may be lost.
 
-    Each round recomputes, for all children at once, which parent row reaches
-    their slot and whether it comes too late. A round fixes at least the next
-    slot of every family, and rounds stop when nothing changes.
+    Of a family, row number ``_slot`` less the slots lost so far reaches a slot. It finds the slot lost to a child that came before
+    that row, that is, one that at most as many rows were ahead of. Rows of a family stream past in order of slots; what is kept
+    is the number lost.
     """
-    wanted = children.select(*FAMILY).distinct()
-    arrivals = cut_lineage(
-        ranked.join(wanted, FAMILY, "left_semi").select(*FAMILY, F.col("_rank").alias("_turn"), F.col(seq).alias("_at")))
+    columns = [*FAMILY, "_slot", "_child", "_ahead", "_rows"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        family, lost = None, 0
+        for batch in batches:
+            out = [[] for _ in range(7)]
+            for folder, root, ext, slot, child, ahead, rows in zip(*(c.to_pylist() for c in batch.columns)):
+                if (folder, root, ext) != family:
+                    family, lost = (folder, root, ext), 0
+                if child is None:
+                    lost += 1
+                    continue
+                turn = slot - lost
+                is_lost = turn < rows and turn >= ahead
+                for values, v in zip(out, (folder, root, ext, slot, child, is_lost, turn < ahead)):
+                    values.append(v)
+                lost += is_lost
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(v, pa.string()) for v in out[:3]), pa.array(out[3], pa.int64()), pa.array(out[4], pa.string()),
+                 *(pa.array(v, pa.bool_()) for v in out[5:])], [*columns[:5], "_lost", "_taken"])
+
+    dealt = events.select(*columns).repartition(*FAMILY).sortWithinPartitions(*FAMILY, "_slot")
+    return dealt.mapInArrow(run, "_folder string, _root string, _ext string, _slot long, _child string, _lost boolean, _taken boolean")
+
+
+def _settle(children: DataFrame, rows: DataFrame, lost: DataFrame | None, seq: str, separator: str) -> DataFrame:
+    """Slots lost in each family once parents and children agree."""
     if lost is not None:
         # A file that exists settles its slot for both families.
-        children = cut_lineage(children.join(lost, [*FAMILY, "_slot"], "left_anti"))
-    state = children.withColumns({"_lost": F.lit(True), "_taken": F.lit(False)})
-    while True:
-        now_lost = _lost_slots(state, lost)
-        query = state.withColumnsRenamed({"_lost": "_lost_old", "_taken": "_taken_old"})
-        query = _lost_before(query, now_lost, "_before")
-        query = query.withColumn("_turn", F.col("_slot") - F.col("_before"))
-        met = query.join(arrivals, [*FAMILY, "_turn"], "left")
-        new = cut_lineage(met.withColumns({
-            "_lost": F.col("_at").isNotNull() & (F.col("_came") < F.col("_at")),
-            "_taken": F.col("_at").isNotNull() & (F.col("_came") > F.col("_at")),
-        }).drop("_before", "_turn", "_at"))
-        changed = new.where((F.col("_lost") != F.col("_lost_old")) | (F.col("_taken") != F.col("_taken_old")))
-        done = changed.isEmpty()
-        state = new.drop("_lost_old", "_taken_old")
-        if done:
-            return _lost_slots(state, lost)
-
-
-def _lost_slots(state: DataFrame, lost: DataFrame | None) -> DataFrame:
-    """Lost slots of parents, and the names of children whose parent was first."""
-    slots = state.where("_lost").select(*FAMILY, "_slot").unionByName(
-        state.where("_taken").select("_folder", F.col("_child").alias("_root"), "_ext", F.lit(0).cast("bigint").alias("_slot")))
-    return slots if lost is None else slots.unionByName(lost.select(*FAMILY, "_slot"))
+        children = children.join(lost, [*FAMILY, "_slot"], "left_anti")
+    wanted = children.select(*FAMILY).distinct()
+    # How many rows of the parent came before the child.
+    both = rows.join(wanted, FAMILY, "left_semi").select(*FAMILY, F.col(seq).alias("_came"), F.lit(1).alias("_row")).unionByName(
+        children.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+    ahead = running_total(both, FAMILY, ["_came"], {"_ahead": F.col("_row")}).where("_row = 0").drop("_row")
+    ahead = cut_lineage(ahead.withColumn("_level", _level(F.col("_root"), separator)))
+    known = None if lost is None else lost.select(*FAMILY, "_slot")
+    for level in sorted(r[0] for r in ahead.select("_level").distinct().collect()):
+        here = ahead.where(F.col("_level") == level)
+        events = here
+        if known is not None:
+            events = here.unionByName(known.join(here.select(*FAMILY).distinct(), FAMILY, "left_semi"), allowMissingColumns=True)
+        done = cut_lineage(_walk(events))
+        slots = done.where("_lost").select(*FAMILY, "_slot").unionByName(
+            done.where("_taken").select("_folder", F.col("_child").alias("_root"), "_ext", F.lit(0).cast("bigint").alias("_slot")))
+        known = slots if known is None else known.unionByName(slots)
+    return known
 
 
 def _skip_lost(ranked: DataFrame, lost: DataFrame, seq: str) -> DataFrame:
@@ -142,21 +164,30 @@ def unique_names(
     since finding out which names meet reads it more than once.
     """
     stored = cut_lineage(_family(plan, folder, name))
-    families = stored.groupBy(*FAMILY).agg(F.count("*").alias("_rows"), F.min(seq).alias("_first"))
+    families = cut_lineage(stored.groupBy(*FAMILY).agg(F.count("*").alias("_rows"), F.min(seq).alias("_first")))
     lost = None
     if existing is not None:
         lost = _lost_to_files(existing, folder, name, separator)
         lost = cut_lineage(lost.join(families.select(*FAMILY), FAMILY, "left_semi").distinct())
-    ranked = rank_in_group(stored, FAMILY, seq, "_rank")
     children = cut_lineage(_children(families, lost, separator))
-    if not children.isEmpty():
-        lost = _settle(children, ranked, lost, seq).distinct()
+    busy = families.where("_rows > 1").select(*FAMILY)
+    if lost is not None:
+        busy = busy.unionByName(lost.select(*FAMILY))
+    meets = not children.isEmpty()
+    if meets:
+        busy = busy.unionByName(children.select(*FAMILY)).unionByName(children.select("_folder", F.col("_child").alias("_root"), "_ext"))
+    rows = stored.select(*FAMILY, seq).join(busy.distinct(), FAMILY, "left_semi")
+    ranked = rank_in_group(rows, FAMILY, seq, "_rank")
+    if meets:
+        lost = _settle(children, rows, lost, seq, separator).distinct()
     if lost is None:
         slotted = ranked.withColumn("_slot", F.col("_rank"))
     else:
+        lost = cut_lineage(lost)
         slotted = _skip_lost(ranked, lost, seq)
-    return slotted.withColumn(out, numbered_name(F.col("_root"), F.col("_ext"), F.col("_slot"), separator)).drop(
-        *FAMILY, "_rank", "_slot")
+    named = stored.join(slotted.select(seq, "_slot"), seq, "left")
+    slot = F.coalesce("_slot", F.lit(0))
+    return named.withColumn(out, numbered_name(F.col("_root"), F.col("_ext"), slot, separator)).select(*plan.columns, out)
 
 
 def numbered_name(root: Column, ext: Column, slot: Column, separator: str = "_") -> Column:

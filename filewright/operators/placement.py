@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filewright import constants as C
@@ -10,6 +10,7 @@ from filewright.config import RetentionPolicy
 from filewright.functions import paths
 from filewright.operators.naming import unique_names
 from filewright.operators.policy import with_disposition
+from filewright.operators.skew import after, before, scan
 from filewright.session import cut_lineage
 
 EXPORTED, SKIPPED = "exported", "skipped_never_export"
@@ -57,37 +58,51 @@ def export_plan(
     return out.drop("name", "dest_name", "disposition", "never_export", "exportable")
 
 
+def _reached(links: DataFrame) -> DataFrame:
+    """(_turn, _found) from links (_turn, _next, _found): found is what a found one leads to.
+
+    Pointers jump twice a round, so chains of 4 to the power of r links take r rounds. What a pointer skips has been told
+    by then: before a jump over n links, every mark has gone n links.
+    """
+    state = links
+    while not state.where(F.col("_next").isNotNull()).isEmpty():
+        for _ in range(2):
+            told = state.where("_found AND _next IS NOT NULL").select(F.col("_next").alias("_turn"), F.lit(True).alias("_told")).distinct()
+            far = state.where("_next IS NOT NULL").select(F.col("_turn").alias("_next"), F.col("_next").alias("_far"))
+            state = state.join(told, "_turn", "left").join(far, "_next", "left").select(
+                "_turn", F.col("_far").alias("_next"), (F.col("_found") | F.coalesce("_told", F.lit(False))).alias("_found"))
+        state = cut_lineage(state)
+    return state.select("_turn", "_found")
+
+
 def _steps(entries: DataFrame, listing: DataFrame) -> DataFrame:
     """Entries with ``_found``, whether a file is at their new place when their turn comes, ``_free``, whether
     nothing is at the original place then, and ``_passing``, whether a later turn takes the file on from there.
 
-    Taking a file empties a place; putting one back fills it. Which moves are found depends on earlier turns alone, so
-    rounds over all entries at once settle at least one more link of every chain of moves, and stop when none changes.
+    Taking a file empties a place; putting one back fills it, for the next turn that takes from there. So a turn finds a file if
+    none took from its place before and one is listed there, or if some turn that puts a file there since the last taking found its own: links
+    from each turn to at most one other, which pointers follow. Looks back and ahead along a place are scans; a place may hold any share of the log.
     """
-    present = listing.select(F.col("path").alias("_place")).distinct().withColumn("_listed", F.lit(1))
-    state = cut_lineage(entries.withColumns({"_turn": -F.col("seq"), "_found": F.lit(True)}))
-    while True:
-        takes = state.select("_turn", F.col("new").alias("_place"), F.lit(0).alias("_put"), F.lit(0).alias("_leaves"))
-        puts = state.select(
-            "_turn", F.col("original").alias("_place"), F.lit(1).alias("_put"), F.when(F.col("_found"), 1).alias("_leaves"))
-        by_place = Window.partitionBy("_place").orderBy("_turn", "_put")
-        before = by_place.rowsBetween(Window.unboundedPreceding, -1)
-        # The next file to leave, if none is put there in between.
-        after = F.first(F.when(F.col("_leaves").isNotNull(), 1 - F.col("_put")), ignorenulls=True).over(
-            by_place.rowsBetween(1, Window.unboundedFollowing))
-        there = F.coalesce(F.last("_leaves", ignorenulls=True).over(before), F.col("_listed"), F.lit(0))
-        seen = takes.unionByName(puts).join(present, "_place", "left").select(
-            "_turn", "_put", there.alias("_there"), F.coalesce(after, F.lit(0)).alias("_onward"))
-        told = seen.groupBy("_turn").agg(
-            F.max(F.when(F.col("_put") == 0, F.col("_there"))).alias("_at_new"),
-            F.max(F.when(F.col("_put") == 1, F.col("_there"))).alias("_at_original"),
-            F.max(F.when(F.col("_put") == 1, F.col("_onward"))).alias("_onward"))
-        now = cut_lineage(state.withColumnRenamed("_found", "_before").drop("_free", "_passing").join(told, "_turn").withColumns({
-            "_found": F.col("_at_new") == 1, "_free": F.col("_at_original") == 0,
-            "_passing": (F.col("_at_original") == 0) & (F.col("_onward") == 1)}).drop("_at_new", "_at_original", "_onward"))
-        state = now.drop("_before")
-        if now.where(F.col("_found") != F.col("_before")).isEmpty():
-            return state
+    present = listing.select(F.col("path").alias("_place")).distinct().withColumn("_listed", F.lit(True))
+    turns = entries.select((-F.col("seq")).alias("_turn"), "original", "new")
+    events = turns.select("_turn", F.explode(F.array(
+        F.struct(F.col("new").alias("_place"), F.lit(0).alias("_put")), F.struct(F.col("original").alias("_place"), F.lit(1).alias("_put")))).alias("_e")).select(
+        "_turn", "_e.*").join(present, "_place", "left").withColumn("_listed", F.coalesce("_listed", F.lit(False)))
+    taking = F.when(F.col("_put") == 0, F.col("_turn"))
+    seen = scan(events, ["_place"], ["_turn", "_put"], {"_taken": before(taking), "_next": after(taking)})
+    seen = cut_lineage(seen)
+    links = seen.groupBy("_turn").agg(
+        F.max(F.when(F.col("_put") == 1, F.col("_next"))).alias("_next"),
+        F.max((F.col("_put") == 0) & F.col("_listed") & F.col("_taken").isNull()).alias("_found"))
+    found = cut_lineage(_reached(cut_lineage(links)))
+    # A file that is not found leaves both places as they are.
+    told = seen.select("_turn", "_place", "_put", "_listed").join(found, "_turn")
+    leaves = F.when(F.col("_put") == 0, 0).when(F.col("_found"), 1)
+    around = scan(told, ["_place"], ["_turn", "_put"], {"_there": before(leaves), "_after": after(leaves)}).where("_put = 1")
+    there = F.coalesce(F.col("_there") == 1, F.col("_listed"))
+    # The next to change the place takes from it: then the file goes on.
+    steps = around.select("_turn", "_found", (~there).alias("_free"), (~there & F.coalesce(F.col("_after") == 0, F.lit(False))).alias("_passing"))
+    return cut_lineage(entries.withColumn("_turn", -F.col("seq")).join(steps, "_turn"))
 
 
 def undo_plan(log: DataFrame, listing: DataFrame) -> DataFrame:
