@@ -429,23 +429,37 @@ def _run(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return latest(written, keys) if keys else written.drop("batch_id")
 
 
-def _in_batches(df: DataFrame, batches: int = 3, files: int = 1, end: DataFrame | None = None) -> DataFrame:
-    """A stream over ``df`` as batches of ``files`` files that arrive one after the other, and the rows of ``end`` after them."""
+def _in_batches(df: DataFrame, batches: int = 3) -> DataFrame:
+    """A stream over ``df`` as batches of one file that arrive one after the other."""
     path = shared_path(df.sparkSession)
-    df.repartition(batches * files).write.parquet(path)
-    if end is not None:
-        end.write.mode("append").parquet(path)
+    df.repartition(batches).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _in_time(df: DataFrame, time: str, ends: list, files: int = 4) -> DataFrame:
+    """A stream over ``df`` as batches of ``files`` files in order of ``time``, cut at ``ends``."""
+    path = shared_path(df.sparkSession)
+    for start_at, end_at in zip([None, *ends], [*ends, None]):
+        part = df if start_at is None else df.where(F.col(time) >= F.lit(start_at))
+        part = part if end_at is None else part.where(F.col(time) < F.lit(end_at))
+        part.repartition(files).write.mode("append").parquet(path)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def _quarters(df: DataFrame, time: str) -> list:
+    """Times that cut ``df`` into four spans of equal length."""
+    low, high = df.agg(F.min(time), F.max(time)).first()
+    return [] if low is None else [low + (high - low) * i / 4 for i in (1, 2, 3)]
+
+
 def stream_classify(spark, d):
     files = X.files(spark, d, X.load_stream).select("seq", "path", "size_bytes")
     return _run(classify_stream(files, TAXONOMY, pipeline.RULES_ONLY).select(*PLAN))
 
 
 def stream_progress(spark, d):
-    # Batches come in no order of time here, so nothing may count as late.
-    ticks = progress_stream(_in_batches(X.results(spark, d, gaps=False)), late="3650 days")
+    results = X.results(spark, d, gaps=False)
+    ticks = progress_stream(_in_time(results, "done_at", _quarters(results, "done_at")), late="5 minutes")
     return _run(ticks, ["route", "tick_end"]).select("route", "tick_end", "completed", "failed")
 
 
@@ -455,14 +469,13 @@ def stream_worker_stats(spark, d):
 
 
 def stream_reconcile(spark, d):
-    """First results of jobs, and timeouts of those without; a pair from the far future, the last to arrive, passes every deadline."""
+    """First results of jobs, and timeouts of those without, as far as the watermark comes: jobs and results arrive in order
+    of time, in four batches, and are late after five minutes."""
     jobs, results = X.jobs(spark, d), X.results(spark, d)
-    late = F.lit("2100-01-01 00:00:00").cast("timestamp")
-    ends = [df.limit(1).withColumn("job_id", F.lit("end")).withColumn(time, late) for df, time in ((jobs, "enqueued_at"), (results, "done_at"))]
-    streams = [_in_batches(df, files=4, end=end) for df, end in zip((jobs, results), ends)]
-    # Batches come in no order of time here, so nothing may count as late.
-    found = reconcile_stream(*streams, C.RUN_TIMEOUT_SECONDS, jobs_late="3650 days", results_late="3650 days")
-    return _run(found).where("job_id <> 'end'")
+    ends = _quarters(jobs, "enqueued_at")
+    found = reconcile_stream(
+        _in_time(jobs, "enqueued_at", ends), _in_time(results, "done_at", ends), C.RUN_TIMEOUT_SECONDS, "5 minutes", "5 minutes")
+    return _run(found)
 
 
 QUERIES = {f.__name__: f for f in (

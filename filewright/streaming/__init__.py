@@ -1,5 +1,9 @@
 """Long-running forms of the operators."""
 
+from pyspark import cloudpickle
+
+from filewright.streaming import state
+
 from filewright.streaming.jobs import (
     classify_stream,
     latest,
@@ -11,3 +15,6 @@ from filewright.streaming.jobs import (
 )
 
 __all__ = ["classify_stream", "latest", "progress_stream", "reconcile_stream", "start", "worker_stats_stream", "write_once"]
+
+# What keeps state in workers travels with the plan, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(state)

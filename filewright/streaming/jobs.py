@@ -13,6 +13,11 @@ from filewright.config import Taxonomy
 from filewright.functions.verdicts import unknown
 from filewright.operators.reconcile import is_ok, result_verdict
 from filewright.plans import pipeline
+from filewright.schemas import VERDICT
+from filewright.streaming.state import RECONCILED, Reconciler
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def classify_stream(
@@ -26,30 +31,29 @@ def reconcile_stream(
     jobs: DataFrame, results: DataFrame, timeout_seconds: int = C.RUN_TIMEOUT_SECONDS,
     jobs_late: str = "1 minute", results_late: str = "1 minute",
 ) -> DataFrame:
-    """One verdict per job, once its own timeout has passed.
+    """One verdict per job, as soon as no earlier result can come, or its own timeout has passed.
 
-    Time is that of the events. The first result by ``done_at`` (then by its own
-    number where it has one) counts, in whatever order they arrive; repeats, and
-    results of unknown jobs, drop out. A job is reported once the watermark has
-    passed its deadline, so a silent stream holds it back.
+    Time is that of the events. The first result by ``done_at`` (then by its own number where it has one) counts, in whatever
+    order they arrive; repeats, and results of unknown jobs, drop out. Each job has a state and a timer
+    (``Reconciler``): its first result so far is given out once the watermark has passed it, and a job without one at its deadline; then its
+    state is gone. Rows that come later than the watermark are dropped, so a silent stream holds jobs back.
     """
-    tie = "result_seq" if "result_seq" in results.columns else "worker_id"
-    answers = results.withWatermark("done_at", results_late).select(
-        F.col("job_id").alias("_job"), F.col("done_at").alias("_done"), F.col(tie).alias("_tie"),
-        F.struct("error", "classification", "route").alias("_answer"))
-    in_time = (F.col("_done") >= F.col("enqueued_at")) & (
-        F.col("_done") < F.col("enqueued_at") + F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS"))
-    joined = jobs.withWatermark("enqueued_at", jobs_late).join(
-        answers, (F.col("job_id") == F.col("_job")) & in_time, "leftOuter")
-    # A job's results meet in keyed state, which gives out the first when no other can come.
-    order = F.when(F.col("_job").isNotNull(), F.struct("_done", "_tie"))
-    first = joined.select("job_id", "file_path", "route", "enqueued_at", "_answer", order.alias("_order")).groupBy(
-        "job_id", "file_path", "route", "enqueued_at").agg(F.min_by("_answer", "_order").alias("_first"))
-    here, error, classified = F.col("_first").isNotNull(), F.col("_first.error"), F.col("_first.classification")
+    numbered = "result_seq" in results.columns
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = jobs.withWatermark("enqueued_at", jobs_late).select(
+        "job_id", F.col("enqueued_at").alias("time"), F.unix_micros("enqueued_at").alias("micros"), F.lit(True).alias("is_job"), "file_path", "route", none("long").alias("number"),
+        none("string").alias("worker"), none("string").alias("error"), none(VERDICT).alias("classification"))
+    answered = results.withWatermark("done_at", results_late).select(
+        "job_id", F.col("done_at").alias("time"), F.unix_micros("done_at").alias("micros"), F.lit(False).alias("is_job"), none("string").alias("file_path"), "route",
+        (F.col("result_seq") if numbered else F.lit(0)).cast("long").alias("number"), "worker_id", "error",
+        F.when(F.col("classification").isNotNull(), F.struct(*[F.col("classification")[f].alias(f) for f in VERDICT.names])).alias("classification"))
+    told = asked.union(answered).where(F.col("job_id").isNotNull()).groupBy("job_id").transformWithState(
+        Reconciler(timeout_seconds), RECONCILED, "append", "EventTime")
+    here, error, classified = F.col("here"), F.col("error"), F.col("classification")
     timed_out = unknown(C.REASON_TIMEOUT, F.concat(F.lit(C.METHOD_QUEUE_PREFIX), F.col("route")))
-    verdict = F.when(here, result_verdict(error, classified, F.col("_first.route"))).otherwise(timed_out)
+    verdict = F.when(here, result_verdict(error, classified, F.col("answered_on"))).otherwise(timed_out)
     outcome = F.when(~here, "timeout").when(is_ok(error, classified), "completed").otherwise("failed")
-    return first.select("job_id", "file_path", "route", verdict.alias("_v"), outcome.alias("outcome")).select(
+    return told.select("job_id", "file_path", "route", verdict.alias("_v"), outcome.alias("outcome")).select(
         "job_id", "file_path", "route", "_v.*", "outcome")
 
 
@@ -100,6 +104,10 @@ def start(
     stream: DataFrame, writer: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append",
     every: str | None = None,
 ) -> StreamingQuery:
-    """Start a stream: ``every`` names the interval, None takes what is there and stops."""
+    """Start a stream: ``every`` names the interval, None takes what is there and stops.
+
+    State is kept in RocksDB, so it may outgrow memory; keyed state with timers needs it.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     query = stream.writeStream.foreachBatch(writer).outputMode(mode).option("checkpointLocation", checkpoint)
     return (query.trigger(processingTime=every) if every else query.trigger(availableNow=True)).start()

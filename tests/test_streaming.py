@@ -51,10 +51,8 @@ def test_reconcile_fills_timeouts_and_drops_repeats(spark, tmp_path):
         as_stream(spark, results.unionByName(end_result), str(tmp_path / "results")), 900)
     got = run(stream, tmp_path).drop("batch_id").where("job_id <> 'end'")
     want = reconcile.job_verdicts(jobs, results, F.col("enqueued_at") + F.expr("INTERVAL 900 SECONDS"))
-    # Files hold results in no order, so repeats may win: compare all but those.
-    single = results.groupBy("job_id").count().where("count > 1").select("job_id")
-    assert got.count() == jobs.count() == got.select("job_id").distinct().count()
-    assert rows(got.join(single, "job_id", "left_anti")) == rows(want.join(single, "job_id", "left_anti"))
+    want = reconcile.job_verdicts(jobs, results, F.col("enqueued_at") + F.expr("INTERVAL 900 SECONDS"))
+    assert rows(got) == rows(want)
 
 
 def test_reconcile_takes_the_first_of_repeats_in_any_order(spark, tmp_path):
@@ -67,27 +65,48 @@ def test_reconcile_takes_the_first_of_repeats_in_any_order(spark, tmp_path):
     batches = [
         [result("a", "second", at(20), 1), result("a", "first", at(10), 2), result("b", "second", at(20), 1), result("stray", "x", at(5), 9)],
         [result("b", "first", at(10), 2), result("c", "second", at(10), 8), result("c", "first", at(10), 7), result("d", "late", at(950), 1)],
-        [result("a", "third", at(30), 3), result("end", "x", end, 1)]]
+        [result("a", "third", at(30), 3)],
+        [result("a", "fourth", at(31), 4), result("end", "x", end, 1)]]
     jobs = [[job(name, at(0)) for name in "abcde"], [job("end", end)]]
     for rows_, schema, folder in ((batches, numbered, "results"), (jobs, S.JOBS, "jobs")):
         for batch in rows_:
             spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / folder))
     stream = lambda folder, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / folder))
-    found = reconcile_stream(stream("jobs", S.JOBS), stream("results", numbered), 900, "3650 days", "3650 days")
-    got = run(found, tmp_path).where("job_id <> 'end'").select("job_id", "reason", "outcome")
+    found = reconcile_stream(stream("jobs", S.JOBS), stream("results", numbered), 900)
+    query = start(found, write_once(str(tmp_path / "out")), str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).where("job_id <> 'end'").select("job_id", "reason", "outcome")
     timeout = lambda name: (name, C.REASON_TIMEOUT, "timeout")
     assert rows(got) == [("a", "first", "completed"), ("b", "first", "completed"), ("c", "first", "completed"), timeout("d"), timeout("e")]
+    # The last result of a came when the watermark had passed it; of all jobs and strays nothing is kept but the last pair.
+    state = [p.stateOperators[0] for p in query.recentProgress if p.stateOperators]
+    assert sum(s.numRowsDroppedByWatermark for s in state) == 1
+    assert max(s.numRowsTotal for s in state) >= 7 and state[-1].numRowsTotal == 1
+
+
+def test_reconcile_reports_a_job_when_its_result_is_there(spark, tmp_path):
+    """Long before its deadline, once the watermark is past the result; an earlier result on the way still counts."""
+    at = lambda second: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=second)
+    result = lambda name, reason, time: (name, f"/{name}", "r", "w", 1.0, ("Medical_Health", 90, "m", reason), None, time)
+    batches = [[result("a", "second", at(20))], [result("a", "first", at(15))], [result("x", "clock", at(90))], [result("x", "clock", at(95))]]
+    jobs = [[("a", "/a", "r", {}, 0, 3, at(0)), ("b", "/b", "r", {}, 0, 3, at(1))], [("c", "/c", "r", {}, 0, 3, at(100))]]
+    for kind, schema, folder in ((batches, S.RESULTS, "results"), (jobs, S.JOBS, "jobs")):
+        for batch in kind:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / folder))
+    stream = lambda folder, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / folder))
+    got = run(reconcile_stream(stream("jobs", S.JOBS), stream("results", S.RESULTS), 900), tmp_path)
+    assert [(r.job_id, r.reason) for r in got.collect()] == [("a", "first")]
 
 
 def test_reconcile_query_streams_repeats_and_strays(spark, monkeypatch):
     fed = {}
-    whole = queries._in_batches
+    whole = queries._in_time
 
     def watch(df, *args, **kwargs):
         fed["result_seq" if "result_seq" in df.columns else "job"] = df.count()
         return whole(df, *args, **kwargs)
 
-    monkeypatch.setattr(queries, "_in_batches", watch)
+    monkeypatch.setattr(queries, "_in_time", watch)
     queries.stream_reconcile(spark, DATA)
     assert fed == {"result_seq": X.results(spark, DATA).count(), "job": X.jobs(spark, DATA).count()}
 
