@@ -4,10 +4,12 @@ Two sets of sizes a and b are linked if at least ``PERCENT`` of their union is s
 K = (100 - PERCENT)(a + b) / (100 + PERCENT) elements.
 
 1. Documents with equal sets form one class; all below is done once for a class.
-2. Candidates, without a miss: sets of similar size cut the range of hashes into the same K + 1 or more buckets, so linked ones
-   have at least one non-empty bucket in common, element for element (a set with no more than K non-empty buckets
-   gets a key that it shares with all such sets of its size). A key is a hash of a bucket's elements. Equal keys are joined
-   to their smallest class within a task before they are shuffled, so a key sends one row a task. Classes that keys connect form a cluster.
+2. Candidates, without a miss: sets of similar size cut the range of hashes into the same buckets, of which linked ones have all but K
+   in common, element for element. Each set keeps its K + 1 fullest non-empty buckets: of the buckets two linked sets have in
+   common, the fullest is among those of both, since neither drops more than it has beyond K (a set with no more than K non-empty
+   buckets also gets a key that it shares with all such sets of its size). Full buckets hardly ever agree by a common line alone. A key is a hash
+   of a bucket's elements. Equal keys are joined to their smallest class within a task before they are shuffled, so a key sends
+   one row a task. Classes that keys connect form a cluster.
 3. The sets of classes in clusters, and of no others, go to their cluster, dealt out in blocks of bounded size. A block
    builds a signature tree: a leaf holds a bitmap of a set's elements and its size, a node the OR of the bitmaps below and
    the range of sizes. Pairs of nodes are followed downwards from the root with itself; a pair is left when its sizes are too far
@@ -40,11 +42,13 @@ from filewright.session import cut_lineage
 
 PERCENT = 85
 SHINGLE = 4
-CLASS_RATIO = 0.6  # of the smallest to the largest size of one class of sizes
+CLASS_RATIO = 0.85  # of the smallest to the largest size of one class of sizes
+SPARE_BUCKETS = 0.25  # beyond K + 1, for the emptiest to be dropped
 KEYS_AT_ONCE = 1 << 20  # joined within a task
 FILTER_BITS = 1 << 26  # of the filter that holds back sets without candidates: 8 MB
 BLOCK_ELEMENTS = 1 << 20  # of a block of sets, 8 MB
-FAN = 16  # children of a node
+FAN, LEAVES = 16, 64  # children of a node, of a lowest one
+WORDS_AT_ONCE = 1 << 19  # of bitmaps compared at once
 TREE_BITS = 1 << 28  # of a block's bitmaps, 32 MB
 BLOCK_BITS = 1 << 12  # of a block's own bitmap
 U = np.uint64
@@ -94,11 +98,12 @@ def keys(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         differ = (100 - percent) * 2 * (int(EDGES[size_class + 1]) - 1) // (100 + percent)
         if not differ:
             continue
-        buckets = differ + 3 + differ // 10
+        buckets = differ + 3 + int(SPARE_BUCKETS * (differ + 1))
         at = (elements >> U(32)) * U(buckets) >> U(32)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        whole = np.add.reduceat(mix(elements), first)
-        out.append(mix(whole ^ mix(at[first] + U(size_class << 40))))
+        held = np.diff(np.append(first, n))
+        found = mix(np.add.reduceat(mix(elements), first) ^ mix(at[first] + U(size_class << 40)))
+        out.append(found[np.lexsort((found, held))[max(0, len(first) - differ - 1):]])
         if len(first) <= differ:
             out.append(mix(np.array([size_class << 40 | 1 << 39], np.uint64)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -215,23 +220,25 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 class Tree:
-    """Leaves in a given order, and above them nodes of ``FAN`` children each: bitmap, sizes, elements that share a bit."""
+    """Leaves in a given order, and above them nodes of some children each: bitmap, sizes, elements that share a bit."""
 
     def __init__(self, bitmaps: np.ndarray, low: np.ndarray, high: np.ndarray, excess: np.ndarray, start: int = 0) -> None:
         self.start, self.n = start, len(low)  # the places of its leaves among all
         self.levels = [(bitmaps, low, high, excess)]
         while len(low) > 1:
-            at = np.arange(0, len(low), FAN)
+            at = np.arange(0, len(low), LEAVES if len(self.levels) == 1 else FAN)
             bitmaps, low = np.bitwise_or.reduceat(bitmaps, at, axis=0), np.minimum.reduceat(low, at)
             high, excess = np.maximum.reduceat(high, at), np.maximum.reduceat(excess, at)
             self.levels.append((bitmaps, low, high, excess))
         self.top = len(self.levels) - 1
 
     def span(self, level: int, i: int) -> slice:
-        return slice(self.start + i * FAN ** level, self.start + min(self.n, (i + 1) * FAN ** level))
+        width = LEAVES * FAN ** (level - 1) if level else 1
+        return slice(self.start + i * width, self.start + min(self.n, (i + 1) * width))
 
     def children(self, level: int, i: int) -> np.ndarray:
-        return np.arange(i * FAN, min(len(self.levels[level - 1][1]), (i + 1) * FAN))
+        fan = LEAVES if level == 1 else FAN
+        return np.arange(i * fan, min(len(self.levels[level - 1][1]), (i + 1) * fan))
 
 
 def bitmaps(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -262,10 +269,13 @@ def pairs_left(a: tuple, b: tuple, percent: int) -> np.ndarray:
     """Which of all pairs of nodes may have a link below: a matrix."""
     (bits_a, low_a, high_a, excess_a), (bits_b, low_b, high_b, excess_b) = a, b
     keep = (100 * high_a[:, None] >= percent * low_b) & (100 * high_b >= percent * low_a[:, None])
-    i, j = np.nonzero(keep)
-    most = np.bitwise_count(bits_a[i] & bits_b[j]).sum(axis=1, dtype=np.int64) + np.minimum(excess_a[i], excess_b[j])
-    most = np.minimum(most, np.minimum(high_a[i], high_b[j]))
-    keep[i, j] = (100 + percent) * most >= percent * (low_a[i] + low_b[j])
+    all_i, all_j = np.nonzero(keep)
+    step = max(1, WORDS_AT_ONCE // bits_a.shape[1])
+    for start in range(0, len(all_i), step):
+        i, j = all_i[start:start + step], all_j[start:start + step]
+        most = np.bitwise_count(bits_a[i] & bits_b[j]).sum(axis=1, dtype=np.int64) + np.minimum(excess_a[i], excess_b[j])
+        most = np.minimum(most, np.minimum(high_a[i], high_b[j]))
+        keep[i, j] = (100 + percent) * most >= percent * (low_a[i] + low_b[j])
     return keep
 
 
@@ -439,12 +449,12 @@ def similar(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, block:
     placed = cut_lineage(running_total(clusters, ["root"], ["n", "cls"], {"total": F.col("n")}).select(
         "cls", "low", "root", F.floor((F.col("total") - 1) / block).cast("long").alias("block")))
     chosen = placed.withColumnRenamed("cls", "_cls")
-    sets = sets_of(docs, placed, size).join(chosen, (F.col("cls") == F.col("_cls")) & F.col("doc_id").eqNullSafe(F.col("low"))).select(
-        "root", "block", "cls", "elements")
+    sets = cut_lineage(sets_of(docs, placed, size).join(chosen, (F.col("cls") == F.col("_cls")) & F.col("doc_id").eqNullSafe(F.col("low"))).select(
+        "root", "block", "cls", "elements"))
     links = cut_lineage(links_in_blocks(sets, percent))
     several = placed.groupBy("root").agg(F.min("block").alias("first"), F.max("block").alias("last")).where("first < last").select("root")
     if not several.isEmpty():
-        sets = cut_lineage(sets.join(several, "root", "left_semi"))
+        sets = sets.join(several, "root", "left_semi")
         pairs = cut_lineage(block_pairs(sets, percent))
         order = placed.select("root", "block").distinct()
         following = order.select("root", F.col("block").alias("x")).withColumn("y", F.lead("x").over(Window.partitionBy("root").orderBy("x")))

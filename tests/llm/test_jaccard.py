@@ -57,6 +57,7 @@ def copies(rng, n):
 @pytest.mark.parametrize("seed,block", [(1, jaccard.BLOCK_ELEMENTS), (2, 700), (3, 150)])
 def test_equals_all_pairs(spark, seed, block, monkeypatch):
     monkeypatch.setattr(jaccard, "FAN", 3)
+    monkeypatch.setattr(jaccard, "LEAVES", 4)
     monkeypatch.setattr(jaccard, "KEYS_AT_ONCE", 300)
     table = copies(random.Random(seed), 160)
     got = jaccard.similar(documents(spark, table).repartition(6), block=block)
