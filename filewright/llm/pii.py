@@ -105,19 +105,38 @@ def small_number(digits: str) -> bool:
     return len(digits) <= 3 and int(digits or "0") <= 255
 
 
-def expand_url(text: str, mark: int, floor: int) -> tuple[int, int] | None:
+class UrlEnds:
+    """Where the run of characters that a mark lies in ends, without what closes a sentence: found once for all marks of a run."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.run, self.end = text, 0, 0
+
+    def after(self, at: int) -> int:
+        text, n = self.text, len(self.text)
+        if at >= self.run:
+            self.run = at
+            while self.run < n and text[self.run] not in URL_END:
+                self.run += 1
+            self.end = self.run
+            while self.end > at and text[self.end - 1] in ".,;:!?)]*":
+                self.end -= 1
+        return max(at, self.end)
+
+
+def expand_url(text: str, mark: int, floor: int, ends: UrlEnds) -> tuple[int, int] | None:
     start = mark
     while start > floor and text[start - 1] in LETTERS:
         start -= 1
-    end, n = mark + 3, len(text)
     if text[start:mark].lower() not in SCHEMES:
         return None
-    while end < n and text[end] not in URL_END:
-        end += 1
-    while end > mark + 3 and text[end - 1] in ".,;:!?)]*":
-        end -= 1
-    host = text[mark + 3:end].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0].rpartition("@")[2].split(":", 1)[0]
-    return (start, end) if host == "localhost" or "." in host.strip(".") else None
+    end = ends.after(mark + 3)
+    # The host ends at the first of three signs; the next mark of the run holds one of them.
+    host = end
+    for sign in "/?#":
+        at = text.find(sign, mark + 3, host)
+        host = host if at < 0 else at
+    name = text[mark + 3:host].rpartition("@")[2].split(":", 1)[0]
+    return (start, end) if name == "localhost" or "." in name.strip(".") else None
 
 
 def mod97(code: str) -> bool:
@@ -164,6 +183,7 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[list[tuple[i
     email, ip, card, phone, url, account = found = [[] for _ in KINDS]
     runs: list[tuple[int, int]] = []
     run_start = run_end = -1
+    ends = UrlEnds(text)
     for last, (anchor, length) in automaton.iter(text):
         if anchor == "0":
             if last != run_end:
@@ -178,7 +198,7 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[list[tuple[i
             if span := expand_phone(text, last):
                 phone.append(span)
         elif anchor == "://":
-            if (floor := url[-1][1] if url else 0) <= last - 2 and (span := expand_url(text, last - 2, floor)):
+            if (floor := url[-1][1] if url else 0) <= last - 2 and (span := expand_url(text, last - 2, floor, ends)):
                 url.append(span)
         elif (floor := account[-1][1] if account else 0) <= last and (span := expand_account(text, last + 1)):
             if span[0] >= floor:
