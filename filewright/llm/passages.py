@@ -131,7 +131,7 @@ def distinct_segments(placed: DataFrame) -> DataFrame:
 
 def contents(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
     """(h, c, doc_id, words) of the placed segments, cut out of their texts."""
-    wanted = places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "windows", "h", "c")).alias("own"))
+    wanted = places.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "windows", "h", "c")).alias("own"))
     joined = docs.join(wanted, ["doc_id", "text_key"]).select("doc_id", "own", "text")
 
     def make():
@@ -157,7 +157,7 @@ def contents(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
 
 def split_windows(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
     """The placed segments dealt out as single windows, each hashed as a whole."""
-    wanted = places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "windows")).alias("own"))
+    wanted = places.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "windows")).alias("own"))
     joined = docs.join(wanted, ["doc_id", "text_key"]).select("doc_id", "text_key", "own", "text")
 
     def make():
@@ -266,7 +266,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _apply(rows: DataFrame, ranges: DataFrame, make_rows, schema: str, text: str) -> DataFrame:
-    own = ranges.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    own = ranges.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
     return map_texts(rows.join(own, ["doc_id", "text_key"], "left"), text, schema, make_rows)
 
 
