@@ -281,9 +281,10 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shingl
     # NULL ids come last.
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("text_key"))
     best = prints.groupBy("fp").agg(F.min(row).alias("row"))
-    kept = best.join(classes(prints, radius, blocks), "fp").groupBy("root").agg(F.min("row").alias("row")).select(
-        F.col("row.doc_id").alias("_doc_id"), F.col("row.text_key").alias("_text_key"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(docs["text"]) == F.col("_text_key"))
-    found = docs.join(kept, same)
-    turn = Window.partitionBy("_text_key", "_doc_id").orderBy("_text_key")
-    return found.withColumn("_turn", F.row_number().over(turn)).where("_turn = 1").select(*[found[c] for c in docs.columns])
+    kept = best.join(classes(prints, radius, blocks), "fp").groupBy("root").agg(F.min("row").alias("best")).select(
+        F.col("best.doc_id").alias("id"), F.col("best.text_key").alias("key"))
+    # The rows themselves lie in one column, so that their own columns may have any names.
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), docs["doc_id"].cast("long").alias("doc"), F.xxhash64(docs["text"]).alias("text_key"))
+    found = rows.join(kept, F.col("doc").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+    turn = Window.partitionBy("key", "id").orderBy("key")
+    return found.withColumn("turn", F.row_number().over(turn)).where("turn = 1").select("whole.*")

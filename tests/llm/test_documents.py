@@ -262,3 +262,23 @@ def test_benchmark_is_held_two_chunks_at_a_time(spark, monkeypatch):
     most.clear()
     assert [r.doc_id for r in decontaminate.keep_clean(docs, bench, chunk_words=20).collect()] == [5]
     assert max(most) <= 2
+
+
+@pytest.mark.parametrize("piece", ["http://1", "http://", "a@", "+1 ", "http://a?b", "IBAN ", "1.1.1.", "x.http://1:"])
+def test_a_megabyte_of_half_found_data_takes_linear_time(piece):
+    import time
+
+    automaton = pii.anchors()
+    seconds = []
+    for size in (1 << 17, 1 << 20):
+        begin = time.process_time()
+        pii.find_spans(piece * (size // len(piece)), automaton)
+        seconds.append(time.process_time() - begin)
+    assert seconds[1] < 24 * max(seconds[0], 0.02)
+
+
+def test_many_copies_of_a_row_cost_in_proportion(spark):
+    words = " ".join(f"w{i}" for i in range(80))
+    table = [(1, words), *[(2, words + " tail")] * 3000]
+    got = passages.remove(documents(spark, table)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 80, 0, 1), (2, 81, 80, 3000)]

@@ -118,3 +118,13 @@ def test_pipeline_takes_odd_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, DATA)
     assert empty.collect() == []
+
+
+def test_documents_keep_columns_of_any_name(spark):
+    from filewright.llm import simhash
+
+    names = ["_turn", "_text_key", "_doc_id", "turn", "key", "id", "doc", "whole", "root", "fp", "row"]
+    df = spark.createDataFrame([(1, "one two three four five", *range(11)), (2, "one two three four five", *range(11)), (3, "other words", *range(11))],
+                               "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
