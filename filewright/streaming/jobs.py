@@ -73,12 +73,13 @@ def worker_stats_stream(results: DataFrame) -> DataFrame:
         F.sum("duration_ms").alias("total_duration_ms"))
 
 
-def write_once(folder: str, on_batch: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+def write_once(
+    folder: str, on_batch: Callable[[DataFrame, int], None] | None = None, failures: list[tuple[int, str]] | None = None,
+) -> Callable[[DataFrame, int], None]:
     """Batch writer for ``foreachBatch`` that may safely run a batch again.
 
-    Each batch overwrites a folder of its own, so a replay after a failure
-    leaves the same rows. ``on_batch`` sees the batch afterwards; what it
-    raises is reported and does not stop the stream.
+    Each batch overwrites a folder of its own, so a replay after a failure leaves the same rows. ``on_batch`` sees the
+    batch afterwards; what it raises does not stop the stream and is added to ``failures`` as (batch, error).
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         path = f"{folder}/batch_id={batch_id}"
@@ -87,7 +88,8 @@ def write_once(folder: str, on_batch: Callable[[DataFrame, int], None] | None =
             try:
                 on_batch(batch.sparkSession.read.schema(batch.schema).parquet(path), batch_id)
             except Exception as exc:
-                print(f"on_batch failed for batch {batch_id}: {type(exc).__name__}: {exc}")
+                if failures is not None:
+                    failures.append((batch_id, f"{type(exc).__name__}: {exc}"))
 
     return write
 
