@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as X
@@ -10,12 +13,12 @@ from filewright import constants as C
 from filewright import profile, sinks
 from filewright.config import RetentionPolicy, Taxonomy, drift
 from filewright.functions import paths, replies as R, text as T, tokens, wire
-from filewright.functions.verdicts import accept, is_confident
+from filewright.functions.verdicts import accept, is_confident, verdict
 from filewright.operators import placement, policy, reconcile, routing, rules
-from filewright.plans import pipeline
+from filewright.plans import jobs, pipeline
 from filewright.session import cut_lineage, shared_path
-from filewright.sources import inventory, previews
-from filewright.streaming import classify_stream, latest, progress_stream, reconcile_stream, start, worker_stats_stream, write_once
+from filewright.sources import files, inventory, previews
+from filewright.streaming import KeyedTable, classify_stream, latest, progress_stream, reconcile_stream, start, worker_stats_stream, write_once
 
 TAXONOMY = Taxonomy()
 POLICY = RetentionPolicy.default()
@@ -50,6 +53,30 @@ def path_parts(spark, d):
         paths.dirname(F.col("path")).alias("folder"))
 
 
+def _on_disk(spark, d) -> tuple[DataFrame, str]:
+    """Documents written as files of a shared folder: some hidden, some with an underscore first, some in folders. And the folder."""
+    docs, folder = X.load(spark, d, "documents"), shared_path(spark)
+    name = X.fill(X.pick(["doc_{id}.txt", ".x_{id}", "_x_{id}.md", "sub/doc_{id}.txt", "sub/.deep/_{id}.log", "_sub/{id}.txt"], F.col("doc_id")), F.col("doc_id"))
+    files.write_texts(docs.select(name.alias("name"), "text"), folder).write.format("noop").mode("overwrite").save()
+    return docs, folder
+
+
+def _below(folder: str) -> Column:
+    return F.regexp_replace("path", rf"^.*/{folder.rsplit('/', 1)[1]}/", "")
+
+
+def inventory_on_disk(spark, d):
+    """A folder listed from disk."""
+    _, folder = _on_disk(spark, d)
+    return files.list_files(spark, folder, recursive=True).select(_below(folder).alias("name"), "size_bytes")
+
+
+def text_on_disk(spark, d):
+    """The first characters of files on disk, as far as a snippet needs them."""
+    _, folder = _on_disk(spark, d)
+    return files.read_text(spark, folder, recursive=True, chars=2 * CHARS).select(_below(folder).alias("name"), "text")
+
+
 # ------------------------------------------------------------------ rules
 
 
@@ -144,8 +171,7 @@ def paragraph_snippet(spark, d):
 def table_preview(spark, d):
     out = None
     for table, key in (("orders", "o_orderkey"), ("nation", "n_nationkey"), ("part", "p_partkey")):
-        columns = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus"], "part": ["p_partkey", "p_name", "p_size"]}.get(table)
-        df = previews.table_preview(X.load(spark, d, table), [key], columns).withColumn("table_name", F.lit(table))
+        df = previews.table_preview(X.load(spark, d, table), [key]).withColumn("table_name", F.lit(table))
         out = df if out is None else out.unionByName(df)
     return out
 
@@ -226,8 +252,8 @@ def scored_plan(spark, d):
     return pipeline.classify(X.files(spark, d), TAXONOMY, scorer=sample_scorer(X.ANSWERS)).select(*PLAN)
 
 
-def sample_scorer(answers: list[str]):
-    """Factory of a scorer that answers by the length of the text in the prompt."""
+def sample_scorer(answers: list[str], fails: int = 0):
+    """Factory of a scorer that answers by the length of the text in the prompt, and fails where ``fails`` divides it."""
     def factory():
         import json
 
@@ -235,6 +261,8 @@ def sample_scorer(answers: list[str]):
             out = []
             for prompt in prompts:
                 size = len(prompt.split("Start of its text: ", 1)[1].split("\n\nTrust clear markers", 1)[0])
+                if fails and size % fails == 0:
+                    raise ValueError("a prompt of this length cannot be scored")
                 reply = {"category": answers[size % len(answers)], "confidence": size % 101, "reason": f"length {size}"}
                 out.append(json.dumps(reply))
             return out
@@ -298,9 +326,12 @@ def progress_ticks(spark, d):
 def job_json_roundtrip(spark, d):
     j = X.jobs(spark, d)
     encoded = j.select(wire.encode_job(j).alias("job"))
+    part = lambda path, kind: F.try_variant_get("payload", path, kind)
     return wire.decode_jobs(encoded).select(
-        "job_id", "file_path", "route", F.col("payload")["props"].alias("props"), "attempts", "max_attempts",
-        F.unix_micros("enqueued_at").alias("enqueued_micros"))
+        "job_id", "file_path", "route", part("$.props", "string").alias("props"), part("$.n", "bigint").alias("n"),
+        part("$.x", "double").alias("x"), part("$.o.k[1]", "bigint").alias("k1"), part("$.even", "boolean").alias("even"),
+        F.schema_of_variant(part("$.o", "variant")).alias("o_schema"), F.is_variant_null(part("$.none", "variant")).alias("none_is_null"),
+        "attempts", "max_attempts", F.unix_micros("enqueued_at").alias("enqueued_micros"))
 
 
 def job_json_defaults(spark, d):
@@ -308,7 +339,7 @@ def job_json_defaults(spark, d):
     text = F.concat(F.lit('{"id":"'), F.col("event_id").cast("string"), F.lit('","file_path":"/f","route":"'), "event_type", F.lit('"}'))
     out = wire.decode_jobs(e.select(text.alias("job")), now=F.timestamp_seconds(F.lit(0)))
     return out.select(
-        "job_id", "file_path", "route", F.size("payload").alias("payload_size"), "attempts", "max_attempts",
+        "job_id", "file_path", "route", F.size(F.try_variant_get("payload", "$", "map<string,string>")).alias("payload_size"), "attempts", "max_attempts",
         F.unix_micros("enqueued_at").alias("enqueued_micros"))
 
 
@@ -412,11 +443,94 @@ def undo_plan(spark, d):
     return placement.undo_plan(log, listing).select("seq", "original", "new", "restored_to", "status")
 
 
+def export_bundle(spark, d):
+    """Files exported with their contents, read back."""
+    bundle, folder = export_plan(spark, d), shared_path(spark)
+    sinks.write_bundle(bundle, X.files(spark, d).select("seq", "text"), folder, "seq")
+    return sinks.read_bundle(spark, folder).select("seq", "path", "category", "dest", F.sha2("text", 256).alias("text_sha256"))
+
+
+def undo_twice(spark, d):
+    """A log of two runs taken back, and taken back again: the first undo has closed it."""
+    log, listing = _undo_input(spark, d)
+    folder = shared_path(spark)
+    for part in ("seq % 2 = 0", "seq % 2 <> 0"):
+        sinks.append_move_log(log.where(part), folder)
+    counts = [placement.undo_counts(jobs.undo(spark, folder, listing, apply=True, at="2024-01-02 00:00:00")).withColumn("round", F.lit(i)) for i in (1, 2)]
+    return counts[0].unionByName(counts[1])
+
+
 def undo_counts(spark, d):
     log, listing = _undo_input(spark, d)
     return placement.undo_counts(placement.undo_plan(log, listing))
 
 
+# ------------------------------------------------------- reports and hooks
+
+
+def taxonomy_report(spark, d):
+    """The taxonomy as a file has it, read back, with the files that each category got."""
+    plan = pipeline.category_counts(_plan(spark, d))
+    return _loaded_taxonomy().report(spark).join(plan, "category", "left").select(
+        "cat_idx", "category", "extensions", "keywords", F.coalesce("files", F.lit(0)).alias("files"))
+
+
+def _loaded_taxonomy() -> Taxonomy:
+    with tempfile.NamedTemporaryFile("w", suffix=".json", encoding="utf-8") as file:
+        json.dump({"categories": profile.CATEGORIES, "settings": profile.SETTINGS}, file)
+        file.flush()
+        return Taxonomy.load(file.name)
+
+
+def policy_report(spark, d):
+    """The policy as a file has it, read back: categories of each disposition, and how many files they hold."""
+    with tempfile.NamedTemporaryFile("w", suffix=".json", encoding="utf-8") as file:
+        json.dump({"dispositions": profile.DISPOSITIONS, "never_export": sorted(profile.NEVER_EXPORT)}, file)
+        file.flush()
+        loaded = RetentionPolicy.load(file.name)
+    held = policy.disposition_counts(_plan(spark, d), loaded).groupBy("disposition").agg(F.sum("files").alias("files"))
+    return loaded.report(spark).join(held, "disposition", "left").select(
+        "disposition", F.array_join("categories", ",").alias("categories"), F.array_join("barred", ",").alias("barred"), F.coalesce("files", F.lit(0)).alias("files"))
+
+
+def route_catalogue(spark, d):
+    """Routes in the order in which they are tried, their notes, and the files on each."""
+    held = routing.route_counts(_routed(spark, d))
+    return routing.describe(spark).join(held, "route", "left").select("position", "route", "note", F.coalesce("files", F.lit(0)).alias("files"))
+
+
+def failing_scorer_plan(spark, d):
+    """A scorer that fails on some prompts: those rows go on to the rules, the others keep the model's answer."""
+    return pipeline.classify(X.files(spark, d), TAXONOMY, scorer=sample_scorer(X.ANSWERS, fails=5)).select(*PLAN)
+
+
+def own_stage_plan(spark, d):
+    """A stage of one's own before the rules."""
+    def small(df: DataFrame, taxonomy: Taxonomy):
+        return df, F.when(F.col("size_bytes") < 20_000, verdict("Customer_Data", 70, "size", F.concat(F.lit("only "), F.col("size_bytes").cast("string"))))
+
+    return pipeline.classify(X.files(spark, d).select("seq", "path", "size_bytes"), TAXONOMY, [small, pipeline.RULES]).select(*PLAN)
+
+
+def observed_batches(spark, d):
+    """What an observer of a stream's batches saw: rows and failures in all, whatever the batches."""
+    results, seen = X.results(spark, d, gaps=False), []
+
+    def watch(batch: DataFrame, batch_id: int) -> None:
+        seen.append(batch.groupBy("route").agg(F.count("*").alias("rows"), F.count_if(F.col("error").isNotNull()).alias("errors")).collect())
+
+    start(_in_batches(results), write_once(shared_path(spark), watch), shared_path(spark)).awaitTermination()
+    rows = [(r.route, r.rows, r.errors) for batch in seen for r in batch]
+    return spark.createDataFrame(rows, "route string, rows long, errors long").groupBy("route").agg(
+        F.sum("rows").alias("rows"), F.sum("errors").alias("errors"))
+
+
+def sized_batches(spark, d):
+    """How many batches of at most a thousand jobs each route takes: at least one, at most forty."""
+    return X.jobs(spark, d).groupBy("route").agg(F.count("*").alias("jobs")).select(
+        "route", "jobs", F.least(F.lit(40), F.greatest(F.lit(1), F.ceil(F.col("jobs") / 1000))).cast("bigint").alias("batches"))
+
+
 # ---------------------------------------------------------------- streams
 
 
@@ -478,6 +592,24 @@ def stream_reconcile(spark, d):
     return _run(found)
 
 
+def keyed_sink(spark, d):
+    """Counters per worker as a keyed table: three batches, of which the last is written again as after a failure, and the
+    row of each worker as the last commit has it."""
+    results = X.results(spark, d, gaps=False)
+    stats = worker_stats_stream(_in_batches(results))
+    table = KeyedTable(spark, shared_path(spark), ["worker_id"], 4)
+    seen: list[tuple[DataFrame, int]] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept = cut_lineage(batch)
+        table.merge(kept, batch_id)
+        seen.append((kept, batch_id))
+
+    start(stats, write, shared_path(spark), "update").awaitTermination()
+    table.merge(*seen[-1])
+    return table.read().withColumn("total_duration_ms", F.round("total_duration_ms", 2))
+
+
 QUERIES = {f.__name__: f for f in (
     inventory_filtered, inventory_top_level, path_parts, tokenize_names, tokenize_parts, hc_match, keyword_match,
     junk_and_archives, rules_plan, category_counts, confident_files, text_snippet, snippet_redacted, redact_text,
@@ -487,6 +619,7 @@ QUERIES = {f.__name__: f for f in (
     merged_plan, prefilter_hits, job_verdicts, job_verdicts_batch_deadline, stray_results, orchestration_stats,
     worker_stats, route_backlog, progress_running, progress_ticks, job_json_roundtrip, job_json_defaults,
     result_json_roundtrip, make_jobs, elapsed_times, disposition_partition, disposition_counts, export_plan,
-    export_barred, manifest, review_list, policy_drift, move_plan, move_log, undo_plan, undo_counts, stream_classify, stream_reconcile,
-    stream_progress, stream_worker_stats,
+    export_barred, manifest, review_list, policy_drift, move_plan, move_log, undo_plan, undo_counts, export_bundle, undo_twice, inventory_on_disk, text_on_disk, stream_classify, stream_reconcile,
+    stream_progress, stream_worker_stats, keyed_sink,
+    taxonomy_report, policy_report, route_catalogue, failing_scorer_plan, own_stage_plan, observed_batches, sized_batches,
 )}

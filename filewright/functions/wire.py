@@ -45,6 +45,11 @@ def whole_number(value: Column) -> Column:
     return F.coalesce(F.when(~F.startswith(value, F.lit('"')), flag), number, whole).try_cast("int")
 
 
+def no_payload() -> Column:
+    """An empty object. Payloads are of any shape, so they are variants: numbers, texts, lists and NULLs stay what they are."""
+    return F.parse_json(F.lit("{}"))
+
+
 def encode_job(df: DataFrame) -> Column:
     return F.to_json(F.struct(
         df["job_id"].alias("id"), "file_path", "route", "payload", "attempts", "max_attempts",
@@ -67,7 +72,7 @@ def decode_jobs(df: DataFrame, column: str = "job", now: Column | None = None) -
         _needed(F.col("_j.id"), "id").alias("job_id"),
         _needed(F.col("_j.file_path"), "file_path").alias("file_path"),
         _needed(F.col("_j.route"), "route").alias("route"),
-        F.coalesce("_j.payload", F.create_map().cast("map<string,string>")).alias("payload"),
+        F.when(F.coalesce(F.schema_of_variant("_j.payload") != "VOID", F.lit(False)), F.col("_j.payload")).otherwise(no_payload()).alias("payload"),
         F.coalesce("_j.attempts", F.lit(0)).alias("attempts"),
         F.coalesce("_j.max_attempts", F.lit(C.MAX_ATTEMPTS)).alias("max_attempts"),
         F.coalesce(from_epoch(F.col("_j.enqueued_at")), now).alias("enqueued_at"),

@@ -9,16 +9,15 @@ from pyspark.sql import functions as F
 
 from filewright import constants as C
 from filewright.functions.verdicts import unknown, verdict
-from filewright.functions.wire import job_id
+from filewright.functions.wire import job_id, no_payload
 from filewright.operators.skew import running_total
 
 
 def make_jobs(routed: DataFrame, run_id: str, enqueued_at, payload: Column | None = None) -> DataFrame:
-    """One job per row of a scoring route."""
-    empty = F.create_map().cast("map<string,string>")
+    """One job per row of a scoring route; ``payload`` is a variant."""
     return routed.where(F.col("route") != C.ROUTE_NONE).select(
         job_id(F.lit(run_id), F.col("path")).alias("job_id"), F.col("path").alias("file_path"), "route",
-        (empty if payload is None else payload).alias("payload"),
+        (no_payload() if payload is None else payload).alias("payload"),
         F.lit(0).alias("attempts"), F.lit(C.MAX_ATTEMPTS).alias("max_attempts"),
         F.lit(enqueued_at).cast("timestamp").alias("enqueued_at"))
 

@@ -60,11 +60,18 @@ def apply_moves(moves: DataFrame, log_folder: str, run_id: str, moved_at) -> Non
     sinks.append_move_log(placement.move_log(moves, run_id, moved_at), log_folder)
 
 
-def undo(spark: SparkSession, log_folder: str, listing: DataFrame) -> DataFrame:
-    """Plan that takes back every logged move, of all runs, latest first."""
+def undo(spark: SparkSession, log_folder: str, listing: DataFrame, apply: bool = False, run_id: str = "undo", at=None) -> DataFrame:
+    """Plan that takes back every move logged since the last undo, of all runs, latest first.
+
+    With ``apply`` the log is closed, so that another undo finds nothing left to take back.
+    """
     log = sinks.read_move_log(spark, log_folder)
     later_first = cut_lineage(log.sort("moved_at", "run_id", "seq").withColumn("seq", F.monotonically_increasing_id()))
-    return placement.undo_plan(later_first, listing).orderBy(F.desc("seq"))
+    plan = placement.undo_plan(later_first, listing).orderBy(F.desc("seq"))
+    if apply:
+        plan = cut_lineage(plan).orderBy(F.desc("seq"))
+        sinks.close_move_log(spark, log_folder, run_id, F.current_timestamp() if at is None else at)
+    return plan
 
 
 @dataclass(frozen=True)
@@ -81,7 +88,7 @@ def offboard(
     existing: DataFrame | None = None, recursive: bool = False, apply: bool = False,
     stages: Sequence = pipeline.LOCAL, **model_options,
 ) -> Offboarded:
-    """Split files by the retention policy; written only with ``apply``.
+    """Split files by the retention policy; written only with ``apply``: the exported files with their contents, and the manifest.
 
     A policy that does not cover the taxonomy stops the job before any work.
     """
@@ -92,6 +99,8 @@ def offboard(
     export = placement.export_plan(plan, policy, destination, known)
     manifest = retention.manifest(plan, policy, apply)
     if apply:
-        sinks.write_by_category(export.where(F.col("status") == placement.EXPORTED), f"{destination.rstrip('/')}/export")
+        key = "seq" if "seq" in files.columns else "path"
+        contents = files.select(key, *[c for c in ("text", "content") if c in files.columns])
+        sinks.write_bundle(export, contents, f"{destination.rstrip('/')}/export", key)
         sinks.write_manifest(manifest, f"{destination.rstrip('/')}/manifest")
     return Offboarded(plan, retention.disposition_counts(plan, policy), export, manifest, retention.review_list(plan, policy))

@@ -21,7 +21,7 @@ JOB_JSON = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("file_path", T.StringType()),
     T.StructField("route", T.StringType()),
-    T.StructField("payload", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("payload", T.VariantType()),
     T.StructField("attempts", T.IntegerType()),
     T.StructField("max_attempts", T.IntegerType()),
     T.StructField("enqueued_at", T.DoubleType()),
@@ -46,7 +46,7 @@ JOBS = T.StructType([
     T.StructField("job_id", T.StringType()),
     T.StructField("file_path", T.StringType()),
     T.StructField("route", T.StringType()),
-    T.StructField("payload", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("payload", T.VariantType()),
     T.StructField("attempts", T.IntegerType()),
     T.StructField("max_attempts", T.IntegerType()),
     T.StructField("enqueued_at", T.TimestampType()),
@@ -70,4 +70,7 @@ MOVE_LOG = T.StructType([
     T.StructField("new", T.StringType()),
     T.StructField("category", T.StringType()),
     T.StructField("moved_at", T.TimestampType()),
+    # An undo closes a generation with one line; moves after it are of the next.
+    T.StructField("generation", T.LongType()),
+    T.StructField("closes", T.BooleanType()),
 ])

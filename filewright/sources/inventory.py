@@ -4,43 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filewright import constants as C
 from filewright.functions import paths
-
-
-def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """Paths and sizes below a folder; the content column is never read.
-
-    Spark's file listing leaves out names that start with a dot or underscore.
-    An inventory with such files has to come as a table.
-    """
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-        .select("path", "length", "modificationTime")
-    )
-    return found.select(
-        F.regexp_replace("path", r"\Afile:/+", "/").alias("path"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified_at"),
-    )
-
-
-def read_text(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """Path and whole text of UTF-8 files with newlines as one character; bytes that are no UTF-8 are dropped."""
-    raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-        .select("path", "length", "content")
-    )
-    text = F.col("content").cast("string")
-    # Bad bytes become U+FFFD; a text with both loses its real ones as well.
-    text = F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
-    # Readers of CSV see line breaks as they are.
-    text = F.when(F.endswith(F.lower("path"), F.lit(".csv")), text).otherwise(F.regexp_replace(text, r"\r\n?", "\n"))
-    return raw.select(
-        F.regexp_replace("path", r"\Afile:/+", "/").alias("path"), F.col("length").alias("size_bytes"), text.alias("text"))
+from filewright.sources.files import list_files, read_text  # noqa: F401
 
 
 def candidates(

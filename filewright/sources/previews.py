@@ -1,14 +1,9 @@
 """Text previews: pages, paragraphs, tables, CSV, and the snippet of any file."""
 
-import csv
-import io
 from collections.abc import Sequence
-from itertools import islice
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from filewright import constants as C
 from filewright.functions import text as X
@@ -64,30 +59,45 @@ def table_preview(df: DataFrame, order: Sequence[str], columns: Sequence[str] |
     return first.agg(format_preview(F.array(*[F.lit(c) for c in columns]), lines).alias("preview"))
 
 
-def _csv_reader(rows: int):
-    """UDF for the preview of CSV text. It carries all it needs, so that workers
-    run it without this package."""
+# One field and what ends it. A field that opens with a quote goes on to the closing one, and then to the next separator.
+CSV_FIELD = r'("[^"]*+(?:""[^"]*+)*+(?:"[^,\r\n]*+)?|[^,\r\n]*+)(,|\r\n?|\n|\z)'
+MARK = "\ufdd0"  # stands for two quotes while one is looked for; escaped where a text holds it
 
-    def preview(text):
-        try:
-            records = list(islice(csv.reader(io.StringIO(text, newline="")), rows + 1))
-        except csv.Error:
-            return ""
-        if not records:
-            return ""
-        lines = [", ".join(record) for record in records]
-        return "Columns: " + lines[0] + "\nData:\n" + "\n".join(lines[1:])
 
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(preview, na_action="ignore")
+def _unquoted(field: Column) -> Column:
+    """What a field says: without its quotes, doubled ones inside them being one."""
+    inner = F.replace(F.replace(F.substring(field, 2, 1 << 30), F.lit(MARK), F.lit(MARK + "a")), F.lit('""'), F.lit(MARK + "b"))
+    close = F.instr(inner, F.lit('"'))
+    inside = F.when(close == 0, inner).otherwise(F.left(inner, close - 1))
+    after = F.when(close == 0, F.lit("")).otherwise(F.substring(inner, close + 1, F.lit(1 << 30)))
 
-    return run
+    def plain(part: Column, quotes: str) -> Column:
+        return F.replace(F.replace(part, F.lit(MARK + "b"), F.lit(quotes)), F.lit(MARK + "a"), F.lit(MARK))
+
+    return F.when(F.startswith(field, F.lit('"')), F.concat(plain(inside, '"'), plain(after, '""'))).otherwise(field)
 
 
 def csv_preview(text: Column | str, rows: int = C.PREVIEW_ROWS) -> Column:
-    """Header and first rows of CSV text; quoted line breaks need a real reader."""
-    return _csv_reader(rows)(text)
+    """Header and first rows of CSV text, with line breaks in quotes; NULL for NULL, empty for empty.
+
+    Fields and what ends them are found by one pattern that never goes back; records are what lies between line ends.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    fields, ends = (F.regexp_extract_all(text, F.lit(CSV_FIELD), F.lit(i)) for i in (1, 2))
+    # Where a line ends; the text's own end counts, unless a line end stands before it.
+    last = F.filter(F.transform(ends, lambda e, i: F.when(e != ",", i)), lambda i: i.isNotNull())
+
+    def shown(parts: Column, lines: Column) -> Column:
+        def line(n: Column) -> Column:
+            first = F.when(n == 0, F.lit(0)).otherwise(F.get(lines, n - 1) + 1)
+            return F.array_join(F.transform(F.slice(parts, first + 1, F.get(lines, n) - first + 1), _unquoted), ", ")
+
+        # The pattern also finds nothing at the end of the text; it is a field only after a comma.
+        count = F.size(lines) - F.when(F.coalesce(F.get(lines, F.size(lines) - 2) == F.get(lines, F.size(lines) - 1) - 1, F.lit(False)), 1).otherwise(0)
+        taken = F.transform(F.slice(F.sequence(F.lit(0), F.size(lines)), 1, F.least(count, F.lit(rows + 1))), line)
+        return F.concat(F.lit("Columns: "), F.get(taken, F.lit(0)), F.lit("\nData:\n"), F.array_join(F.slice(taken, 2, max(1, rows)), "\n"))
+
+    return F.when(text == "", F.lit("")).otherwise(shown(fields, last))
 
 
 def has_text(max_chars: int, text: str = "text") -> Column:
@@ -104,13 +114,11 @@ def with_snippet(
     """Add ``snippet`` by extension; '' for what has no reader or no text.
 
     Paged and word-processor files carry their extracted text in the text
-    column (see ``page_text`` and ``paragraph_text``). CSV texts are read in a
-    Python worker, past which all rows go; ``csv_files=False`` keeps the plan free of it.
+    column (see ``page_text`` and ``paragraph_text``). Of a CSV text twice as many characters as the snippet has are
+    looked at, which any preview of that length is made from; ``csv_files=False`` leaves them out.
     """
     plain = F.col("ext").isin([*C.TEXT_EXTS, ".pdf", ".docx"])
     raw = F.when(plain, F.col(text))
     if csv_files:
-        files = files.withColumn("_csv", csv_preview(F.when(F.col("ext") == ".csv", F.col(text))))
-        raw = raw.when(F.col("ext") == ".csv", F.col("_csv"))
-    out = files.withColumn("snippet", X.snippet(raw, max_chars, order, redact_first))
-    return out.drop("_csv") if csv_files else out
+        raw = raw.when(F.col("ext") == ".csv", csv_preview(F.substring(text, 1, 2 * max_chars)))
+    return files.withColumn("snippet", X.snippet(raw, max_chars, order, redact_first))

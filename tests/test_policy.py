@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from filewright import profile, sinks
 from filewright.config import InconsistentPolicy, RetentionPolicy, Taxonomy, drift
-from filewright.operators import placement, policy
+from filewright.operators import placement, policy, skew
 from filewright.plans import jobs, pipeline
 from filewright.sources import inventory
 
@@ -172,3 +172,56 @@ def undone(spark, log, present):
 ])
 def test_undo_equals_one_by_one(spark, log, present):
     assert undone(spark, log, present) == one_by_one(log, present)
+
+
+def test_a_bundle_carries_contents_or_leaves_nothing(spark, tmp_path):
+    plan = spark.createDataFrame([(i, f"/r/{i}", "A" if i % 3 else "B", f"/b/{i}", "exported" if i else "skipped_never_export") for i in range(9)],
+                                 "seq long, path string, category string, dest string, status string")
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "seq long, text string")
+    folder = str(tmp_path / "out" / "export")
+    sinks.write_bundle(plan, texts, folder, "seq")
+    assert sorted((r.seq, r.text, r.category) for r in sinks.read_bundle(spark, folder).collect()) == [(i, f"text {i}", "A" if i % 3 else "B") for i in range(1, 9)]
+    with pytest.raises(FileExistsError):
+        sinks.write_bundle(plan, texts, folder, "seq")
+    failing = texts.withColumn("text", F.when(F.col("seq") == 5, F.raise_error(F.lit("unreadable"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="unreadable"):
+        sinks.write_bundle(plan, failing, str(tmp_path / "out" / "other"), "seq")
+    assert [p.name for p in (tmp_path / "out").iterdir() if not p.name.endswith(".crc")] == ["export"]
+
+
+def test_an_undo_closes_the_log(spark, tmp_path):
+    log = str(tmp_path / "log")
+    moves = spark.createDataFrame([(1, "/a/x", "/a/A/x", "A"), (2, "/a/y", "/a/A/y", "A")], "seq long, path string, dest string, category string")
+    present = spark.createDataFrame([("/a/A/x",), ("/a/A/y",)], "path string")
+    sinks.close_move_log(spark, log, "u0", "2024-01-01 00:00:00")  # there is no log yet
+    jobs.apply_moves(moves.where("seq = 1"), log, "r1", "2024-01-01 00:00:00")
+    jobs.apply_moves(moves.where("seq = 2"), log, "r2", "2024-01-01 00:00:01")
+    assert [r.status for r in jobs.undo(spark, log, present).collect()] == ["restored"] * 2  # a look changes nothing
+    assert [r.status for r in jobs.undo(spark, log, present, apply=True).collect()] == ["restored"] * 2
+    assert jobs.undo(spark, log, present, apply=True).collect() == []
+    jobs.apply_moves(moves, log, "r3", "2023-01-01 00:00:00")  # a later run, whatever its clock says
+    assert [r.original for r in jobs.undo(spark, log, present, apply=True).collect()] == ["/a/y", "/a/x"]
+    assert jobs.undo(spark, log, present).collect() == [] and sinks._log(spark, log).where("closes").count() == 2
+
+
+def test_a_long_chain_takes_few_tables_and_a_hot_place_many_parts(spark, monkeypatch):
+    """One file moved sixteen times and then gone; and a place through which a third of all files went."""
+    written = []
+    whole = placement.cut_lineage
+    monkeypatch.setattr(placement, "cut_lineage", lambda df: written.append(1) or whole(df))
+    monkeypatch.setattr(skew, "cut_lineage", lambda df: written.append(1) or whole(df))
+    chain = [(i, f"/c/{i}", f"/c/{i + 1}") for i in range(16)]
+    log = spark.createDataFrame([(s, a, b, "A") for s, a, b in chain], "seq long, original string, new string, category string")
+    nothing = spark.createDataFrame([], "path string")
+    steps = placement._steps(log, nothing)
+    assert len(written) <= 9 and steps.where("_found").count() == 0
+    there = spark.createDataFrame([("/c/16",)], "path string")
+    assert placement._steps(log, there).where("NOT _found").count() == 0
+    monkeypatch.setattr(skew, "ROWS_PER_PART", 50)
+    hot = [(i, "/inbox/scan.pdf", f"/A/scan_{i}.pdf") for i in range(300)] + [(1000 + i, f"/o/{i}", f"/A/{i}") for i in range(300)]
+    log = spark.createDataFrame([(s, a, b, "A") for s, a, b in hot], "seq long, original string, new string, category string")
+    there = log.where("seq % 4 <> 0").select(F.col("new").alias("path"))
+    got = {r.original + str(r.seq): (r.restored_to, r.status) for r in placement.undo_plan(log, there).collect()}
+    turn = [s for s in range(299, -1, -1) if s % 4]
+    want = {f"/inbox/scan.pdf{s}": ("/inbox/scan.pdf" if not i else f"/inbox/scan_restored_{i}.pdf", "restored") for i, s in enumerate(turn)}
+    assert {k: got[k] for k in want} == want and sum(v[1] == "missing" for v in got.values()) == 150

@@ -1,7 +1,9 @@
+import json
 import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantVal
 
 from filewright import schemas as S
 from filewright.functions import wire
@@ -15,7 +17,7 @@ def at(seconds):
 
 
 def jobs(spark, ids):
-    return spark.createDataFrame([(i, f"/f/{i}", "ai-small", {}, 0, 3, T0) for i in ids], S.JOBS)
+    return spark.createDataFrame([(i, f"/f/{i}", "ai-small", VariantVal.parseJson("{}"), 0, 3, T0) for i in ids], S.JOBS)
 
 
 def results(spark, rows):
@@ -83,11 +85,16 @@ def test_job_json(spark):
     j = jobs(spark, ["a"])
     text = j.select(wire.encode_job(j).alias("job"))
     back = wire.decode_jobs(text).first()
-    assert (back.job_id, back.route, back.payload, back.attempts, back.max_attempts, back.enqueued_at) == (
+    assert (back.job_id, back.route, back.payload.toPython(), back.attempts, back.max_attempts, back.enqueued_at) == (
         "a", "ai-small", {}, 0, 3, T0)
     short = spark.createDataFrame([('{"id":"1","file_path":"/x","route":"r","payload":null}',)], "job string")
     row = wire.decode_jobs(short).first()
-    assert (row.payload, row.attempts, row.max_attempts) == ({}, 0, 3) and row.enqueued_at is not None
+    assert (row.payload.toPython(), row.attempts, row.max_attempts) == ({}, 0, 3) and row.enqueued_at is not None
+    payload = '{"n": 1, "x": 2.5, "o": {"k": [1, 2, null]}, "s": "1", "b": true, "z": null}'
+    whole = spark.createDataFrame([(f'{{"id":"1","file_path":"/x","route":"r","payload":{payload}}}',)], "job string")
+    decoded = wire.decode_jobs(whole)
+    again = wire.decode_jobs(decoded.select(wire.encode_job(decoded).alias("job"))).first()
+    assert json.loads(again.payload.toJson()) == json.loads(payload)
     with pytest.raises(Exception, match="required field is missing: route"):
         wire.decode_jobs(spark.createDataFrame([('{"id":"1","file_path":"/x"}',)], "job string")).collect()
 

@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.types import VariantVal
 
 from checks import fixtures as X
 from checks import queries
@@ -16,6 +17,7 @@ from filewright.streaming import (
 from tests.conftest import DATA
 
 TAXONOMY = Taxonomy()
+NONE = VariantVal.parseJson("{}")
 
 
 def as_stream(spark, df, folder):
@@ -44,7 +46,7 @@ def test_reconcile_fills_timeouts_and_drops_repeats(spark, tmp_path):
     jobs, results = X.jobs(spark, DATA), X.results(spark, DATA).drop("result_seq")
     # One late pair moves both watermarks past every real deadline.
     late = dt.datetime(2030, 1, 1)
-    end_job = spark.createDataFrame([("end", "/f", "r", {}, 0, 3, late)], S.JOBS)
+    end_job = spark.createDataFrame([("end", "/f", "r", NONE, 0, 3, late)], S.JOBS)
     end_result = spark.createDataFrame([("end", "/f", "r", "w", 1.0, ("Medical_Health", 1, "m", "r"), None, late)], S.RESULTS)
     stream = reconcile_stream(
         as_stream(spark, jobs.unionByName(end_job), str(tmp_path / "jobs")),
@@ -58,7 +60,7 @@ def test_reconcile_fills_timeouts_and_drops_repeats(spark, tmp_path):
 def test_reconcile_takes_the_first_of_repeats_in_any_order(spark, tmp_path):
     at = lambda second: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=second)
     end = dt.datetime(2100, 1, 1)
-    job = lambda name, time: (name, f"/{name}", "r", {}, 0, 3, time)
+    job = lambda name, time: (name, f"/{name}", "r", NONE, 0, 3, time)
     result = lambda name, reason, time, seq: (name, f"/{name}", "r", "w", 1.0, ("Medical_Health", 90, "m", reason), None, time, seq)
     numbered = T.StructType([*S.RESULTS.fields, T.StructField("result_seq", T.LongType())])
     # The later result arrives first in the same batch (a, c by number) or a batch earlier (b); d is too late, e has none.
@@ -89,7 +91,7 @@ def test_reconcile_reports_a_job_when_its_result_is_there(spark, tmp_path):
     at = lambda second: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=second)
     result = lambda name, reason, time: (name, f"/{name}", "r", "w", 1.0, ("Medical_Health", 90, "m", reason), None, time)
     batches = [[result("a", "second", at(20))], [result("a", "first", at(15))], [result("x", "clock", at(90))], [result("x", "clock", at(95))]]
-    jobs = [[("a", "/a", "r", {}, 0, 3, at(0)), ("b", "/b", "r", {}, 0, 3, at(1))], [("c", "/c", "r", {}, 0, 3, at(100))]]
+    jobs = [[("a", "/a", "r", NONE, 0, 3, at(0)), ("b", "/b", "r", NONE, 0, 3, at(1))], [("c", "/c", "r", NONE, 0, 3, at(100))]]
     for kind, schema, folder in ((batches, S.RESULTS, "results"), (jobs, S.JOBS, "jobs")):
         for batch in kind:
             spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / folder))
@@ -138,10 +140,12 @@ def test_a_replayed_batch_leaves_the_same_rows(spark, tmp_path):
         calls.append((batch_id, batch.count()))
         raise RuntimeError("observers must not stop the stream")
 
-    write = write_once(str(tmp_path / "out"), observe)
+    failures = []
+    write = write_once(str(tmp_path / "out"), observe, failures)
     batch = spark.range(5)
     write(batch, 0)
     write(batch, 0)
     write(batch, 1)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
     assert calls == [(0, 5), (0, 5), (1, 5)]
+    assert failures == [(i, "RuntimeError: observers must not stop the stream") for i in (0, 0, 1)]
