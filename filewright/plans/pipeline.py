@@ -36,8 +36,19 @@ def stages_for(route: str) -> tuple[str, ...]:
     return STAGES_BY_ROUTE[route]
 
 
+NAMED = ("name", "ext", "flat")
+VERDICT_NAMES = ("category", "confidence", "method", "reason")
+
+
 def _prepare(files: DataFrame) -> DataFrame:
-    return files if "flat" in files.columns else rules.with_names(files)
+    """``files`` with ``NAMED``. One that has all three brings them on purpose; otherwise its own columns of these names are
+    put aside and come out again as they were. Columns with names of a verdict are refused."""
+    clash = [c for c in VERDICT_NAMES if c in files.columns]
+    if clash:
+        raise ValueError(f"a plan adds columns of these names, rename them first: {', '.join(clash)}")
+    if set(NAMED) <= set(files.columns):
+        return files
+    return rules.with_names(files.withColumns({f"_own_{c}": F.col(c) for c in NAMED if c in files.columns}))
 
 
 def with_model(
@@ -115,7 +126,8 @@ def _settled(verdicts: Sequence[Column]) -> Column | None:
 
 
 def _flatten(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(c) for c in columns], "_verdict.*")
+    own = [F.col(f"_own_{c}").alias(c) if f"_own_{c}" in df.columns else F.col(c) for c in columns]
+    return df.select(*own, "_verdict.*")
 
 
 def prefilter(files: DataFrame, taxonomy: Taxonomy) -> DataFrame:

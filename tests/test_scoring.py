@@ -227,3 +227,16 @@ def test_each_file_is_scored_once(spark, tmp_path):
     done = jobs.sort(listing, "/in", TAXONOMY, scorer=factory)
     assert done.summary.collect()[0].files == 40 and done.moves.count() == 40
     assert scored.value == 40
+
+
+def test_columns_of_the_inventory_come_out_as_they_were(spark):
+    df = files(spark, ["clinic visit.pdf", "x.bin"])
+    for extra in (["flat"], ["ext", "name"], ["flat", "name", "note"]):
+        own = df.withColumns({c: F.lit(f"own {c}") for c in extra})
+        for run in (lambda d: pipeline.classify(d, TAXONOMY, pipeline.RULES_ONLY), lambda d: pipeline.routed(d, TAXONOMY), lambda d: pipeline.prefilter(d, TAXONOMY)):
+            plan = run(own)
+            assert [c for c in plan.columns if c != "route"] == [*own.columns, "category", "confidence", "method", "reason"]
+            assert {tuple(r[c] for c in extra) for r in plan.collect()} == {tuple(f"own {c}" for c in extra)}
+            assert {r.path: r.category for r in plan.collect()}["/in/clinic visit.pdf"] == "Medical_Health"
+    with pytest.raises(ValueError, match="rename them first: category"):
+        pipeline.classify(df.withColumn("category", F.lit("x")), TAXONOMY)
