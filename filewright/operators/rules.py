@@ -112,7 +112,8 @@ def with_keyword(
     """
     hits = [index.first_hit(F.col("flat"), F.col("ext")) for index in indexes(taxonomy, at_once)]
     hit = F.coalesce(*hits) if hits else F.lit(None).cast("struct<category:string,keyword:string>")
-    found = df.withColumn("_hit", hit if where is None else F.when(where, hit))
+    # Out of an array, so that no filter on the verdict is pushed below the look-up and repeats it.
+    found = df.select("*", F.explode(F.array(hit if where is None else F.when(where, hit))).alias("_hit"))
     reason = F.concat(F.lit("Matched '"), F.col("_hit.keyword"), F.lit("' in filename"))
     return found.withColumn(out, F.when(F.col("_hit").isNotNull(), verdict(
         F.col("_hit.category"), C.CONFIDENCE_KEYWORD, C.METHOD_RULES, reason))).drop("_hit")
