@@ -10,7 +10,6 @@ import io
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 LISTING = "path string, size_bytes long, modified_at timestamp"
