@@ -44,12 +44,12 @@ PERCENT = 85
 SHINGLE = 4
 CLASS_RATIO = 0.85  # of the smallest to the largest size of one class of sizes
 SPARE_BUCKETS = 0.25  # beyond K + 1, for the emptiest to be dropped
-KEYS_AT_ONCE = 1 << 20  # joined within a task
+KEYS_AT_ONCE = 1 << 18  # joined within a task
 FILTER_BITS = 1 << 26  # of the filter that holds back sets without candidates: 8 MB
 BLOCK_ELEMENTS = 1 << 20  # of a block of sets, 8 MB
 FAN, LEAVES = 16, 64  # children of a node, of a lowest one
 WORDS_AT_ONCE = 1 << 19  # of bitmaps compared at once
-TREE_BITS = 1 << 28  # of a block's bitmaps, 32 MB
+TREE_BITS = 1 << 27  # of a block's bitmaps, 16 MB
 BLOCK_BITS = 1 << 12  # of a block's own bitmap
 U = np.uint64
 
