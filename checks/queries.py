@@ -550,13 +550,15 @@ def _in_batches(df: DataFrame, batches: int = 3) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def _in_time(df: DataFrame, time: str, ends: list, files: int = 4) -> DataFrame:
-    """A stream over ``df`` as batches of ``files`` files in order of ``time``, cut at ``ends``."""
+def _in_time(df: DataFrame, time: str, ends: list, files: int = 4, clock: DataFrame | None = None) -> DataFrame:
+    """A stream over ``df`` as batches of ``files`` files in order of ``time``, cut at ``ends``. The row ``clock`` comes after them."""
     path = shared_path(df.sparkSession)
     for start_at, end_at in zip([None, *ends], [*ends, None]):
         part = df if start_at is None else df.where(F.col(time) >= F.lit(start_at))
         part = part if end_at is None else part.where(F.col(time) < F.lit(end_at))
         part.repartition(files).write.mode("append").parquet(path)
+    if clock is not None:
+        clock.select(*[(F.col(f.name) if f.name in clock.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema]).write.mode("append").parquet(path)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
@@ -583,12 +585,16 @@ def stream_worker_stats(spark, d):
 
 
 def stream_reconcile(spark, d):
-    """First results of jobs, and timeouts of those without, as far as the watermark comes: jobs and results arrive in order
-    of time, in four batches, and are late after five minutes."""
+    """First results of jobs, and timeouts of those without: jobs and results arrive in order of time, in four batches, and are
+    late after five minutes. A last pair, later than every deadline, moves the watermark past all of them; it stays open itself."""
     jobs, results = X.jobs(spark, d), X.results(spark, d)
+    last = jobs.agg(F.max("enqueued_at") + F.make_interval(secs=F.lit(C.RUN_TIMEOUT_SECONDS))).unionAll(results.agg(F.max("done_at"))).toDF("at")
+    at = (F.max("at") + F.expr("INTERVAL 6 MINUTES")).alias("at")
+    clock = last.agg(at).where("at IS NOT NULL").select(F.lit("clock").alias("job_id"), F.col("at").alias("enqueued_at"), F.col("at").alias("done_at"))
     ends = _quarters(jobs, "enqueued_at")
     found = reconcile_stream(
-        _in_time(jobs, "enqueued_at", ends), _in_time(results, "done_at", ends), C.RUN_TIMEOUT_SECONDS, "5 minutes", "5 minutes")
+        _in_time(jobs, "enqueued_at", ends, clock=clock), _in_time(results, "done_at", ends, clock=clock),
+        C.RUN_TIMEOUT_SECONDS, "5 minutes", "5 minutes")
     return _run(found)
 
 

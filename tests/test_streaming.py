@@ -113,6 +113,13 @@ def test_reconcile_query_streams_repeats_and_strays(spark, monkeypatch):
     assert fed == {"result_seq": X.results(spark, DATA).count(), "job": X.jobs(spark, DATA).count()}
 
 
+def test_reconcile_query_gives_a_verdict_for_every_job(spark):
+    """Also for the last ones, whose deadline no other row of the tables would bring the watermark past."""
+    jobs, results = X.jobs(spark, DATA), X.results(spark, DATA)
+    want = reconcile.job_verdicts(jobs, results, F.col("enqueued_at") + F.expr("INTERVAL 900 SECONDS"))
+    assert rows(queries.stream_reconcile(spark, DATA)) == rows(want)
+
+
 def test_progress_and_worker_stats_equal_batch(spark, tmp_path):
     results = X.results(spark, DATA)
     stream = as_stream(spark, results, str(tmp_path / "in"))
