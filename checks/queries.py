@@ -177,7 +177,9 @@ def table_preview(spark, d):
 
 
 def csv_preview(spark, d):
-    return X.csv_files(spark, d).select("seq", previews.csv_preview("text").alias("preview"))
+    # A part's row is short, its preview is not: one small file is dealt to all cores before the work.
+    spread = X.csv_files(spark, d).repartition(spark.sparkContext.defaultParallelism * 3)
+    return spread.select("seq", previews.csv_preview("text").alias("preview"))
 
 
 # ---------------------------------------------------------------- routing

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from filewright import constants as C
 from filewright.functions import text as X
+from filewright.functions.binding import let
 
 
 def page_text(
@@ -60,44 +61,56 @@ def table_preview(df: DataFrame, order: Sequence[str], columns: Sequence[str] |
 
 
 # One field and what ends it. A field that opens with a quote goes on to the closing one, and then to the next separator.
-CSV_FIELD = r'("[^"]*+(?:""[^"]*+)*+(?:"[^,\r\n]*+)?|[^,\r\n]*+)(,|\r\n?|\n|\z)'
+CSV_VALUE = r'(?>"[^"]*+(?:""[^"]*+)*+(?:"[^,\r\n]*+)?+|[^,\r\n]*+)'
+CSV_FIELD = rf"({CSV_VALUE})(,|\r\n?|\n|\z)"
+# So many first records, or all, with their line ends.
+CSV_RECORDS = rf"^(?:(?:{CSV_VALUE},)*+{CSV_VALUE}(?:\r\n?+|\n|\z)){{0,%d}}+"
 MARK = "\ufdd0"  # stands for two quotes while one is looked for; escaped where a text holds it
 
 
 def _unquoted(field: Column) -> Column:
     """What a field says: without its quotes, doubled ones inside them being one."""
-    inner = F.replace(F.replace(F.substring(field, 2, 1 << 30), F.lit(MARK), F.lit(MARK + "a")), F.lit('""'), F.lit(MARK + "b"))
-    close = F.instr(inner, F.lit('"'))
-    inside = F.when(close == 0, inner).otherwise(F.left(inner, close - 1))
-    after = F.when(close == 0, F.lit("")).otherwise(F.substring(inner, close + 1, F.lit(1 << 30)))
+    marked = F.replace(F.replace(F.substring(field, 2, 1 << 30), F.lit(MARK), F.lit(MARK + "a")), F.lit('""'), F.lit(MARK + "b"))
 
     def plain(part: Column, quotes: str) -> Column:
         return F.replace(F.replace(part, F.lit(MARK + "b"), F.lit(quotes)), F.lit(MARK + "a"), F.lit(MARK))
 
-    return F.when(F.startswith(field, F.lit('"')), F.concat(plain(inside, '"'), plain(after, '""'))).otherwise(field)
+    def said(inner: Column) -> Column:
+        close = F.instr(inner, F.lit('"'))
+        return F.when(close == 0, plain(inner, '"')).otherwise(
+            F.concat(plain(F.left(inner, close - 1), '"'), plain(F.substring(inner, close + 1, F.lit(1 << 30)), '""')))
+
+    return F.when(F.startswith(field, F.lit('"')), let(marked, said)).otherwise(field)
 
 
 def csv_preview(text: Column | str, rows: int = C.PREVIEW_ROWS) -> Column:
     """Header and first rows of CSV text, with line breaks in quotes; NULL for NULL, empty for empty.
 
-    Fields and what ends them are found by one pattern that never goes back; records are what lies between line ends.
+    Fields and what ends them are found by one pattern that never goes back; records are what lies between line ends. What is
+    used more than once is bound, so each text is cut once whatever the number of its fields.
     """
     text = F.col(text) if isinstance(text, str) else text
-    fields, ends = (F.regexp_extract_all(text, F.lit(CSV_FIELD), F.lit(i)) for i in (1, 2))
-    # Where a line ends; the text's own end counts, unless a line end stands before it.
-    last = F.filter(F.transform(ends, lambda e, i: F.when(e != ",", i)), lambda i: i.isNotNull())
+    # The records to show, found from the start: what comes behind them is not split into fields.
+    top = F.regexp_extract(text, CSV_RECORDS % (rows + 1), 0)
 
-    def shown(parts: Column, lines: Column) -> Column:
-        def line(n: Column) -> Column:
-            first = F.when(n == 0, F.lit(0)).otherwise(F.get(lines, n - 1) + 1)
-            return F.array_join(F.transform(F.slice(parts, first + 1, F.get(lines, n) - first + 1), _unquoted), ", ")
+    def line(parts: Column, lines: Column, n: Column) -> Column:
+        first = F.when(n == 0, F.lit(0)).otherwise(F.get(lines, n - 1) + 1)
+        return F.array_join(F.transform(F.slice(parts, first + 1, F.get(lines, n) - first + 1), _unquoted), ", ")
 
+    def shown(parts: Column, lines: Column) -> Column:
         # The pattern also finds nothing at the end of the text; it is a field only after a comma.
         count = F.size(lines) - F.when(F.coalesce(F.get(lines, F.size(lines) - 2) == F.get(lines, F.size(lines) - 1) - 1, F.lit(False)), 1).otherwise(0)
-        taken = F.transform(F.slice(F.sequence(F.lit(0), F.size(lines)), 1, F.least(count, F.lit(rows + 1))), line)
-        return F.concat(F.lit("Columns: "), F.get(taken, F.lit(0)), F.lit("\nData:\n"), F.array_join(F.slice(taken, 2, max(1, rows)), "\n"))
+        numbers = F.slice(F.sequence(F.lit(0), F.size(lines)), 1, F.least(count, F.lit(rows + 1)))
+        return let(F.transform(numbers, lambda n: line(parts, lines, n)), lambda taken: F.concat(
+            F.lit("Columns: "), F.get(taken, F.lit(0)), F.lit("\nData:\n"), F.array_join(F.slice(taken, 2, max(1, rows)), "\n")))
+
+    def cut(t: Column) -> Column:
+        parts, ends = (F.regexp_extract_all(t, F.lit(CSV_FIELD), F.lit(i)) for i in (1, 2))
+        # Where a line ends; the text's own end counts, unless a line end stands before it.
+        last = F.filter(F.transform(ends, lambda e, i: F.when(e != ",", i)), lambda i: i.isNotNull())
+        return let(parts, lambda p: let(last, lambda at: shown(p, at)))
 
-    return F.when(text == "", F.lit("")).otherwise(shown(fields, last))
+    return F.when(text == "", F.lit("")).when(text.isNotNull(), let(top, cut))
 
 
 def has_text(max_chars: int, text: str = "text") -> Column:
