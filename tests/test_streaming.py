@@ -108,6 +108,23 @@ def test_reconcile_reports_a_job_when_its_result_is_there(spark, tmp_path):
     assert [(r.job_id, r.reason) for r in got.collect()] == [("a", "first")]
 
 
+def test_reconcile_keeps_state_by_groups_of_jobs(spark, tmp_path):
+    """Calls to the state store grow with groups, not with jobs; groups of any number give the same verdicts."""
+    jobs, results = X.jobs(spark, DATA), X.results(spark, DATA)
+    want = reconcile.job_verdicts(jobs, results, F.col("enqueued_at") + F.expr("INTERVAL 900 SECONDS"))
+    late = dt.datetime(2030, 1, 1)
+    end_job = spark.createDataFrame([("end", "/f", "r", NONE, 0, 3, late)], S.JOBS)
+    end_result = spark.createDataFrame([("end", "/f", "r", "w", 1.0, None, None, late, 0)], T.StructType([*S.RESULTS.fields, T.StructField("result_seq", T.LongType())]))
+    none = (results.limit(1).withColumns({"job_id": F.lit(None).cast("string")}), results.limit(1).withColumn("done_at", F.lit(None).cast("timestamp")))
+    stream = reconcile_stream(
+        as_stream(spark, jobs.unionByName(end_job), str(tmp_path / "jobs")),
+        as_stream(spark, results.unionByName(end_result).unionByName(none[0]).unionByName(none[1]), str(tmp_path / "results")), 900, groups=3)
+    query = start(stream, write_once(str(tmp_path / "out")), str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out")).drop("batch_id")) == rows(want)
+    assert 0 < max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 3
+
+
 def test_reconcile_query_streams_repeats_and_strays(spark, monkeypatch):
     fed = {}
     whole = queries._in_time
