@@ -8,8 +8,8 @@ K = (100 - PERCENT)(a + b) / (100 + PERCENT) elements.
    in common, element for element. Each set keeps its K + 1 fullest non-empty buckets: of the buckets two linked sets have in
    common, the fullest is among those of both, since neither drops more than it has beyond K (a set with no more than K non-empty
    buckets also gets a key that it shares with all such sets of its size). Full buckets hardly ever agree by a common line alone. A key is a hash
-   of a bucket's elements. Equal keys are joined to their smallest class within a task before they are shuffled, so a key sends
-   one row a task. Classes that keys connect form a cluster.
+   of a bucket's elements. What equal keys connect within a task is joined to its smallest class before it is shuffled, so a key sends
+   one row a task, and again where equal keys of all tasks meet. Classes that keys connect form a cluster.
 3. The sets of classes in clusters, and of no others, go to their cluster, dealt out in blocks of bounded size. A block
    builds a signature tree: a leaf holds a bitmap of a set's elements and its size, a node the OR of the bitmaps below and
    the range of sizes. Pairs of nodes are followed downwards from the root with itself; a pair is left when its sizes are too far
@@ -18,9 +18,11 @@ K = (100 - PERCENT)(a + b) / (100 + PERCENT) elements.
 4. Blocks of one cluster meet by the same rule: a tree over the blocks' own signatures yields the pairs of blocks that may hold
    links. Neighbours are compared first; of the other pairs, those go that are connected throughout by then.
 
-Links connect what the results need and no more; components follow from them. Letters A-Z are lowered, words are runs without
-ASCII white space, fewer than ``SHINGLE`` words make one shingle. NULL texts and texts without words have an empty set, which is
-linked with nothing, not even its like. Component ids are the smallest id, NULL ids last; rows that repeat an id are rows of their
+Links connect what the results need and no more; components follow from them. A task that finds links gives each set they connect
+with the smallest one, never in chains, which cost rounds over all links; where no cluster has several blocks, these are the
+components already. Letters A-Z are lowered, words are runs without ASCII white space, fewer than ``SHINGLE`` words make one
+shingle. NULL texts and texts without words have an empty set, which is linked with nothing, not even its like. Component ids are
+the smallest id, NULL ids last; rows that repeat an id are rows of their
 own; other columns are not looked at; an empty table gives no rows. Elements are hashes of 64 bits. Texts of any length are taken
 whole: a set larger than a block is a block of its own.
 """
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filewright.llm.common import LOWER, map_texts
-from filewright.llm.simhash import components
+from filewright.llm.simhash import Forest, components
 from filewright.operators.skew import running_total
 from filewright.session import cut_lineage
 
@@ -131,19 +133,32 @@ def described(docs: DataFrame, percent: int, size: int) -> DataFrame:
     return map_texts(rows, "text", "doc_id long, cls long, n long, keys array<long>", make)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of what pairs connect: each class but the smallest ones, and the smallest class it is connected with."""
+    both, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    forest = Forest(len(both))
+    forest.join(at[:len(a)], at[len(a):])
+    other = forest.root != np.arange(len(both))
+    return both[forest.root[other]], both[other]
+
+
 def joined(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows of key and class: each key with its smallest class, and the distinct pairs of that class with the others."""
+    """Of rows of key and class: each key with the smallest class it is connected with, and each other class with its smallest one."""
     order = np.lexsort((cls, key))
     key, cls = key[order], cls[order]
     first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
     least = cls[first][np.cumsum(first) - 1] if len(key) else cls
     other = cls != least
-    pairs = np.unique(np.column_stack([least[other], cls[other]]), axis=0)
-    return key[first], cls[first], pairs[:, 0], pairs[:, 1]
+    key, own = key[first], cls[first]
+    a, b = stars(least[other], cls[other])
+    if len(b):
+        at = np.minimum(np.searchsorted(b, own), len(b) - 1)
+        own = np.where(b[at] == own, a[at], own)
+    return key, own, a, b
 
 
 def candidates(described: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes, a < b, that connect all classes which share a key."""
+    """Pairs (a, b) of classes, a < b, that connect all classes which share a key; different tasks may give the same pair."""
 
     def reduce(batches):
         """One row for each key, and for each pair two rows of a key of its own."""
@@ -169,20 +184,27 @@ def candidates(described: DataFrame) -> DataFrame:
     def meet(batches):
         import pyarrow.compute  # noqa: F401
 
-        last = None  # key and smallest class of the group that may go on
+        rows, classes, held = [], [], 0
+
+        def flush():
+            """Pairs of what is held; of that only the last key, whose group may go on, is kept."""
+            nonlocal rows, classes, held
+            key, least, a, b = joined(np.concatenate(rows), np.concatenate(classes))
+            rows, classes, held = [key[-1:]], [least[-1:]], 1
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
         for batch in batches:
-            key, cls = (batch.column(i).to_numpy() for i in range(2))
-            if not len(key):
-                continue
-            if last is not None:
-                key, cls = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], cls])
-            _, _, a, b = joined(key, cls)
-            last = (key[-1], cls[key == key[-1]].min())
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            if batch.num_rows:
+                rows.append(batch.column(0).to_numpy())
+                classes.append(batch.column(1).to_numpy())
+                held += batch.num_rows
+                if held >= KEYS_AT_ONCE:
+                    yield flush()
+        if held:
+            yield flush()
 
     few = described.where(F.col("cls").isNotNull()).select("cls", "keys").mapInArrow(reduce, "key long, cls long")
-    return few.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(meet, "a long, b long").distinct()
+    return few.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(meet, "a long, b long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -328,15 +350,21 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 class Links:
-    """Verified links between sets, only those that connect something new."""
+    """Verified links between sets: ``labels`` say what they connect so far."""
 
-    def __init__(self, sets: list[np.ndarray], labels: np.ndarray, percent: int) -> None:
-        self.sets, self.labels, self.percent, self.found = sets, labels, percent, []
+    def __init__(self, sets: list[np.ndarray], labels: list[int], percent: int) -> None:
+        self.sets, self.percent = sets, percent
+        self.first, self.labels = np.array(labels, np.int64), np.array(labels, np.int64)
 
     def visit(self, i: int, j: int) -> None:
         if self.labels[i] != self.labels[j] and linked(self.sets[i], self.sets[j], self.percent):
             self.labels[self.labels == self.labels[j]] = self.labels[i]
-            self.found.append((i, j))
+
+    def rows(self) -> pa.RecordBatch:
+        """Each label that links have joined to others, with the smallest of those."""
+        new = self.first != self.labels
+        a, b = stars(self.first[new], self.labels[new])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def by_likeness(sets: list[np.ndarray]) -> list[int]:
@@ -358,12 +386,6 @@ def groups(batches, keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
         yield at, held
 
 
-def link_rows(classes: list[int], links: Links) -> pa.RecordBatch:
-    a = np.array([classes[i] for i, _ in links.found], np.int64)
-    b = np.array([classes[j] for _, j in links.found], np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-
 def members(rows: list[tuple]) -> tuple[list[int], list[np.ndarray], list]:
     """Classes, sets and labels of a block's rows (class, elements, label), in the order of a tree; repeated rows count once."""
     once = list({r[0]: r for r in rows}.values())
@@ -373,17 +395,16 @@ def members(rows: list[tuple]) -> tuple[list[int], list[np.ndarray], list]:
 
 
 def links_in_blocks(placed: DataFrame, percent: int) -> DataFrame:
-    """Links within each block of (root, block, cls, elements)."""
+    """Links within each block of (root, block, cls, elements): each class with the smallest that links of the block reach."""
 
     def run(batches):
         for _, rows in groups(batches, 2):
             if len(rows) > 1:
                 classes, sets, _ = members([(*r, None) for r in rows])
-                links = Links(sets, np.arange(len(sets)), percent)
+                links = Links(sets, classes, percent)
                 tree = tree_of(sets, bits_for(sets))
                 traverse(tree, tree, percent, links.visit, links.labels)
-                if links.found:
-                    yield link_rows(classes, links)
+                yield links.rows()
 
     dealt = placed.select("root", "block", "cls", "elements").repartition("root", "block").sortWithinPartitions("root", "block")
     return dealt.mapInArrow(run, "a long, b long")
@@ -415,7 +436,7 @@ def block_pairs(placed: DataFrame, percent: int) -> DataFrame:
 
 
 def links_across(placed: DataFrame, pairs: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links between the blocks of each pair, where their sets are not all connected by ``links`` already."""
+    """Links between the blocks of each pair, where their sets are not all connected by ``links`` already; as pairs of roots by ``links``."""
     label = components(links).select(F.col("fp").alias("cls"), F.col("root").alias("label"))
     known = cut_lineage(placed.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")))
     whole = known.groupBy("root", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
@@ -426,13 +447,12 @@ def links_across(placed: DataFrame, pairs: DataFrame, links: DataFrame, percent:
     def run(batches):
         for (_, x, y), rows in groups(batches, 3):
             parts = [members([r[1:] for r in rows if r[0] == b]) for b in (x, y)]
-            classes, sets, labels = (parts[0][k] + parts[1][k] for k in range(3))
-            found = Links(sets, np.array(labels), percent)
+            sets, labels = (parts[0][k] + parts[1][k] for k in (1, 2))
+            found = Links(sets, labels, percent)
             bits = bits_for(sets)
             one = tree_of(parts[0][1], bits)
             traverse(one, tree_of(parts[1][1], bits, one.n), percent, found.visit, found.labels)
-            if found.found:
-                yield link_rows(classes, found)
+            yield found.rows()
 
     dealt = both.select("root", "x", "y", "block", "cls", "elements", "label").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
     return dealt.mapInArrow(run, "a long, b long")
@@ -444,7 +464,7 @@ def similar(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, block:
     named = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"))
     classes = cut_lineage(rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(named).alias("low"), F.max("n").alias("n")).select(
         "cls", F.col("low.doc_id").alias("low"), "n"))
-    above = components(cut_lineage(candidates(rows))).select(F.col("fp").alias("cls"), "root")
+    above = components(candidates(rows)).select(F.col("fp").alias("cls"), "root")
     clusters = above.unionAll(above.select(F.col("root").alias("cls"), "root").distinct()).join(classes, "cls")
     placed = cut_lineage(running_total(clusters, ["root"], ["n", "cls"], {"total": F.col("n")}).select(
         "cls", "low", "root", F.floor((F.col("total") - 1) / block).cast("long").alias("block")))
@@ -453,7 +473,9 @@ def similar(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, block:
         "root", "block", "cls", "elements"))
     links = cut_lineage(links_in_blocks(sets, percent))
     several = placed.groupBy("root").agg(F.min("block").alias("first"), F.max("block").alias("last")).where("first < last").select("root")
-    if not several.isEmpty():
+    if several.isEmpty():
+        root = links.select(F.col("b").alias("cls"), F.col("a").alias("root"))
+    else:
         sets = sets.join(several, "root", "left_semi")
         pairs = cut_lineage(block_pairs(sets, percent))
         order = placed.select("root", "block").distinct()
@@ -461,7 +483,7 @@ def similar(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, block:
         near = pairs.join(following, ["root", "x", "y"], "left_semi")
         for part in (near, pairs.join(near, ["root", "x", "y"], "left_anti")):
             links = cut_lineage(links.unionAll(links_across(sets, part, links, percent)))
-    root = components(links).select(F.col("fp").alias("cls"), "root")
+        root = components(links).select(F.col("fp").alias("cls"), "root")
     rooted = classes.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     found = rooted.select("cls", "root").join(ids, "root").select("cls", "component_id")

@@ -94,3 +94,29 @@ def test_tree_leaves_out_no_link_and_many_pairs():
     jaccard.traverse(tree, tree, 85, lambda i, j: seen.add((min(i, j), max(i, j))))
     true = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jaccard.linked(sets[i], sets[j])}
     assert true <= seen and len(seen) < 0.1 * len(sets) ** 2 / 2
+
+
+def test_chain_gives_pairs_with_its_smallest_class(spark):
+    """Pairs of neighbours alone would cost a round over all links for each doubling of a chain's length."""
+    keys = [(i, [i, i + 1]) for i in range(50)]
+    random.Random(7).shuffle(keys)
+    pairs = jaccard.candidates(spark.createDataFrame(keys, "cls long, keys array<long>").coalesce(1))
+    assert {tuple(r) for r in pairs.collect()} == {(0, i) for i in range(1, 50)}
+    words = random.Random(8).choices([f"w{i}" for i in range(400)], k=300)
+    sets = [jaccard.shingles(" ".join(words[2 * i:2 * i + 100])) for i in range(90)]
+    assert not jaccard.linked(sets[0], sets[5]) and jaccard.linked(sets[0], sets[1])
+    named = random.Random(9).sample(range(-1000, 1000), len(sets))
+    placed = spark.createDataFrame([(0, 0, c, bytearray(s.tobytes())) for c, s in zip(named, sets)], "root long, block long, cls long, elements binary")
+    assert sorted(map(tuple, jaccard.links_in_blocks(placed, 85).collect())) == [(min(named), c) for c in sorted(named)[1:]]
+
+
+@pytest.mark.parametrize("block,calls", [(jaccard.BLOCK_ELEMENTS, 1), (700, 4)])
+def test_clusters_of_one_block_need_no_rounds_over_links(spark, block, calls, monkeypatch):
+    """Components are sought once for clusters; over links only where a cluster has several blocks."""
+    words = random.Random(10).choices([f"w{i}" for i in range(400)], k=300)
+    table = [(i, " ".join(words[2 * (i * 37 % 90):][:100])) for i in range(90)]
+    seen, whole = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda edges: seen.append(edges) or whole(edges))
+    got = jaccard.similar(documents(spark, table), block=block)
+    assert rows(got, "doc_id", "n_shingles", "component_id") == brute(table)
+    assert len(seen) == calls
