@@ -10,6 +10,9 @@ expected counts, Spark adds up those of the tasks, and the driver gets sums of f
 stretches of ``STRETCH`` tokens that run side by side; scoring runs the scaled forward recursion over each text from end
 to end, so the likelihood is exact.
 
+Tasks hold the words of a piece of text as one Arrow array, look them up and take their hashes all at once, and run the
+recursions over many sequences side by side; no step takes words one by one in Python.
+
 Counts are kept for every word. Those of the most frequent ``SHARED`` words go to the tasks, all others meet the texts in a
 join, in which no word is hot, since frequent ones are not in it.
 
@@ -19,16 +22,17 @@ rows count, and are scored, as often as they stand. Without training texts every
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filewright.llm.common import LOWER, map_texts
+from filewright.llm.common import map_texts, slices
 from filewright.session import cut_lineage
 
 STATES = 6
@@ -38,47 +42,96 @@ SHARED = 131_072
 ROUNDS = 3
 STRETCH = 128
 SMOOTH = 0.5  # added to each count within a class, with one place for a word never seen
-FLUSH = 500_000  # different words held in a task before their counts go out
-END = b""
+TAIL = 3  # bytes of an ending
+FLUSH = 4_000_000  # words held in a task before their counts go out
+SIDE = 1024  # stretches that run side by side
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, and the number of words of each text."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, sizes = found.flatten(), pc.list_value_length(found).to_numpy().astype(np.int64)
+    some = pc.not_equal(pc.binary_length(words), 0)  # white space at either end of a text leaves an empty word
+    none = np.flatnonzero(~some.to_numpy(zero_copy_only=False))
+    if len(none):
+        words = words.filter(some)
+        sizes -= np.bincount(np.searchsorted(np.cumsum(sizes), none, "right"), minlength=len(sizes))
+    return words.cast(pa.binary()), sizes
+
+
+@cache
+def crc_parts() -> list[tuple[int, np.ndarray]]:
+    """For each length up to ``TAIL``: the CRC32 of zeros, and what each byte in each place changes in it."""
+    found = []
+    for n in range(TAIL + 1):
+        zeros = crc32(bytes(n))
+        found.append((zeros, np.array([[crc32(bytes(i) + bytes([b]) + bytes(n - i - 1)) ^ zeros for b in range(256)] for i in range(n)], np.uint32)))
+    return found
+
+
+def endings(words: pa.Array) -> np.ndarray:
+    """The class of the ending of each word: CRC32 of its last ``TAIL`` bytes, which is a sum of one part a byte."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    _, places, data = words.buffers()
+    places = np.frombuffer(places, np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    ends, sizes = places[1:], np.minimum(np.diff(places), TAIL)
+    out = np.empty(len(words), np.int64)
+    for n, (zeros, parts) in enumerate(crc_parts()):
+        of = np.flatnonzero(sizes == n)
+        crc = np.full(len(of), zeros, np.uint32)
+        for i in range(n):
+            crc ^= parts[i][data[ends[of] - n + i]]
+        out[of] = crc % ENDINGS
+    return out
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(LOWER).split()
+def look_up(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place of each word in ``known``, -1 if it is not there."""
+    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
 
 
-def ending(word: bytes) -> int:
-    return crc32(word[-3:]) % ENDINGS
+def with_ends(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Class ids of the words of texts of so many words, and of the end of each text."""
+    out = np.zeros(len(classes) + len(sizes), np.int64)
+    out[np.arange(len(classes)) + np.repeat(np.arange(len(sizes)), sizes)] = classes
+    return out
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, n) over all texts; the empty word is the end. Counted in the tasks before the shuffle."""
 
     def run(batches):
-        def out(counts):
-            words = list(counts)
-            for i in range(0, len(words), 100_000):
-                part = words[i:i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())], ["word", "n"])
+        def out():
+            found = pa.chunked_array(held, pa.binary()).value_counts()
+            words, n = found.field("values"), found.field("counts")
+            for i in range(0, len(found), 100_000):
+                yield pa.RecordBatch.from_arrays([words[i:i + 100_000], n[i:i + 100_000]], ["word", "n"])
 
-        counts: Counter = Counter()
+        held, size, ends = [], 0, 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens_of(text))
-                counts[END] += 1
-                if len(counts) >= FLUSH:
-                    yield from out(counts)
-                    counts = Counter()
-        yield from out(counts)
+            for piece in slices(batch, 0):
+                words, _ = split(piece.column(0))
+                held.append(words)
+                size += len(words)
+                ends += piece.num_rows
+                if size >= FLUSH:
+                    yield from out()
+                    held, size = [], 0
+        yield from out()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([ends], pa.int64())], ["word", "n"])
 
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Words:
-    """What tasks know of the counts: classes and counts of the frequent words, and totals of the classes of endings."""
+    """What tasks know of the counts: the frequent words with their counts, and totals of the classes of endings."""
 
-    own: dict[bytes, int]
-    counts: dict[bytes, int]
+    top: pa.Array  # the most frequent words, falling; the first ``OWN`` have classes of their own
+    counts: np.ndarray  # of those
     class_log: np.ndarray  # log10 of the smoothed size of each class of endings
     total: int
     distinct: int
@@ -89,6 +142,10 @@ class Words:
     def classes(self) -> int:
         return OWN + 1 + ENDINGS
 
+    @property
+    def own(self) -> pa.Array:
+        return self.top[:OWN]
+
 
 def most_frequent(counts: DataFrame, most: int) -> list:
     """Rows of the words of the highest counts, in their order, and not more than ``most``.
@@ -111,14 +168,16 @@ def most_frequent(counts: DataFrame, most: int) -> list:
 def learn_words(counts: DataFrame) -> Words:
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     top = most_frequent(counts.where(F.length("word") > 0), SHARED)
-    own = {bytes(r.word): i + 1 for i, r in enumerate(top[:OWN])} | {END: 0}
+    frequent = pa.array([bytes(r.word) for r in top], pa.binary())
+    own = frequent[:OWN]
 
     def classed(batches):
         for batch in batches:
-            kind = [-1 if w in own else ending(w) for w in batch.column(0).to_pylist()]
+            found = batch.column(0)
+            kind = np.where(look_up(found, own) < 0, endings(found), -1)
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), batch.column(1)], ["kind", "n"])
 
-    rows = counts.mapInArrow(classed, "kind int, n long").groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    rows = counts.where(F.length("word") > 0).mapInArrow(classed, "kind int, n long").groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     n, v = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in rows:
         if r.kind >= 0:
@@ -129,7 +188,7 @@ def learn_words(counts: DataFrame) -> Words:
     unigram[OWN + 1:] += n
     ends = int(counts.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0)
     unigram[0] += ends
-    return Words(own, {bytes(r.word): r.n for r in top}, np.log10(n + SMOOTH * (v + 1)), int(sums.n or 0), int(sums.v), ends, unigram / unigram.sum())
+    return Words(frequent, np.array([r.n for r in top], np.int64), np.log10(n + SMOOTH * (v + 1)), int(sums.n or 0), int(sums.v), ends, unigram / unigram.sum())
 
 
 @dataclass
@@ -149,9 +208,19 @@ def initial(words: Words) -> Model:
     return Model(even, even, move, emit / emit.sum(axis=0))
 
 
-def class_ids(tokens: list[bytes], own: dict[bytes, int]) -> list[int]:
-    get = own.get
-    return [c if (c := get(w)) is not None else OWN + 1 + crc32(w[-3:]) % ENDINGS for w in tokens]
+def class_ids(words: pa.Array, own: pa.Array) -> np.ndarray:
+    found = look_up(words, own) + 1
+    other = np.flatnonzero(found == 0)
+    found[other] = OWN + 1 + endings(words.take(pa.array(other)))
+    return found
+
+
+def stretches(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of the stretches of texts of so many tokens, and whether each begins its text."""
+    parts = -(-sizes // STRETCH)
+    text = np.repeat(np.arange(len(sizes)), parts)
+    at = (np.arange(len(text)) - (np.cumsum(parts) - parts)[text]) * STRETCH
+    return (np.cumsum(sizes) - sizes)[text] + at, np.minimum(sizes[text] - at, STRETCH), at == 0
 
 
 def expected_counts(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray, model: Model):
@@ -160,33 +229,31 @@ def expected_counts(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, fi
     starts, lengths, first = starts[order], lengths[order], first[order]
     longest, n = int(lengths[0]), len(starts)
     active = np.searchsorted(-lengths, -np.arange(longest), "left")  # stretches longer than t
-    alpha, scale = np.zeros((longest, n, STATES)), np.ones((longest, n))
-    a = np.where(first[:, None], model.start, model.inside) * model.emit[ids[starts]]
+    # Rows stand by t, and within t by stretch; at[t] is the first of t.
+    at = np.concatenate([[0], np.cumsum(active)])
+    token = np.concatenate([ids[starts[:m] + t] for t, m in enumerate(active)]).astype(np.int64)
+    emit, one = model.emit.take(token, axis=0), np.ones(STATES)
+    alpha = np.empty_like(emit)
     for t in range(longest):
-        m = active[t]
-        if t:
-            a = (alpha[t - 1, :m] @ model.move) * model.emit[ids[starts[:m] + t]]
-        s = a.sum(axis=1)
-        scale[t, :m], alpha[t, :m] = s, a / s[:, None]
-    begin, inside = np.zeros(STATES), np.zeros(STATES)
-    moves, emits = np.zeros((STATES, STATES)), np.zeros((len(model.emit), STATES))
-    beta = np.ones((n, STATES))
-    gammas, tokens = [], []
+        here = slice(at[t], at[t + 1])
+        a = alpha[at[t - 1]:at[t - 1] + active[t]] @ model.move if t else np.where(first[:, None], model.start, model.inside)
+        a *= emit[here]
+        over = (1 / (a @ one))[:, None]
+        np.multiply(a, over, out=alpha[here])
+        emit[here] *= over
+    moves, emits = np.zeros((STATES, STATES)), np.empty((len(model.emit), STATES))
+    beta, gamma = np.ones((n, STATES)), np.empty_like(emit)
     for t in range(longest - 1, -1, -1):
-        m = active[t]
         if t < longest - 1:
             k = active[t + 1]
-            ahead = model.emit[ids[starts[:k] + t + 1]] * beta[:k] / scale[t + 1, :k, None]
-            moves += alpha[t, :k].T @ ahead
+            ahead = emit[at[t + 1]:at[t + 2]] * beta[:k]
+            moves += alpha[at[t]:at[t] + k].T @ ahead
             beta[:k] = ahead @ model.move.T
-        gammas.append(alpha[t, :m] * beta[:m])
-        tokens.append(ids[starts[:m] + t])
-    gamma, token = np.concatenate(gammas), np.concatenate(tokens)
+        here = slice(at[t], at[t + 1])
+        np.multiply(alpha[here], beta[:active[t]], out=gamma[here])
     for k in range(STATES):
         emits[:, k] = np.bincount(token, gamma[:, k], len(model.emit))
-    begin += gammas[-1][first].sum(axis=0)
-    inside += gammas[-1][~first].sum(axis=0)
-    return begin, inside, moves * model.move, emits
+    return gamma[:n][first].sum(axis=0), gamma[:n][~first].sum(axis=0), moves * model.move, emits
 
 
 def baum_welch(texts: DataFrame, words: Words, model: Model) -> Model:
@@ -196,29 +263,18 @@ def baum_welch(texts: DataFrame, words: Words, model: Model) -> Model:
     def run(batches):
         own, now = shared.value
         sums = None
-        ids, starts, lengths, first, size = [], [], [], [], 0
-
-        def add():
-            nonlocal sums, ids, starts, lengths, first, size
-            if size:
-                parts = expected_counts(np.array(ids, np.int32), np.array(starts), np.array(lengths), np.array(first, bool), now)
-                sums = parts if sums is None else tuple(a + b for a, b in zip(sums, parts))
-            ids, starts, lengths, first, size = [], [], [], [], 0
-
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = class_ids(tokens_of(text), own)
-                found.append(0)
-                for at in range(0, len(found), STRETCH):
-                    n = min(STRETCH, len(found) - at)
-                    starts.append(size)
-                    lengths.append(n)
-                    first.append(at == 0)
-                    ids += found[at:at + n]
-                    size += n
-                    if size >= STRETCH * 1024:
-                        add()
-        add()
+            for piece in slices(batch, 0):
+                words, sizes = split(piece.column(0))
+                if not len(sizes):
+                    continue
+                ids = with_ends(class_ids(words, own), sizes)
+                starts, lengths, first = stretches(sizes + 1)
+                order = np.argsort(-lengths, kind="stable")  # those of a length together
+                for i in range(0, len(order), SIDE):
+                    of = order[i:i + SIDE]
+                    parts = expected_counts(ids, starts[of], lengths[of], first[of], now)
+                    sums = parts if sums is None else tuple(a + b for a, b in zip(sums, parts))
         if sums is not None:
             flat = np.concatenate([p.ravel() for p in sums])
             some = np.flatnonzero(flat)
@@ -237,16 +293,16 @@ def log_likelihoods(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, mo
     """log10 probability of each sequence of class ids, from end to end."""
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
-    total = np.zeros(len(starts))
+    total, one = np.zeros(len(starts)), np.ones(STATES)
     active = np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left")
-    a = model.start * model.emit[ids[starts]]
-    for t in range(len(active)):
+    a = model.start * model.emit.take(ids[starts], axis=0)
+    for t, m in enumerate(active):
         if t:
-            m = active[t]
-            a = (a[:m] @ model.move) * model.emit[ids[starts[:m] + t]]
-        s = a.sum(axis=1)
-        total[:len(s)] += np.log10(s)
-        a /= s[:, None]
+            a = a[:m] @ model.move
+            a *= model.emit.take(ids[starts[:m] + t], axis=0)
+        s = a @ one
+        total[:m] += np.log10(s)
+        a *= (1 / s)[:, None]
     out = np.empty(len(total))
     out[order] = total
     return out
@@ -278,48 +334,36 @@ def score(docs: DataFrame, learn: Column, rounds: int = ROUNDS) -> DataFrame:
 
     def make():
         own_words, own_model = shared.value
-        counts_of, class_log = own_words.counts, own_words.class_log
-        log_count = {n: (float(np.log10(n + 1)), float(np.log10(n + SMOOTH))) for n in set(counts_of.values())}
+        log_base, log_share = np.log10(own_words.counts + 1), np.log10(own_words.counts + SMOOTH)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, keys = batch.column(3).to_pylist(), batch.column(0).to_pylist()
-            ids, starts, lengths = [], [], []
-            out: list[list] = [[], [], [], [], [], []]  # key, word, times, known, base, score
-            for key, text in zip(keys, texts):
-                tokens = tokens_of(text)
-                starts.append(len(ids))
-                classes = class_ids(tokens, own_words.own)
-                ids += classes
-                ids.append(0)
-                lengths.append(len(tokens) + 1)
-                here = np.array(classes, np.int64)
-                shares = -float(class_log[here[here > OWN] - OWN - 1].sum())
-                known, base = (1, float(np.log10(own_words.ends + 1))) if own_words.ends else (0, 0.0)
-                for w, times in Counter(tokens).items():
-                    n = counts_of.get(w)
-                    if n is None:
-                        out[0].append(key)
-                        out[1].append(w)
-                        out[2].append(times)
-                        continue
-                    known += times
-                    a, b = log_count[n]
-                    base += times * a
-                    if w not in own_words.own:
-                        shares += times * b
-                out[3].append(known)
-                out[4].append(base)
-                out[5].append(shares)
-            likely = log_likelihoods(np.array(ids, np.int32), np.array(starts), np.array(lengths), own_model) if starts else np.zeros(0)
-            n, m = len(texts), len(out[0])
+            keys = batch.column(0).to_numpy()
+            words, sizes = split(batch.column(3))
+            lengths, text = sizes + 1, np.repeat(np.arange(len(sizes)), sizes)
+            per_text = lambda of, values=None: np.bincount(text[of], values, len(sizes))
+            place = look_up(words, own_words.top)
+            classes = place + 1
+            other = np.flatnonzero((place < 0) | (place >= OWN))
+            classes[other] = OWN + 1 + endings(words.take(pa.array(other)))
+            told, rest, rare = np.flatnonzero(place >= 0), np.flatnonzero(place >= OWN), np.flatnonzero(place < 0)
+            known = per_text(told) + (own_words.ends > 0)
+            base = per_text(told, log_base[place[told]]) + (np.log10(own_words.ends + 1) if own_words.ends else 0)
+            shares = per_text(rest, log_share[place[rest]]) - per_text(other, own_words.class_log[classes[other] - OWN - 1])
+            # The rare words of each text once, with the times they stand in it.
+            coded = words.take(pa.array(rare)).dictionary_encode()
+            among = max(len(coded.dictionary), 1)
+            pairs, times = np.unique(text[rare] * among + coded.indices.to_numpy(), return_counts=True)
+            likely = log_likelihoods(with_ends(classes, sizes), np.cumsum(lengths) - lengths, lengths, own_model) if len(sizes) else np.zeros(0)
+            n, m = len(sizes), len(pairs)
             pad = lambda kind: pa.nulls(m, kind)
             both = lambda values, kind: pa.concat_arrays([pa.array(values, kind), pad(kind)])
             return pa.RecordBatch.from_arrays([
-                pa.array(keys + out[0], pa.int64()), pa.concat_arrays([batch.column(1), pad(pa.int64())]),
+                pa.array(np.concatenate([keys, keys[pairs // among]]), pa.int64()), pa.concat_arrays([batch.column(1), pad(pa.int64())]),
                 pa.concat_arrays([batch.column(2), pad(pa.bool_())]),
                 # A text's own row has a word that is none, another for each, so that the join deals them out evenly.
-                pa.array([b" %d" % k for k in keys] + out[1], pa.binary()), pa.array([0] * n + out[2], pa.int64()),
-                both(lengths, pa.int64()), both(out[3], pa.int64()), both(out[4], pa.float64()), both(np.array(out[5]) + likely, pa.float64()),
+                pa.concat_arrays([pa.array([b" %d" % k for k in keys.tolist()], pa.binary()), coded.dictionary.take(pa.array(pairs % among))]),
+                pa.array(np.concatenate([np.zeros(n, np.int64), times]), pa.int64()),
+                both(lengths, pa.int64()), both(known, pa.int64()), both(base, pa.float64()), both(shares + likely, pa.float64()),
             ], ["key", "doc_id", "held_out", "word", "times", "tokens", "known", "base", "score"])
 
         return work

@@ -2,10 +2,12 @@
 
 import math
 import random
+import sys
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,28 @@ def test_language_model_without_training(spark):
     assert hmm.score(documents(spark, []), F.lit(True)).collect() == []
 
 
+def test_words_are_classed_at_once():
+    """Class ids equal those taken word by word, from few calls whatever the number of words."""
+    rng = random.Random(4)
+    texts = [None, "", " ", " a", "a  b ", *["".join(rng.choice(" \t\n\x0b\x0c\r\x1c\x85\xa0aAbZÜ😀\0") for _ in range(rng.randint(0, 40))) for _ in range(3000)]]
+    tokens = [[w.encode() for w in WORDS.findall(lower(t))] for t in texts]
+    own = [w for w, _ in Counter(w for t in tokens for w in t).most_common(300)][::2]
+    place = {w: i + 1 for i, w in enumerate(own)}
+    want = [c for t in tokens for c in [*[place.get(w) or hmm.OWN + 1 + crc32(w[-3:]) % hmm.ENDINGS for w in t], 0]]
+    column, known, calls = pa.array(["x", *texts])[1:], pa.array(own, pa.binary()), Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        words, sizes = hmm.split(column)
+        got = hmm.with_ends(hmm.class_ids(words, known), sizes)
+    finally:
+        sys.setprofile(None)
+    assert words.to_pylist() == [w for t in tokens for w in t] and sizes.tolist() == [len(t) for t in tokens] and got.tolist() == want
+    assert len(want) > 15_000 and calls["call"] + calls["c_call"] < 5_000
+    starts, lengths, first = hmm.stretches(np.array([1, 128, 129, 300]))
+    assert (starts.tolist(), lengths.tolist()) == ([0, 1, 129, 257, 258, 386, 514], [1, 128, 128, 1, 128, 128, 44])
+    assert first.tolist() == [True, True, True, False, True, False, False]
+
+
 def test_forward_recursion_is_exact():
     """The scaled recursion equals the sum over all paths, and training never lowers the likelihood."""
     from itertools import product
