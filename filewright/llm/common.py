@@ -40,8 +40,8 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, text: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
-    """Apply ``make()``, called once a task, to pieces of ``df`` bounded by the bytes of the column ``text``."""
+def map_texts(df: DataFrame, text: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], limit: int = BATCH_BYTES) -> DataFrame:
+    """Apply ``make()``, called once a task, to pieces of ``df`` of about ``limit`` bytes of the column ``text``."""
     column = df.columns.index(text)
 
     def run(batches):
@@ -49,7 +49,7 @@ def map_texts(df: DataFrame, text: str, schema: str, make: Callable[[], Callable
 
         work = make()
         for batch in batches:
-            for piece in slices(batch, column):
+            for piece in slices(batch, column, limit):
                 yield work(piece)
 
     return df.mapInArrow(run, schema)

@@ -43,7 +43,8 @@ ROUNDS = 3
 STRETCH = 128
 SMOOTH = 0.5  # added to each count within a class, with one place for a word never seen
 TAIL = 3  # bytes of an ending
-FLUSH = 4_000_000  # words held in a task before their counts go out
+FLUSH = 600_000  # counts held in a task before they are merged, and go out if half of them are left
+PIECE = 4 << 20  # bytes of text handled at once; only memory depends on it
 SIDE = 1024  # stretches that run side by side
 
 
@@ -72,12 +73,12 @@ def crc_parts() -> list[tuple[int, np.ndarray]]:
 def endings(words: pa.Array) -> np.ndarray:
     """The class of the ending of each word: CRC32 of its last ``TAIL`` bytes, which is a sum of one part a byte."""
     if not len(words):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     _, places, data = words.buffers()
     places = np.frombuffer(places, np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
     ends, sizes = places[1:], np.minimum(np.diff(places), TAIL)
-    out = np.empty(len(words), np.int64)
+    out = np.empty(len(words), np.int32)
     for n, (zeros, parts) in enumerate(crc_parts()):
         of = np.flatnonzero(sizes == n)
         crc = np.full(len(of), zeros, np.uint32)
@@ -89,13 +90,16 @@ def endings(words: pa.Array) -> np.ndarray:
 
 def look_up(words: pa.Array, known: pa.Array) -> np.ndarray:
     """The place of each word in ``known``, -1 if it is not there."""
-    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
+    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
 
 
 def with_ends(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Class ids of the words of texts of so many words, and of the end of each text."""
-    out = np.zeros(len(classes) + len(sizes), np.int64)
-    out[np.arange(len(classes)) + np.repeat(np.arange(len(sizes)), sizes)] = classes
+    ends = np.cumsum(sizes + 1) - 1
+    inside = np.ones(len(classes) + len(sizes), bool)
+    inside[ends] = False
+    out = np.zeros(len(inside), np.int32)
+    out[inside] = classes
     return out
 
 
@@ -103,25 +107,27 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(word, n) over all texts; the empty word is the end. Counted in the tasks before the shuffle."""
 
     def run(batches):
-        def out():
-            found = pa.chunked_array(held, pa.binary()).value_counts()
-            words, n = found.field("values"), found.field("counts")
-            for i in range(0, len(found), 100_000):
-                yield pa.RecordBatch.from_arrays([words[i:i + 100_000], n[i:i + 100_000]], ["word", "n"])
+        def merged() -> pa.Table:
+            found = pa.Table.from_batches(held, schema).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return found.select(["word", "n_sum"]).rename_columns(["word", "n"])
 
+        schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
         held, size, ends = [], 0, 0
         for batch in batches:
-            for piece in slices(batch, 0):
-                words, _ = split(piece.column(0))
-                held.append(words)
-                size += len(words)
+            for piece in slices(batch, 0, PIECE):
+                counts = split(piece.column(0))[0].value_counts()
+                held.append(pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], schema=schema))
+                size += len(counts)
                 ends += piece.num_rows
                 if size >= FLUSH:
-                    yield from out()
-                    held, size = [], 0
-        yield from out()
+                    held = merged().to_batches(max_chunksize=100_000)
+                    size = sum(b.num_rows for b in held)
+                    if size >= FLUSH // 2:
+                        yield from held
+                        held, size = [], 0
+        yield from merged().to_batches(max_chunksize=100_000)
         if ends:
-            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([ends], pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([ends], pa.int64())], schema=schema)
 
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -264,7 +270,7 @@ def baum_welch(texts: DataFrame, words: Words, model: Model) -> Model:
         own, now = shared.value
         sums = None
         for batch in batches:
-            for piece in slices(batch, 0):
+            for piece in slices(batch, 0, PIECE):
                 words, sizes = split(piece.column(0))
                 if not len(sizes):
                     continue
@@ -334,21 +340,23 @@ def score(docs: DataFrame, learn: Column, rounds: int = ROUNDS) -> DataFrame:
 
     def make():
         own_words, own_model = shared.value
-        log_base, log_share = np.log10(own_words.counts + 1), np.log10(own_words.counts + SMOOTH)
+        # The last one is of all other words, whose place is -1. Words with a class of their own are all of it.
+        log_base, log_share = np.append(np.log10(own_words.counts + 1), 0), np.append(np.log10(own_words.counts + SMOOTH), 0)
+        log_share[:OWN] = 0
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys = batch.column(0).to_numpy()
             words, sizes = split(batch.column(3))
             lengths, text = sizes + 1, np.repeat(np.arange(len(sizes)), sizes)
-            per_text = lambda of, values=None: np.bincount(text[of], values, len(sizes))
+            per_text = lambda of, values=None: np.bincount(of, values, len(sizes))
             place = look_up(words, own_words.top)
             classes = place + 1
             other = np.flatnonzero((place < 0) | (place >= OWN))
             classes[other] = OWN + 1 + endings(words.take(pa.array(other)))
-            told, rest, rare = np.flatnonzero(place >= 0), np.flatnonzero(place >= OWN), np.flatnonzero(place < 0)
-            known = per_text(told) + (own_words.ends > 0)
-            base = per_text(told, log_base[place[told]]) + (np.log10(own_words.ends + 1) if own_words.ends else 0)
-            shares = per_text(rest, log_share[place[rest]]) - per_text(other, own_words.class_log[classes[other] - OWN - 1])
+            rare = np.flatnonzero(place < 0)
+            known = sizes - per_text(text[rare]) + (own_words.ends > 0)
+            base = per_text(text, log_base[place]) + (np.log10(own_words.ends + 1) if own_words.ends else 0)
+            shares = per_text(text, log_share[place]) - per_text(text[other], own_words.class_log[classes[other] - OWN - 1])
             # The rare words of each text once, with the times they stand in it.
             coded = words.take(pa.array(rare)).dictionary_encode()
             among = max(len(coded.dictionary), 1)
@@ -368,7 +376,7 @@ def score(docs: DataFrame, learn: Column, rounds: int = ROUNDS) -> DataFrame:
 
         return work
 
-    pieces = map_texts(rows, "text", SCHEMA, make).alias("p").join(counts, "word", "left")
+    pieces = map_texts(rows, "text", SCHEMA, make, PIECE).alias("p").join(counts, "word", "left")
     n = F.coalesce("n", F.lit(0))
     one = lambda c: F.max(c).alias(c)
     summed = pieces.groupBy("key").agg(
